@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepforge.llm import chat, exactdedup, urlfilter
+from stepforge.llm import chat, exactdedup, simhash, urlfilter
 
 #: Pages that carry one of these words put their URL on the block list.
 ABUSIVE = ("idiot", "stupid", "trash", "pathetic", "disgusting", "worthless")
@@ -32,10 +32,15 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_chat_format": op4_chat_format,
+    "op10_simhash": op10_simhash,
 }
 
 _CANONICAL = r"""
