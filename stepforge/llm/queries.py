@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepforge.llm import chat, decontam, exactdedup, langid, simhash, urlfilter
+from stepforge.llm import bpe, chat, decontam, exactdedup, langid, simhash, urlfilter
 
 #: Pages that carry one of these words put their URL on the block list.
 ABUSIVE = ("idiot", "stupid", "trash", "pathetic", "disgusting", "worthless")
@@ -36,6 +36,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_chat_format": op4_chat_format,
+    "op5_bpe": op5_bpe,
     "op6_language_id": op6_language_id,
     "op10_simhash": op10_simhash,
 }
