@@ -135,3 +135,42 @@ def ragged(lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(ends[-1], dtype=np.int64) - np.repeat(ends - lengths, lengths)
+
+
+class IntTable:
+    """Open-addressing map from 64-bit keys (not 2**64 - 1) to non-negative int32, built and probed with arrays."""
+
+    _EMPTY = np.uint64(2**64 - 1)
+    _MUL = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(8, int(np.ceil(np.log2(max(len(keys), 1) * 3))))
+        self.keys = np.full(1 << self.bits, self._EMPTY, np.uint64)
+        self.values = np.full(1 << self.bits, -1, np.int32)
+        self.probes = 0
+        keys, values = keys.astype(np.uint64), values.astype(np.int32)
+        slot = self._slot(keys)
+        while len(keys):
+            self.probes += 1
+            _, first = np.unique(slot, return_index=True)
+            put = np.zeros(len(slot), bool)
+            put[first] = True
+            put &= self.keys[slot] == self._EMPTY
+            self.keys[slot[put]], self.values[slot[put]] = keys[put], values[put]
+            keys, values, slot = keys[~put], values[~put], (slot[~put] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * self._MUL) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values of the keys, -1 where absent."""
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.values[slot], np.int32(-1))
+        at = np.flatnonzero((there != keys) & (there != self._EMPTY))
+        while len(at):
+            slot[at] = (slot[at] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[slot[at]]
+            out[at] = np.where(there == keys[at], self.values[slot[at]], out[at])
+            at = at[(there != keys[at]) & (there != self._EMPTY)]
+        return out
