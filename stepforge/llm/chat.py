@@ -9,7 +9,7 @@ anti-join drops it before rendering.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BEGIN, END = "<|im_start|>", "<|im_end|>"
@@ -47,10 +47,10 @@ def collapse_and_render(turns: DataFrame) -> DataFrame:
         )
         .withColumn("n_turns", F.size("turns"))
     )
-    whole = convs.select("conv_id", "n_turns", F.element_at("hashes", -1).alias("hash"), "turns")
+    # only (conv_id, hash) moves; the turns stay where the grouping put them and are joined by conv_id at the end
+    whole = convs.select("conv_id", F.element_at("hashes", -1).alias("hash"))
     inner = convs.select(F.explode(F.slice("hashes", F.lit(1), F.greatest(F.size("hashes") - 1, F.lit(0)))).alias("hash")).distinct()
-    maximal = whole.join(inner, "hash", "left_anti")
-    first = Window.partitionBy("hash").orderBy("conv_id")
-    kept = maximal.withColumn("rn", F.row_number().over(first)).filter("rn = 1")
+    winners = whole.join(inner, "hash", "left_anti").groupBy("hash").agg(F.min("conv_id").alias("conv_id")).select("conv_id")
+    kept = convs.join(winners, "conv_id", "left_semi")
     line = lambda x: F.concat(F.lit(BEGIN), F.coalesce(x["role"], F.lit("unknown")), F.lit("\n"), F.coalesce(x["text"], F.lit("")), F.lit(END))
     return kept.select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), F.array_join(F.transform("turns", line), "\n").alias("rendered"))
