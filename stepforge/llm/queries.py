@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepforge.llm import bpe, chat, decontam, exactdedup, langid, licenses, simhash, urlfilter
+from stepforge.llm import bpe, chat, decontam, exactdedup, langid, licenses, linededup, simhash, urlfilter
 
 #: Pages that carry one of these words put their URL on the block list.
 ABUSIVE = ("idiot", "stupid", "trash", "pathetic", "disgusting", "worthless")
@@ -44,6 +44,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.duplicate_lines(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_spans(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": op4_chat_format,
     "op5_bpe": op5_bpe,
     "op6_language_id": op6_language_id,
+    "op7_line_dedup": op7_line_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_simhash": op10_simhash,
 }
