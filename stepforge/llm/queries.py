@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepforge.llm import bpe, chat, decontam, exactdedup, langid, licenses, linededup, simhash, urlfilter
+from stepforge.llm import bpe, chat, decontam, exactdedup, langid, licenses, linededup, sharding, simhash, urlfilter
 
 #: Pages that carry one of these words put their URL on the block list.
 ABUSIVE = ("idiot", "stupid", "trash", "pathetic", "disgusting", "worthless")
@@ -48,6 +48,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.duplicate_lines(table(spark, sf_dir, "documents"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_spans(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op6_language_id": op6_language_id,
     "op7_line_dedup": op7_line_dedup,
+    "op8_sharding": op8_sharding,
     "op9_license_scan": op9_license_scan,
     "op10_simhash": op10_simhash,
 }
