@@ -225,5 +225,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
     """The rows of ``docs``, all columns, without the documents that hold an item; a null doc_id always stays."""
-    gone, _ = runtime.written(contamination(docs, benchmark, rate).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(runtime.small(gone, gone.count(), 16), docs["doc_id"] == gone["_gone"], "left_anti")
+    return runtime.without(docs, contamination(docs, benchmark, rate).select("doc_id"))

@@ -16,10 +16,13 @@ trees, so the table affects only speed.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stepforge.llm import runtime
 from stepforge.llm import textbuf as tb
@@ -192,52 +195,46 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
 _SCORERS: dict[str, Scorer] = {}
 
 
-def identify(docs: DataFrame, model: Model, max_bits: float = MAX_BITS) -> DataFrame:
-    """All columns of ``docs`` and _language, _bits (the best code's bits for each byte), _accepted.
+def identify(docs: DataFrame, model: Model, max_bits: float = MAX_BITS, names: tuple[str, str, str] = ("language", "bits_per_byte", "accepted")) -> DataFrame:
+    """All columns of ``docs`` and three more: the language, the best code's bits for each byte, and whether it is accepted.
 
-    A text that is null or empty, or whose best code takes more than
-    ``max_bits`` bits a byte and SLACK_BITS besides, has _accepted false; without bytes, or under a
-    model without languages, _language and _bits are null.  Equal code lengths go
-    to the first language in order of name.
+    ``names`` must not be among the columns of ``docs``.  A text that is null or
+    empty, or whose best code takes more than ``max_bits`` bits a byte and
+    SLACK_BITS besides, is not accepted; without bytes, or under a model without
+    languages, language and bits are null.  Equal code lengths go to the first
+    language in order of name.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    name = f"m{id(model)}-{shared.id if hasattr(shared, 'id') else id(shared)}"
+    token = uuid.uuid4().hex
+    at = docs.columns.index("text")
 
     def run(batches):
-        if name not in _SCORERS:
+        if token not in _SCORERS:
             _SCORERS.clear()
-            _SCORERS[name] = Scorer(shared.value)
-        scorer = _SCORERS[name]
+            _SCORERS[token] = Scorer(shared.value)
+        scorer = _SCORERS[token]
         langs = np.array([*scorer.model.langs, None], object)
         for b in batches:
-            text = b.column("_text")
-            if not scorer.model.langs:
-                none = np.zeros(len(text), bool)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.nulls(len(text), pa.string()), pa.nulls(len(text), pa.float64()), pa.array(none)], [*b.schema.names[:-1], "_language", "_bits", "_accepted"])
-                continue
-            code, size = scorer.code_lengths(text)
-            best = np.argmin(code, axis=1)
-            bits = code[np.arange(len(best)), best] / UNIT / np.maximum(size, 1)
-            empty = size == 0
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(langs[np.where(empty, len(langs) - 1, best)], pa.string()), pa.array(bits, mask=empty), pa.array(~empty & (bits * size <= max_bits * size + SLACK_BITS))],
-                [*b.schema.names[:-1], "_language", "_bits", "_accepted"],
-            )
+            n = b.num_rows
+            code, size = scorer.code_lengths(b.column(at))
+            best = np.argmin(code, axis=1) if len(langs) > 1 else np.zeros(n, np.int64)
+            bits = code[np.arange(n), best] / UNIT / np.maximum(size, 1) if len(langs) > 1 else np.zeros(n)
+            void = (size == 0) | (len(langs) == 1)
+            found = [pa.array(langs[np.where(void, len(langs) - 1, best)], pa.string()), pa.array(bits, mask=void), pa.array(~void & (bits * size <= max_bits * size + SLACK_BITS))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *found], [*b.schema.names, *names])
 
-    rows = docs.withColumn("_text", F.col("text").cast("string"))
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return rows.mapInArrow(run, f"{fields}, _language string, _bits double, _accepted boolean")
+    rows = docs.withColumn("text", F.col("text").cast("string"))
+    fields = T.StructType([*rows.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.BooleanType())])
+    return rows.mapInArrow(run, fields)
 
 
 def language_id(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, max_bits: float = MAX_BITS) -> DataFrame:
     """(doc_id, language, bits_per_byte, accepted) of every row; see fit() and identify()."""
-    model = fit(docs, per_lang)
-    out = identify(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model, max_bits)
-    return out.select("doc_id", F.col("_language").alias("language"), F.col("_bits").alias("bits_per_byte"), F.col("_accepted").alias("accepted"))
+    return identify(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, per_lang), max_bits).select("doc_id", "language", "bits_per_byte", "accepted")
 
 
 def keep_identified(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, max_bits: float = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` in one of the languages that its labels name; see identify()."""
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    return identify(docs, fit(docs, per_lang), max_bits).filter("_accepted").select(*cols)
+    """The rows of ``docs``, all columns, in one of the languages that its labels name; see identify()."""
+    names = tuple(runtime.fresh(docs, n) for n in ("language", "bits_per_byte", "accepted"))
+    return identify(docs, fit(docs, per_lang), max_bits, names).filter(F.col(names[2])).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -255,13 +255,13 @@ def drop_duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     keep their remaining lines in order, and n_chars, where there is such a
     column, is the new length.
     """
-    removed, _ = runtime.written(duplicate_lines(docs, percent).groupBy("doc_id").agg(F.collect_list(F.col("line_no").cast("int")).alias("_lines")))
-    stats = removed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_lines")), F.lit(0))).first()
-    gone = runtime.small(removed.withColumnRenamed("doc_id", "_id"), int(stats[0]) * 10 + int(stats[1]), 4)
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_lines", i)), "\n")
-    out = joined.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(kept))
-    out = out.filter(F.col("_lines").isNull() | F.col("text").rlike("[A-Za-z0-9\\x{80}-\\x{10FFFF}]"))
+    key, cut = runtime.fresh(docs, "cut_doc"), runtime.fresh(docs, "cut_lines")
+    removed, _ = runtime.written(duplicate_lines(docs, percent).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.col("line_no").cast("int")).alias(cut)))
+    stats = removed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(cut)), F.lit(0))).first()
+    joined = docs.join(runtime.small(removed, int(stats[0]) * 10 + int(stats[1]), 4), docs["doc_id"].eqNullSafe(removed[key]), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(cut, i)), "\n")
+    out = joined.withColumn("text", F.when(F.col(cut).isNull(), F.col("text")).otherwise(kept))
+    out = out.filter(F.col(cut).isNull() | F.col("text").rlike("[A-Za-z0-9\\x{80}-\\x{10FFFF}]"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_lines").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -43,3 +43,17 @@ def delete(spark: SparkSession, path: str) -> None:
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """A broadcast hint if ``rows`` rows of ``row_bytes`` fit the limit; else a shuffled join is left to Spark."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``gone`` (one column of ids); a null doc_id stays."""
+    ids, _ = written(gone.select(F.col(gone.columns[0]).alias("gone")).distinct())
+    return docs.join(small(ids, ids.count(), 16), docs["doc_id"] == ids["gone"], "left_anti")

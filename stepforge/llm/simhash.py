@@ -229,5 +229,4 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs``, all columns, without the documents that near_duplicates() names."""
-    gone = near_duplicates(docs, radius).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return runtime.without(docs, near_duplicates(docs, radius).select("doc_id"))
