@@ -12,8 +12,12 @@ with it.
    line must share a word of.  Words meet in one task; pairs there must pass the
    length filter, the positional filter, and a bound on the symmetric
    difference from 64-bit parity bitmaps of the sets.
-3. A third pass fetches the word sets of the lines in surviving pairs alone,
-   and the Jaccard similarity is computed exactly.
+3. For each line the likeliest earlier partners (least difference of bitmaps)
+   are verified: a third pass fetches the word sets of these lines alone, and
+   the Jaccard similarity is computed exactly.  In a dense group one partner
+   settles a line, so pairs stay linear in the lines.  Only if a line had more
+   partners than were kept and none of them was similar, the join runs once more
+   with all partners for the lines still open, so the result is exact.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ _BUCKET_BITS = 22
 _CHUNK_BITS = 16
 _NOT_BREAK = ~tb.table(b"\n")
 _LOWEST = -(2**63)
+#: Partners of a line that one task sends to verification at first.
+PARTNERS = 4
 
 
 class Lines:
@@ -42,7 +48,8 @@ class Lines:
         s, e = tb.spans(d, o, tb.WORD)
         self.hash = tb.hash_spans(d, s, e)
         line = np.searchsorted(ls, s, side="right") - 1
-        used, self.line = np.unique(line, return_inverse=True) if len(line) else (line, line)
+        new = np.r_[True, line[1:] != line[:-1]] if len(line) else np.zeros(0, bool)
+        used, self.line = line[new], np.cumsum(new) - 1
         self.start, self.end = ls[used], le[used]
         self.row = tb.owner(self.start, o)
         breaks = np.flatnonzero(data == 10)
@@ -83,8 +90,7 @@ def _scan(batches):
     for b in batches:
         ids = b.column(0).to_numpy(zero_copy_only=False)
         for i, x in _walk(b):
-            u, n = np.unique(x.hash >> np.uint64(64 - _BUCKET_BITS), return_counts=True)
-            count[u] += n.astype(np.uint32)
+            np.add.at(count, x.hash >> np.uint64(64 - _BUCKET_BITS), np.uint32(1))
             m = len(x.start)
             yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(x.key[0]), pa.array(x.key[1]), pa.array(ids[i + x.row]), pa.array(x.number)], names)
     for c in range(1 << (_BUCKET_BITS - _CHUNK_BITS)):
@@ -112,43 +118,65 @@ def least_overlap(percent: int, total):
     return -(-percent * total // (100 + percent))
 
 
+#: log2(1 + 1) in the units of _sum_counts: a bucket hit once holds a word that no other line has.
+_ONCE = 100
+
+
 def _postings(rarity_of, percent: int):
     def run(batches):
         rarity = rarity_of().astype(np.uint64)
-        recent = np.zeros(1 << 16, np.int64)  # lines sent lately aren't sent again; others are merged where they arrive
+        # lines sent lately from an earlier place aren't sent again; others are merged where they arrive
+        recent = np.zeros((3, 1 << 16), np.int64)
         for b in batches:
-            for _, x in _walk(b):
-                at = x.key[0] & 0xFFFF
-                _, one = np.unique(x.key[0], return_index=True)
-                fresh = np.zeros(len(x.start), bool)
-                fresh[one] = True
-                fresh &= recent[at] != x.key[0]
-                recent[at] = x.key[0]
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for i, x in _walk(b):
+                doc, key = ids[i + x.row], x.key[0]
+                order = np.lexsort((x.number, doc, key))
+                fresh = np.zeros(len(key), bool)
+                fresh[order] = np.r_[True, key[order][1:] != key[order][:-1]]
+                slot = key & 0xFFFF
+                k, d, n = recent[:, slot]
+                fresh &= (k != key) | (doc < d) | ((doc == d) & (x.number < n))
+                recent[:, slot[fresh]] = np.stack([key, doc, x.number])[:, fresh]
                 line, h = x.sets(rarity)
                 n = np.bincount(line, minlength=len(x.start))
                 first = np.cumsum(n) - n
-                bit = np.uint64(1) << (h & np.uint64(63))
-                parity = np.bitwise_xor.reduceat(bit, first)
+                parity = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), first)
                 prefix = np.where(fresh, n - (-(-percent * n // 100)) + 1, 0)
                 owner = np.repeat(np.arange(len(n)), prefix)
                 pos = tb.ragged(prefix)
-                word = h[first[owner] + pos] >> np.uint64(32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(word.astype(np.int64)), pa.array((n[owner] << 32) | pos), pa.array(x.key[0][owner]), pa.array(x.key[1][owner]), pa.array(parity[owner].view(np.int64))],
-                    ["word", "size_pos", "k0", "k1", "parity"],
-                )
+                at = first[owner] + pos
+                shared = rarity[h[at] >> np.uint64(64 - _BUCKET_BITS)] > _ONCE
+                owner, pos, at = owner[shared], pos[shared], at[shared]
+                # the word before, 0 at the start: if two lines agree in it they have met there already
+                before = np.where(pos > 0, h[at - 1] >> np.uint64(32), np.uint64(0))
+                word = (h[at] & ~np.uint64(0xFFFFFFFF)) | before
+                cols = (word.view(np.int64), (n[owner] << 32) | pos, key[owner], parity[owner].view(np.int64), doc[owner], x.number[owner])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], _POSTING)
 
     return run
 
 
-def similar_in_groups(word, size, pos, k0, k1, parity, percent: int) -> np.ndarray:
-    """Index pairs (rows of two columns) of entries with one word that pass every filter; equal lines are merged."""
-    order = np.lexsort((k1, k0, size, word))
-    word, size, pos, k0, k1, parity = (v[order] for v in (word, size, pos, k0, k1, parity))
+_POSTING = ["word", "size_pos", "k", "parity", "doc_id", "line_no"]
+
+
+def similar_in_groups(word, size, pos, key, parity, place, percent: int, most: int | None = None):
+    """(earlier row, later row, difference of bitmaps) of pairs with one word that pass every filter, and the rows
+    that met more than ``most`` earlier partners, whose pairs may be incomplete.
+
+    word: the word above 32 bits, the word before it below; place: (rows, 2), document and line number.
+    Postings of equal lines are merged into the earliest place.
+    """
+    order = np.lexsort((place[:, 1], place[:, 0], parity, key, size, word >> np.uint64(32)))
+    word, size, pos, key, parity, place = (v[order] for v in (word, size, pos, key, parity, place))
+    before, word = word & np.uint64(0xFFFFFFFF), word >> np.uint64(32)
     if len(word):
-        keep = np.r_[True, (word[1:] != word[:-1]) | (k0[1:] != k0[:-1]) | (k1[1:] != k1[:-1])]
-        order, word, size, pos, parity = (v[keep] for v in (order, word, size, pos, parity))
-    out, at, shift = [], np.arange(len(word)), 0
+        keep = np.r_[True, (word[1:] != word[:-1]) | (key[1:] != key[:-1]) | (parity[1:] != parity[:-1])]
+        order, before, word, size, pos, parity, place = (v[keep] for v in (order, before, word, size, pos, parity, place))
+    rank = np.empty(len(word), np.int64)
+    rank[np.lexsort((place[:, 1], place[:, 0]))] = np.arange(len(word))
+    full = np.zeros(len(word), np.int64)
+    out, at, shift = [np.zeros((3, 0), np.int64)], np.arange(len(word)), 0
     while len(at):
         shift += 1
         at = at[at + shift < len(word)]
@@ -156,28 +184,50 @@ def similar_in_groups(word, size, pos, k0, k1, parity, percent: int) -> np.ndarr
         # sorted by size: once a partner is too long or has another word, so are all later ones
         ok = (word[at] == word[to]) & (100 * size[at] >= percent * size[to])
         at, to = at[ok], to[ok]
-        need = least_overlap(percent, size[at] + size[to])
-        bound = 1 + np.minimum(size[at] - pos[at] - 1, size[to] - pos[to] - 1)
-        ok = bound >= need
-        ok &= np.bitwise_count(parity[at] ^ parity[to]) <= size[at] + size[to] - 2 * need
-        out.append(np.stack([order[at[ok]], order[to[ok]]], 1))
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-
-
-def _candidates(percent: int):
+        later = np.where(rank[at] > rank[to], at, to)
+        total = size[at] + size[to]
+        apart = total - 2 * least_overlap(percent, total)
+        # no word before this one is shared, or the pair met there: so all of them differ
+        ok = (pos[at] + pos[to] <= apart) & ((before[at] != before[to]) | (pos[at] == 0) | (pos[to] == 0))
+        if most is not None:
+            ok &= full[later] <= 4 * most
+        a, b, later, apart = at[ok], to[ok], later[ok], apart[ok]
+        diff = np.bitwise_count(parity[a] ^ parity[b]).astype(np.int64)
+        ok = diff <= apart
+        a, b, later, diff = a[ok], b[ok], later[ok], diff[ok]
+        np.add.at(full, later, 1)
+        out.append(np.stack([order[a + b - later], order[later], diff]))
+    pairs = np.concatenate(out, axis=1)
+    return pairs, order[full > most] if most is not None else order[:0]
+
+
+def _candidates(percent: int, most: int | None):
     def run(batches):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got)
-        word, sp, k0, k1, parity = (t.column(c).to_numpy() for c in range(5))
-        pair = similar_in_groups(word, sp >> 32, sp & 0xFFFFFFFF, k0, k1, parity.view(np.uint64), percent)
-        a, b = pair[:, 0], pair[:, 1]
-        swap = (k0[a] > k0[b]) | ((k0[a] == k0[b]) & (k1[a] > k1[b]))
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        _, one = np.unique(np.stack([k0[a], k1[a], k0[b], k1[b]], 1), axis=0, return_index=True)
-        a, b = a[one], b[one]
-        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (k0[a], k1[a], k0[b], k1[b])], ["a0", "a1", "b0", "b1"])
+        word, sp, key, parity, doc, line = (t.column(c).to_numpy() for c in range(6))
+        pairs, cut = similar_in_groups(word.view(np.uint64), sp >> 32, sp & 0xFFFFFFFF, key, parity.view(np.uint64), np.stack([doc, line], 1), percent, most)
+        x, y, diff = pairs
+        # rows of one line at one place are one: (y's place, difference, x's place), the likeliest first
+        order = np.lexsort((line[x], doc[x], diff, line[y], doc[y]))
+        x, y = x[order], y[order]
+        same = lambda v: v[1:] == v[:-1]
+        if len(x):
+            keep = np.r_[True, ~(same(doc[x]) & same(line[x]) & same(doc[y]) & same(line[y]))]
+            x, y = x[keep], y[keep]
+        new = np.flatnonzero(np.r_[True, ~(same(doc[y]) & same(line[y]))]) if len(y) else np.zeros(0, np.int64)
+        many = np.diff(np.r_[new, len(y)])
+        more = np.zeros(len(y), bool)
+        if most is not None:
+            more = np.repeat(many > most, many)
+            if len(cut):
+                more |= np.isin(tb.mix(doc[y].view(np.uint64)) + line[y].astype(np.uint64), tb.mix(doc[cut].view(np.uint64)) + line[cut].astype(np.uint64))
+            keep = tb.ragged(many) < most
+            x, y, more = x[keep], y[keep], more[keep]
+        if len(x):
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (doc[x], line[x], doc[y], line[y], more)], ["xd", "xl", "yd", "yl", "more"])
 
     return run
 
@@ -186,36 +236,57 @@ def _fetch(batches):
     """Word sets of the wanted lines: (doc_id, text, lines) -> (doc_id, line_no, words)."""
     for b in batches:
         ids = b.column(0).to_numpy(zero_copy_only=False)
-        wanted = b.column(2)
-        many = np.asarray(wanted.value_lengths()).astype(np.int64)
-        want = (np.repeat(np.arange(len(many)), many) << 32) | np.asarray(wanted.flatten())
-        for i, x in _walk(b):
-            hit = np.isin(((i + x.row) << 32) | x.number, want)
-            line, h = x.sets(None)
-            n = np.bincount(line, minlength=len(x.start))
-            keep = hit[line]
-            size = n[hit]
-            words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(h[keep].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i + x.row[hit]]), pa.array(x.number[hit]), words], ["doc_id", "line_no", "words"])
+        data, off = tb.buffers(b.column(1))
+        many = np.asarray(b.column(2).value_lengths()).astype(np.int64)
+        want = (np.repeat(np.arange(len(many)), many) << 32) | np.asarray(b.column(2).flatten())
+        for i, j in tb.slices(off):
+            d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
+            s, e = tb.spans(d, o, _NOT_BREAK)
+            row = tb.owner(s, o)
+            breaks = np.flatnonzero(d == 10)
+            number = np.searchsorted(breaks, s) - np.searchsorted(breaks, o[row])
+            hit = np.isin(((i + row) << 32) | number, want)
+            s, e, row, number = s[hit], e[hit], row[hit], number[hit]
+            size = e - s
+            lines = Lines(d[np.repeat(s, size) + tb.ragged(size)], np.concatenate([[0], np.cumsum(size)]))
+            line, h = lines.sets(None)
+            n = np.bincount(line, minlength=len(lines.start))
+            words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i + row[lines.row]]), pa.array(number[lines.row]), words], ["doc_id", "line_no", "words"])
+
+
+def _verified(d: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The (yd, yl) of ``pairs`` whose word sets are similar to those at (xd, xl)."""
+    places = pairs.select(F.col("xd").alias("doc_id"), F.col("xl").alias("line_no")).union(pairs.select("yd", "yl")).distinct()
+    needed = places.groupBy("doc_id").agg(F.collect_list("line_no").alias("lines"))
+    stats = needed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()
+    with_lines = d.join(runtime.small(needed, int(stats[0]) * 5 + int(stats[1]), 8), "doc_id")
+    words, _ = runtime.written(with_lines.select("doc_id", "text", "lines").mapInArrow(_fetch, "doc_id long, line_no long, words array<long>"))
+    words = words.dropDuplicates(["doc_id", "line_no"])
+    of = lambda s: words.select(F.col("doc_id").alias(f"{s}d"), F.col("line_no").alias(f"{s}l"), F.col("words").alias(f"{s}w"))
+    shared = F.size(F.array_intersect("xw", "yw"))
+    both = pairs.select("xd", "xl", "yd", "yl").distinct().join(of("x"), ["xd", "xl"]).join(of("y"), ["yd", "yl"]).select("yd", "yl", shared.alias("o"), (F.size("xw") + F.size("yw")).alias("n"))
+    return both.filter((100 + percent) * F.col("o") >= percent * F.col("n")).select("yd", "yl").distinct()
 
 
-def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, line_no, match_doc_id, match_line_no, jaccard) of every line to remove.
+def duplicate_lines(docs: DataFrame, percent: int = PERCENT, partners: int = PARTNERS) -> DataFrame:
+    """(doc_id, line_no, copy) of every line to remove; copy says that an earlier line has the same bytes.
 
     Lines are what line feeds separate, numbered from 0; words are runs of
     ASCII letters, digits and non-ASCII characters in lower case.  A line is
-    removed if an earlier line, itself removed or not, is similar enough; the
-    match named is the first line with the same bytes if that is earlier, else
-    the earliest similar line.  Lines without words are never removed; null and
-    empty texts have none.  A null doc_id counts as the smallest (its lines come
-    back with a null doc_id).  Rows that share a doc_id are one document: equal
-    lines at equal places count as one line.  Other columns aren't read.
+    removed if an earlier line, itself removed or not, is similar enough.
+    Lines without words are never removed; null and empty texts have none.  A
+    null doc_id counts as the smallest (its lines come back with a null
+    doc_id).  Rows that share a doc_id are one document: equal lines at equal
+    places count as one line.  Other columns aren't read.  ``partners`` affects
+    speed only.
     """
     spark = docs.sparkSession
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     scanned, _ = runtime.written(d.mapInArrow(_scan, "chunk int, counts binary, k0 long, k1 long, doc_id long, line_no long"))
     lines = scanned.filter("chunk IS NULL").select("k0", "k1", "doc_id", "line_no")
-    firsts, _ = runtime.written(lines.groupBy("k0", "k1").agg(F.min(F.struct("doc_id", "line_no")).alias("p")).select("k0", "k1", "p.doc_id", "p.line_no"))
+    repeated = lines.groupBy("k0", "k1").agg(F.min(F.struct("doc_id", "line_no")).alias("p"), F.max(F.struct("doc_id", "line_no")).alias("q")).filter("p < q").select("k0", "k1", "p")
+    copies = lines.join(repeated, ["k0", "k1"]).filter(F.struct("doc_id", "line_no") != F.col("p")).select("doc_id", "line_no").distinct()
 
     # 2**22 counts of two bytes, however large the corpus
     sums = scanned.filter("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk").mapInArrow(_sum_counts, "chunk int, counts binary")
@@ -224,28 +295,19 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         rarity[r["chunk"] << _CHUNK_BITS : (r["chunk"] + 1) << _CHUNK_BITS] = np.frombuffer(r["counts"], np.uint16)
     shared = spark.sparkContext.broadcast(rarity)
 
-    postings = d.mapInArrow(_postings(lambda: shared.value, percent), "word long, size_pos long, k0 long, k1 long, parity long")
-    pairs, _ = runtime.written(postings.repartition(F.col("word")).mapInArrow(_candidates(percent), "a0 long, a1 long, b0 long, b1 long").distinct())
-    place = lambda s: firsts.select(F.col("k0").alias(f"{s}0"), F.col("k1").alias(f"{s}1"), F.struct("doc_id", "line_no").alias(s))
-    placed, _ = runtime.written(pairs.join(place("a"), ["a0", "a1"]).join(place("b"), ["b0", "b1"]).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")))
-
-    needed = placed.select("x.*").union(placed.select("y.*")).distinct().groupBy("doc_id").agg(F.collect_list("line_no").alias("lines"))
-    stats = needed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()
-    with_lines = d.join(runtime.small(needed, int(stats[0]) * 5 + int(stats[1]), 8), "doc_id")
-    words, _ = runtime.written(with_lines.select("doc_id", "text", "lines").mapInArrow(_fetch, "doc_id long, line_no long, words array<long>").dropDuplicates(["doc_id", "line_no"]))
-    of = lambda s: words.select(F.struct("doc_id", "line_no").alias(s), F.col("words").alias(f"{s}w"))
-    both = placed.join(of("x"), "x").join(of("y"), "y").withColumn("o", F.size(F.array_intersect("xw", "yw")))
-    near = (
-        both.withColumn("u", F.size("xw") + F.size("yw") - F.col("o"))
-        .filter(100 * F.col("o") >= percent * F.col("u"))
-        .groupBy("y")
-        .agg(F.min(F.struct("x", (F.col("o") / F.col("u")).alias("j"))).alias("m"))
-        .select("y.doc_id", "y.line_no", F.col("m.x.doc_id").alias("match_doc_id"), F.col("m.x.line_no").alias("match_line_no"), F.col("m.j").alias("jaccard"))
-    )
-    first = firsts.select("k0", "k1", F.col("doc_id").alias("match_doc_id"), F.col("line_no").alias("match_line_no"))
-    same = lines.join(first, ["k0", "k1"]).filter("doc_id <> match_doc_id OR line_no <> match_line_no").select("doc_id", "line_no", "match_doc_id", "match_line_no", F.lit(1.0).alias("jaccard")).distinct()
-    back = lambda c: F.when(F.col(c) != _LOWEST, F.col(c)).alias(c)
-    return near.unionByName(same).select(back("doc_id"), "line_no", back("match_doc_id"), "match_line_no", "jaccard")
+    postings = d.mapInArrow(_postings(lambda: shared.value, percent), "word long, size_pos long, k long, parity long, doc_id long, line_no long")
+    met = postings.repartition(F.shiftright("word", 32))
+    schema = "xd long, xl long, yd long, yl long, more boolean"
+    pairs, _ = runtime.written(met.mapInArrow(_candidates(percent, partners), schema))
+    near, _ = runtime.written(_verified(d, pairs, percent))
+    unsure = pairs.filter("more").select("yd", "yl").distinct().join(near, ["yd", "yl"], "left_anti")
+    unsure, _ = runtime.written(unsure)
+    if not unsure.isEmpty():
+        every, _ = runtime.written(met.mapInArrow(_candidates(percent, None), schema).join(unsure, ["yd", "yl"], "left_semi"))
+        near = near.union(_verified(d, every, percent)).distinct()
+    marked = near.select(F.col("yd").alias("doc_id"), F.col("yl").alias("line_no"), F.lit(0).alias("c")).union(copies.select("doc_id", "line_no", F.lit(1)))
+    doc = F.when(F.col("doc_id") != _LOWEST, F.col("doc_id")).alias("doc_id")
+    return marked.groupBy("doc_id", "line_no").agg(F.max("c").alias("c")).select(doc, "line_no", (F.col("c") == 1).alias("copy"))
 
 
 def drop_duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
