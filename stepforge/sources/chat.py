@@ -1,0 +1,117 @@
+"""Chat message lists: the common API shape, role/value exports, and typed content blocks."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from typing import Any
+
+from stepforge.functions import values
+from stepforge.sources import model
+
+_SPEAKERS = {
+    "assistant": ("ai", "assistant", "gpt", "model"),
+    "tool": ("function", "function_response", "observation", "tool", "tool_response"),
+    "user": ("human", "user"),
+    "system": ("system",),
+}
+SPEAKER = {alias: role for role, aliases in _SPEAKERS.items() for alias in aliases}
+
+
+def role_of(msg: dict[str, Any]) -> str | None:
+    """``role`` as it is in lower case; only ``from`` has aliases."""
+    if msg.get("role"):
+        return str(msg["role"]).lower()
+    return SPEAKER.get(str(msg.get("from") or "").lower())
+
+
+def _is_block(b: Any) -> bool:
+    return isinstance(b, str) or (isinstance(b, dict) and ("text" in b or str(b.get("type", "")).endswith("text")))
+
+
+def is_blocks(v: Any) -> bool:
+    """A list of text blocks; a list of data is none."""
+    return isinstance(v, list) and bool(v) and all(map(_is_block, v))
+
+
+def _block_text(b: Any) -> str:
+    if isinstance(b, str):
+        return b
+    return next((b[k] for k in ("text", "content", "value") if isinstance(b.get(k), str)), "")
+
+
+def flat(blocks: list[Any]) -> str:
+    return "\n".join(filter(None, map(_block_text, blocks)))
+
+
+def _first_present(msg: dict[str, Any], *names: str) -> Any:
+    return next((msg[n] for n in names if n in msg), None)
+
+
+def text_of(msg: dict[str, Any]) -> str:
+    v = _first_present(msg, "content", "value", "text")
+    if is_blocks(v):
+        return flat(v)
+    return "" if v is None else v if isinstance(v, str) else str(v)
+
+
+def payload(msg: dict[str, Any]) -> Any:
+    v = _first_present(msg, "content", "value", "output", "text")
+    return flat(v) if is_blocks(v) else v
+
+
+def arguments(raw: Any) -> tuple[dict[str, Any], str | None]:
+    """(arguments, emitted text): strict JSON; anything but an object leaves no arguments."""
+    if isinstance(raw, dict):
+        return raw, None
+    if raw in (None, ""):
+        return {}, None
+    if not isinstance(raw, str):
+        return {}, str(raw)
+    value, ok = values.loads(raw)
+    return (value if ok and isinstance(value, dict) else {}), raw
+
+
+def outcome(msg: dict[str, Any]) -> str:
+    if "status" in msg:
+        return model.status_of(msg["status"])
+    http = msg.get("http_status")
+    failed = msg.get("error") is not None or (isinstance(http, int) and http >= 400)
+    return "error" if failed else "unknown"
+
+
+def tool_calls(msg: dict[str, Any]) -> Iterator[dict[str, Any]]:
+    for c in msg.get("tool_calls") or []:
+        f = c["function"] if "function" in c else c
+        args, raw = arguments(f.get("arguments"))
+        yield model.call(str(c.get("id", "")), f.get("name") or "", args, raw)
+
+
+def steps(messages: list[dict[str, Any]]) -> Iterator[dict[str, Any]]:
+    for m in messages:
+        role = role_of(m)
+        if role == "tool":
+            yield model.result(str(m.get("tool_call_id", "")), payload(m), outcome(m), m.get("error"), m.get("http_status"))
+        elif role == "assistant":
+            if said := text_of(m):
+                yield model.message(role, said)
+            yield from tool_calls(m)
+        elif role in ("user", "system"):
+            yield model.message(role, text_of(m))
+
+
+def from_messages(messages: list[dict[str, Any]], run_id: str = "openai-run", final: Any = None) -> dict[str, Any]:
+    made = list(steps(messages))
+    return model.trace(run_id, made, model.last_words(made) if final is None else final)
+
+
+def traces(doc: Any, **_: Any) -> list[dict[str, Any]]:
+    """A ``messages`` object, a message, a list of messages, or a list of any of these."""
+    if isinstance(doc, dict):
+        if isinstance(doc.get("messages"), list):
+            return [from_messages(doc["messages"], str(doc.get("run_id", "openai-run")), doc.get("final"))]
+        return [from_messages([doc])] if "role" in doc else []
+    if not isinstance(doc, list):
+        return []
+    if doc and all(isinstance(m, dict) and "role" in m for m in doc):
+        return [from_messages(doc)]
+    return [t for item in doc for t in traces(item)]
