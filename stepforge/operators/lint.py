@@ -27,9 +27,17 @@ def lint(traces: DataFrame, registry: Registry | None = None, rules: Iterable[st
     that the checks share one pass over the documents; the caller ends it with
     ``spark.catalog.clearCache()``.
     """
-    reg = registry or Registry()
+    return lint_views(R.Views(traces, registry or Registry()), rules, keep)
+
+
+def lint_steps(steps: DataFrame, registry: Registry | None = None, rules: Iterable[str | R.Rule] | None = None, keep: bool = False) -> DataFrame:
+    """The same for a table of steps (trace_key, run_id, idx and model.STEP)."""
+    return lint_views(R.Views(None, registry or Registry(), steps), rules, keep)
+
+
+def lint_views(v: R.Views, rules: Iterable[str | R.Rule] | None = None, keep: bool = False) -> DataFrame:
+    reg = v.registry
     chosen = [r if isinstance(r, R.Rule) else R.selected([r])[0] for r in rules or ()] or R.selected()
-    v = R.Views(traces, reg)
     if keep:
         v.pairs.persist(StorageLevel.MEMORY_AND_DISK)
     parts = []

@@ -38,16 +38,19 @@ def exception_marker(content: Column) -> Column:
 class Views:
     """The relations that the checks share; each is planned once, and Spark computes its exchange once."""
 
-    traces: DataFrame
+    traces: DataFrame | None
     registry: Registry
-    steps: DataFrame = field(init=False)
+    #: Given instead of ``traces`` where steps are rows of a table already.
+    steps: DataFrame | None = field(default=None)
 
     def __post_init__(self) -> None:
-        self.steps = model.steps_of(self.traces)
+        self.nested = self.steps is None
+        if self.nested:
+            self.steps = model.steps_of(self.traces)
 
     @cached_property
     def declared(self) -> DataFrame:
-        return self.registry.frame(self.traces.sparkSession)
+        return self.registry.frame(self.steps.sparkSession)
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -67,8 +70,12 @@ class Views:
     @cached_property
     def counts(self) -> DataFrame:
         """(trace_key, run_id, n_calls, n_results, n_schemas) of every trace, also of one without steps: counted
-        inside the row, with no exchange."""
+        inside the row, with no exchange, unless steps are all there is."""
         with_schema = [t.name for t in self.registry.tools.values() if t.schema is not None]
+        if not self.nested:
+            n = lambda c: F.count(F.when(c, 1))
+            has = (F.col("kind") == model.CALL) & F.col("tool").isin(with_schema) if with_schema else F.lit(False)
+            return self.steps.groupBy("trace_key", "run_id").agg(n(pairing.is_call()).alias("n_calls"), n(pairing.is_result()).alias("n_results"), n(has).alias("n_schemas"))
         kinds = lambda k: F.size(F.filter("steps", lambda s: s["kind"] == k))
         schemas = F.size(F.filter("steps", lambda s: (s["kind"] == model.CALL) & s["tool"].isin(with_schema))) if with_schema else F.lit(0)
         return self.traces.select("trace_key", "run_id", kinds(model.CALL).alias("n_calls"), kinds(model.RESULT).alias("n_results"), schemas.alias("n_schemas"))
