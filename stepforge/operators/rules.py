@@ -54,7 +54,9 @@ class Views:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return pairing.paired(pairing.derived(self.steps))
+        # one exchange by trace serves every window below; a table of steps brings its own
+        s = self.steps.repartition("trace_key") if self.nested else self.steps
+        return pairing.paired(pairing.derived(s))
 
     @cached_property
     def calls(self) -> DataFrame:

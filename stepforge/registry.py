@@ -9,9 +9,11 @@ from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stepforge.functions import jsonschema, predicates
 
+BROADCAST_BYTES = 64 << 20
 FLAGS = ("idempotent", "side_effecting", "polling", "paginated")
 ROWS = """tool string, schema_json string, schema_problem string, idempotent boolean, side_effecting boolean,
   polling boolean, paginated boolean, failure_json string, schema_version string, provided array<string>,
@@ -91,7 +93,8 @@ class Registry:
         return out
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        """One row for each tool.  It grows with the declarations, not with the traces."""
+        """One row for each tool, to be broadcast while its schemas are of BROADCAST_BYTES at most; it grows with the
+        declarations, not with the traces.  A join of its own would send all calls of a tool to one task."""
         rows = []
         for t in self.tools.values():
             problem = jsonschema.schema_problem(t.schema) if t.schema is not None else None
@@ -101,4 +104,5 @@ class Registry:
                 (t.name, None if t.schema is None else json.dumps(t.schema), problem, *map(t.flag, FLAGS))
                 + (None if t.failure is None else json.dumps(t.failure), t.schema_version, of("provided"), of("generated"), closed, {k: str(v) for k, v in t.origins.items()})
             )
-        return spark.createDataFrame(rows, ROWS)
+        df = spark.createDataFrame(rows, ROWS)
+        return F.broadcast(df) if sum(len(str(r)) for r in rows) <= BROADCAST_BYTES else df
