@@ -11,7 +11,11 @@ with it.
    order whatever the counts' precision), and sends the prefix that any similar
    line must share a word of.  Words meet in one task; pairs there must pass the
    length filter, the positional filter, and a bound on the symmetric
-   difference from 64-bit parity bitmaps of the sets.
+   difference from 64-bit parity bitmaps of the sets.  A long line is cut by
+   word hash into groups of 32 to 64 words, each with a prefix and a bitmap of
+   its own: if two lines are similar then so is at least one pair of their
+   groups, for the line's overlap and union are sums over the groups.  So a
+   bitmap never fills up, whatever a line's length.
 3. For each line the likeliest earlier partners (least difference of bitmaps)
    are verified: a third pass fetches the word sets of these lines alone, and
    the Jaccard similarity is computed exactly.  In a dense group one partner
@@ -122,6 +126,42 @@ def least_overlap(percent: int, total):
 _ONCE = 100
 
 
+#: Words of a group at which a 64-bit bitmap still tells sets apart.
+GROUP_WORDS = 32
+
+
+def splits(n: np.ndarray) -> np.ndarray:
+    """log2 of the number of groups into which a line of n words is cut: groups have 32 to 64 words on average."""
+    return np.log2(np.maximum(n // GROUP_WORDS, 1)).astype(np.int64)
+
+
+def _group_postings(x: Lines, doc, key, line, h, n, split, sent, rarity, percent: int) -> pa.RecordBatch:
+    """Prefix postings of the groups of the lines in ``sent``; words come sorted by line and rarity."""
+    use = sent[line]
+    line, h = line[use], h[use]
+    group = (h >> np.uint64(6)).astype(np.int64) & ((1 << split[line]) - 1)
+    if split[sent].any():
+        order = np.lexsort((group, line))  # stable: words stay in order of rarity
+        line, h, group = line[order], h[order], group[order]
+    first = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (group[1:] != group[:-1])])
+    size = np.diff(np.r_[first, len(line)])
+    of = line[first]
+    parity = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), first)
+    prefix = size - (-(-percent * size // 100)) + 1
+    owner = np.repeat(np.arange(len(size)), prefix)
+    pos = tb.ragged(prefix)
+    at = first[owner] + pos
+    shared = rarity[h[at] >> np.uint64(64 - _BUCKET_BITS)] > _ONCE
+    owner, pos, at = owner[shared], pos[shared], at[shared]
+    # lines that are cut alike meet; the word before is 0 at the start: if two groups agree in it they have met there already
+    cut = tb.mix(split[of[owner]].astype(np.uint64) + np.uint64(1))
+    before = np.where(pos > 0, h[at - 1] >> np.uint64(32), np.uint64(0))
+    word = ((h[at] ^ cut) & ~np.uint64(0xFFFFFFFF)) | before
+    of = of[owner]
+    cols = (word.view(np.int64), (n[of] << 36) | (size[owner] << 18) | pos, key[of], parity[owner].view(np.int64), doc[of], x.number[of])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], _POSTING)
+
+
 def _postings(rarity_of, percent: int):
     def run(batches):
         rarity = rarity_of().astype(np.uint64)
@@ -140,19 +180,10 @@ def _postings(rarity_of, percent: int):
                 recent[:, slot[fresh]] = np.stack([key, doc, x.number])[:, fresh]
                 line, h = x.sets(rarity)
                 n = np.bincount(line, minlength=len(x.start))
-                first = np.cumsum(n) - n
-                parity = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), first)
-                prefix = np.where(fresh, n - (-(-percent * n // 100)) + 1, 0)
-                owner = np.repeat(np.arange(len(n)), prefix)
-                pos = tb.ragged(prefix)
-                at = first[owner] + pos
-                shared = rarity[h[at] >> np.uint64(64 - _BUCKET_BITS)] > _ONCE
-                owner, pos, at = owner[shared], pos[shared], at[shared]
-                # the word before, 0 at the start: if two lines agree in it they have met there already
-                before = np.where(pos > 0, h[at - 1] >> np.uint64(32), np.uint64(0))
-                word = (h[at] & ~np.uint64(0xFFFFFFFF)) | before
-                cols = (word.view(np.int64), (n[owner] << 32) | pos, key[owner], parity[owner].view(np.int64), doc[owner], x.number[owner])
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], _POSTING)
+                first_split, other = splits(n), splits(-(-percent * n // 100))
+                for split, sent in ((first_split, fresh), (other, fresh & (other != first_split))):
+                    if sent.any():
+                        yield _group_postings(x, doc, key, line, h, n, split, sent, rarity, percent)
 
     return run
 
@@ -160,19 +191,21 @@ def _postings(rarity_of, percent: int):
 _POSTING = ["word", "size_pos", "k", "parity", "doc_id", "line_no"]
 
 
-def similar_in_groups(word, size, pos, key, parity, place, percent: int, most: int | None = None):
+def similar_in_groups(word, size, pos, key, parity, place, percent: int, most: int | None = None, whole=None):
     """(earlier row, later row, difference of bitmaps) of pairs with one word that pass every filter, and the rows
     that met more than ``most`` earlier partners, whose pairs may be incomplete.
 
     word: the word above 32 bits, the word before it below; place: (rows, 2), document and line number.
+    ``size`` counts the words of a posting's group, ``whole`` those of its line.
     Postings of equal lines are merged into the earliest place.
     """
+    whole = size if whole is None else whole
     order = np.lexsort((place[:, 1], place[:, 0], parity, key, size, word >> np.uint64(32)))
-    word, size, pos, key, parity, place = (v[order] for v in (word, size, pos, key, parity, place))
+    word, size, pos, key, parity, place, whole = (v[order] for v in (word, size, pos, key, parity, place, whole))
     before, word = word & np.uint64(0xFFFFFFFF), word >> np.uint64(32)
     if len(word):
         keep = np.r_[True, (word[1:] != word[:-1]) | (key[1:] != key[:-1]) | (parity[1:] != parity[:-1])]
-        order, before, word, size, pos, parity, place = (v[keep] for v in (order, before, word, size, pos, parity, place))
+        order, before, word, size, pos, parity, place, whole = (v[keep] for v in (order, before, word, size, pos, parity, place, whole))
     rank = np.empty(len(word), np.int64)
     rank[np.lexsort((place[:, 1], place[:, 0]))] = np.arange(len(word))
     full = np.zeros(len(word), np.int64)
@@ -188,7 +221,7 @@ def similar_in_groups(word, size, pos, key, parity, place, percent: int, most: i
         total = size[at] + size[to]
         apart = total - 2 * least_overlap(percent, total)
         # no word before this one is shared, or the pair met there: so all of them differ
-        ok = (pos[at] + pos[to] <= apart) & ((before[at] != before[to]) | (pos[at] == 0) | (pos[to] == 0))
+        ok = (pos[at] + pos[to] <= apart) & (100 * np.minimum(whole[at], whole[to]) >= percent * np.maximum(whole[at], whole[to])) & ((before[at] != before[to]) | (pos[at] == 0) | (pos[to] == 0))
         if most is not None:
             ok &= full[later] <= 4 * most
         a, b, later, apart = at[ok], to[ok], later[ok], apart[ok]
@@ -208,7 +241,7 @@ def _candidates(percent: int, most: int | None):
             return
         t = pa.Table.from_batches(got)
         word, sp, key, parity, doc, line = (t.column(c).to_numpy() for c in range(6))
-        pairs, cut = similar_in_groups(word.view(np.uint64), sp >> 32, sp & 0xFFFFFFFF, key, parity.view(np.uint64), np.stack([doc, line], 1), percent, most)
+        pairs, cut = similar_in_groups(word.view(np.uint64), (sp >> 18) & 0x3FFFF, sp & 0x3FFFF, key, parity.view(np.uint64), np.stack([doc, line], 1), percent, most, sp >> 36)
         x, y, diff = pairs
         # rows of one line at one place are one: (y's place, difference, x's place), the likeliest first
         order = np.lexsort((line[x], doc[x], diff, line[y], doc[y]))
