@@ -33,7 +33,7 @@ def session() -> SparkSession:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="stepforge", description="Deterministic checks of the traces of tool-calling agents.")
-    p.add_argument("--version", action="version", version=__version__)
+    p.add_argument("--version", version=__version__, action="version")
     sub = p.add_subparsers(dest="command")
     c = sub.add_parser("check", help="check files of traces")
     c.add_argument("traces", nargs="+", help="files or patterns; .jsonl has one document a line")
@@ -44,16 +44,16 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--json", dest="json_out", help="file for the reports as JSON")
     c.add_argument("--html", dest="html_out", help="file for the reports as a page")
     c.add_argument("--findings", dest="table_out", help="folder for the findings as Parquet, written by the executors")
-    c.add_argument("--include-candidates", action="store_true")
+    c.add_argument("--include-candidates", help="also show what is for review", action="store_true")
     c.add_argument("--quiet", action="store_true")
     d = sub.add_parser("demo", help="validation cases and recovery scorecards")
     d.add_argument("--html", dest="html_out")
-    d.add_argument("--runs", type=int, default=3)
+    d.add_argument("--runs", default=3, type=int)
     s = sub.add_parser("scorecard", help="recovery of the demonstration agent")
     s.add_argument("--demo", action="store_true")
-    s.add_argument("--buggy", action="store_true", help="the agent that ignores errors")
+    s.add_argument("--buggy", help="the agent that ignores errors", action="store_true")
     s.add_argument("--faults", type=listed, default=["timeout", "error", "rate_limit"])
-    s.add_argument("--runs", type=int, default=1)
+    s.add_argument("--runs", default=1, type=int)
     return p
 
 
@@ -87,7 +87,7 @@ def demo(a: argparse.Namespace) -> int:
     good = sum(ok for *_, ok in results)
     print(f"validation: {good}/{len(results)} cases behaved as expected")
     for c, _, ok in results:
-        print(f"  [{'PASS' if ok else 'FAIL'}] {c.name} - {c.expectation}")
+        print(f"  [{('FAIL', 'PASS')[ok]}] {c.name} - {c.expectation}")
     cards = []
     for careless in (False, True):
         sc = reliability.scorecard(spark, reliability.order_task(careless), ["timeout", "error", "rate_limit"], runs=max(1, a.runs))

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stepforge.functions import values
+from stepforge.functions.values import Doc
 
 #: Longest value shown in evidence.
 SHOWN = 120
@@ -38,11 +39,11 @@ def resolve(content: Any, pointer: str) -> tuple[Any, bool]:
     return content, True
 
 
-def compiled(declared: Any) -> dict[str, Any] | None:
+def compiled(declared: Any) -> Doc | None:
     """The usable part of a ``failure_when`` declaration, or None if it tests nothing."""
     if not isinstance(declared, dict) or not isinstance(declared.get("pointer"), str):
         return None
-    out: dict[str, Any] = {"pointer": declared["pointer"]}
+    out: Doc = {"pointer": declared["pointer"]}
     if isinstance(declared.get("in"), list) and declared["in"]:
         out["in"] = declared["in"]
     if "equals" in declared:
@@ -63,7 +64,7 @@ def text_of(value: Any) -> str:
     return value if isinstance(value, str) else json.dumps(value, sort_keys=True, default=str)
 
 
-def holds(pred: dict[str, Any], content: Any) -> bool:
+def holds(pred: Doc, content: Any) -> bool:
     value, found = resolve(content, pred["pointer"])
     if not found:
         return False
@@ -79,7 +80,7 @@ def holds(pred: dict[str, Any], content: Any) -> bool:
         return False
 
 
-def shown(pred: dict[str, Any], content: Any) -> str:
+def shown(pred: Doc, content: Any) -> str:
     text = repr(resolve(content, pred["pointer"])[0])
     return f"{pred['pointer'] or '(result)'}={text if len(text) <= SHOWN else text[: SHOWN - 3] + '...'}"
 

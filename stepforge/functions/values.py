@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: A JSON object.
+Doc = dict[str, Any]
 #: Argument names whose values differ from call to call without changing its meaning.
 VOLATILE_ARGS = frozenset(
     "idempotency_key nonce request_id requestid span_id time timestamp trace_id traceid ts".split()
@@ -47,7 +49,7 @@ def loads_lenient(raw: Any) -> tuple[Any, str | None]:
         return value, None
     try:
         literal = ast.literal_eval(raw)
-    except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+    except (RecursionError, MemoryError, TypeError, SyntaxError, ValueError):
         literal = None
     return (literal, None) if isinstance(literal, (dict, list)) else (raw, raw)
 
@@ -58,7 +60,8 @@ def dumps(value: Any, ordered: bool = False) -> str:
 
 
 def normal(value: Any) -> str:
-    return _BLANKS.sub(" ", str(value).strip().casefold())
+    folded = str(value).casefold()
+    return _BLANKS.sub(" ", folded.strip())
 
 
 def only_digits(value: Any) -> str:
@@ -109,9 +112,10 @@ def kind_of(value: Any) -> str:
     return "array"
 
 
-def stable_args(args: dict[str, Any]) -> str:
+def stable_args(args: Doc) -> str:
     """Arguments without volatile names, as one text."""
-    return dumps({k: v for k, v in args.items() if k.lower() not in VOLATILE_ARGS}, True)
+    kept = [k for k in args if k.lower() not in VOLATILE_ARGS]
+    return dumps({k: args[k] for k in kept}, True)
 
 
 ARGS_INFO = """struct<key string, empty boolean, identifying array<string>,

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepforge.functions.values import arrow_column
+from stepforge.functions.values import Doc, arrow_column
 from stepforge.operators import pairing
 from stepforge.sources import model
 
@@ -28,7 +28,7 @@ FAULTS: dict[str, tuple[Any, str, str | None, int | None]] = {
     "empty": ([], "ok", None, None),
     "truncated": (None, "ok", None, None),
     "wrong_schema": ({"unexpected_field": True}, "ok", None, None),
-    "denied": ({"status": "declined", "reason": "insufficient_funds"}, "ok", None, None),
+    "denied": ({"reason": "insufficient_funds", "status": "declined"}, "ok", None, None),
 }
 
 
@@ -48,7 +48,7 @@ def truncated(content: Any) -> Any:
     return text[: max(1, len(text) // 2)]
 
 
-def rendered(fault: str, call_id: str, original: Any = None, ordinal: int | None = None) -> dict[str, Any]:
+def rendered(fault: str, call_id: str, original: Any = None, ordinal: int | None = None) -> Doc:
     """The result that a call with this fault gets."""
     content, status, error, http = FAULTS[known(fault)]
     if fault == "truncated":

@@ -12,6 +12,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepforge.functions.values import Doc
 from stepforge.operators import rules as R
 from stepforge.registry import Registry
 from stepforge.sources import loader, model
@@ -78,7 +79,7 @@ def overall_exit(reported: DataFrame) -> DataFrame:
     return reported.agg(F.coalesce(F.max("exit_code"), F.lit(EXIT_OK)).alias("overall_exit"))
 
 
-def collected(traces: DataFrame, findings: DataFrame) -> list[dict[str, Any]]:
+def collected(traces: DataFrame, findings: DataFrame) -> list[Doc]:
     """Reports as objects, in the order of traces and rules; for renderings, which one person reads."""
     keys = traces.select("trace_key", "run_id").orderBy("trace_key").collect()
     out = {k["trace_key"]: {"run_id": k["run_id"], "findings": [], "exit_code": EXIT_OK} for k in keys}
@@ -94,7 +95,7 @@ def collected(traces: DataFrame, findings: DataFrame) -> list[dict[str, Any]]:
     return list(out.values())
 
 
-def trace_rule(id: str, finding_type: str, check: Callable[[dict[str, Any]], list[dict[str, Any]]], reason=None) -> R.Rule:
+def trace_rule(id: str, finding_type: str, check: Callable[[Doc], list[Doc]], reason=None) -> R.Rule:
     """A check written for one trace at a time: it gets the trace's native document and returns findings
     (tier, summary, evidence with step_indices).
 
@@ -115,7 +116,7 @@ def trace_rule(id: str, finding_type: str, check: Callable[[dict[str, Any]], lis
     return R.Rule(id, finding_type, lambda v: v.traces.groupBy("trace_key").applyInPandas(per_trace, R.FINDING), reason)
 
 
-def lint_docs(spark, docs: list[Any], fmt: str, registry: Registry | None = None, rules=None, tool_names=()) -> list[dict[str, Any]]:
+def lint_docs(spark, docs: list[Any], fmt: str, registry: Registry | None = None, rules=None, tool_names=()) -> list[Doc]:
     """Reports of a few documents in the driver's memory."""
     t = loader.from_docs(spark, docs, fmt, tool_names)
     return collected(t, lint(t, registry, rules))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stepforge.functions.values import text_info
 
-SEPARATORS = ("", " ", "-", "/", "_")
+SEPARATORS = ("", *"/_- ")
 
 
 def sources(pairs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ FINDING = """trace_key string, run_id string, rule_ord int, finding_ord array<in
 HARD_EVENT, HARD_DEFECT, CANDIDATE = "hard_event", "hard_defect", "candidate"
 #: Calls in a row that make a loop.
 LOOP = 3
-_EXCEPTION = r"(?iU)traceback \(most recent call last\)|\bexception\b|\b[A-Za-z]*Error\b|\bfail(?:ed|ure)\b|http\s*[45]\d\d|\berrno\b"
+_EXCEPTION = r"(?iU)\b(?:exception|[A-Za-z]*Error|failed|failure|errno)\b|http\s*[45]\d\d|traceback \(most recent call last\)"
 
 
 def exception_marker(content: Column) -> Column:

@@ -11,6 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stepforge.functions.values import Doc
 from stepforge.functions import jsonschema, predicates
 
 BROADCAST_BYTES = 64 << 20
@@ -24,7 +25,7 @@ ROWS = """tool string, schema_json string, schema_problem string, idempotent boo
 class Tool:
     name: str
     schema: Any = None
-    metadata: dict[str, Any] = field(default_factory=dict)
+    metadata: Doc = field(default_factory=dict)
     schema_version: str | None = None
     origins: dict[str, str] = field(default_factory=dict)
 
@@ -32,7 +33,7 @@ class Tool:
         if not self.origins:
             self.origins = {k: s["x-value-origin"] for k, s in self.properties().items() if isinstance(s, dict) and "x-value-origin" in s}
 
-    def properties(self) -> dict[str, Any]:
+    def properties(self) -> Doc:
         props = self.schema.get("properties") if isinstance(self.schema, dict) else None
         return props if isinstance(props, dict) else {}
 
@@ -44,7 +45,7 @@ class Tool:
         return list((self.metadata or {}).get("retryable_errors") or ())
 
     @property
-    def failure(self) -> dict[str, Any] | None:
+    def failure(self) -> Doc | None:
         return predicates.compiled((self.metadata or {}).get("failure_when"))
 
 
@@ -70,7 +71,7 @@ class Registry:
         return list(self.tools)
 
     @classmethod
-    def from_dict(cls, data: dict[str, Any]) -> Registry:
+    def from_dict(cls, data: Doc) -> Registry:
         table = data["tools"] if "tools" in data else data
         made = []
         for name, d in table.items():
@@ -83,7 +84,7 @@ class Registry:
         return cls.from_dict(json.loads(Path(path).read_text(encoding="utf-8")))
 
     @classmethod
-    def from_chat_tools(cls, tools: list[dict[str, Any]]) -> Registry:
+    def from_chat_tools(cls, tools: list[Doc]) -> Registry:
         """From the function definitions that a chat model is given."""
         out = cls()
         for t in tools:

@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 
 from stepforge import agents
 from stepforge.functions import stats
-from stepforge.functions.values import normal
+from stepforge.functions.values import Doc, normal
 from stepforge.operators import faults, lint
 from stepforge.registry import Registry
 from stepforge.sources import model
 
 #: Judges a run: (trace, toolset) to true or false.
-Oracle = Callable[[dict[str, Any], agents.Toolset], bool]
+Oracle = Callable[[Doc, agents.Toolset], bool]
 
 
 @dataclass
@@ -31,16 +31,16 @@ class Task:
     name: str
     text: str
     tools: Callable[[], agents.Toolset]
-    decide: Callable[[], Callable[[agents.Steps], dict[str, Any]]]
+    decide: Callable[[], Callable[[agents.Steps], Doc]]
     oracle: Oracle | None = None
     system: str | None = None
 
 
-def _final(trace: dict[str, Any]) -> str | None:
+def _final(trace: Doc) -> str | None:
     return None if trace["final_json"] is None else str(json.loads(trace["final_json"]))
 
 
-def tool_called(name: str, args: dict[str, Any] | None = None) -> Oracle:
+def tool_called(name: str, args: Doc | None = None) -> Oracle:
     def check(trace, tools):
         for c in agents.called(trace["steps"], name):
             own = json.loads(c["args_json"])

@@ -7,7 +7,9 @@ from html import escape
 from pathlib import Path
 from typing import Any
 
-Report = dict[str, Any]
+from stepforge.functions.values import Doc
+
+Report = Doc
 TIERS = {
     "hard_defect": ("#b3261e", "provable from the trace and the declarations alone; fails the build"),
     "hard_event": ("#9a5b00", "something that did happen, such as a tool error; no defect by itself"),
@@ -68,15 +70,15 @@ def texts(reports: list[Report], include_candidates: bool = False) -> str:
     return "\n\n".join([head, *(text(r, include_candidates) for r in reports)])
 
 
-def as_object(reports: list[Report]) -> dict[str, Any]:
+def as_object(reports: list[Report]) -> Doc:
     return {"overall_exit": overall(reports), "reports": reports}
 
 
 def write(path: str | Path, content: Any) -> None:
     """Text as it is, anything else as JSON; folders are made."""
-    p = Path(path)
-    p.parent.mkdir(parents=True, exist_ok=True)
-    p.write_text(content if isinstance(content, str) else json.dumps(content, ensure_ascii=False, indent=2), encoding="utf-8")
+    target = Path(path)
+    target.parent.mkdir(exist_ok=True, parents=True)
+    target.write_text(content if isinstance(content, str) else json.dumps(content, ensure_ascii=False, indent=2), encoding="utf-8")
 
 
 def read(path: str | Path) -> Any:
@@ -111,7 +113,7 @@ def _findings(r: Report) -> str:
     return _table(["rule", "tier", "where", "what"], rows) if rows else "<p>No findings.</p>"
 
 
-def _steps(trace: dict[str, Any]) -> str:
+def _steps(trace: Doc) -> str:
     rows = []
     for i, s in enumerate(trace["steps"]):
         said = s["content"] if s["kind"] == "message" else s["args_json"] if s["kind"] == "tool_call" else s["content_json"]

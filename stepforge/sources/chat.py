@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+from stepforge.functions.values import Doc
 from stepforge.functions import values
 from stepforge.sources import model
 
@@ -17,7 +18,7 @@ _SPEAKERS = {
 SPEAKER = {alias: role for role, aliases in _SPEAKERS.items() for alias in aliases}
 
 
-def role_of(msg: dict[str, Any]) -> str | None:
+def role_of(msg: Doc) -> str | None:
     """``role`` as it is in lower case; only ``from`` has aliases."""
     if msg.get("role"):
         return str(msg["role"]).lower()
@@ -43,23 +44,23 @@ def flat(blocks: list[Any]) -> str:
     return "\n".join(filter(None, map(_block_text, blocks)))
 
 
-def _first_present(msg: dict[str, Any], *names: str) -> Any:
+def _first_present(msg: Doc, *names: str) -> Any:
     return next((msg[n] for n in names if n in msg), None)
 
 
-def text_of(msg: dict[str, Any]) -> str:
+def text_of(msg: Doc) -> str:
     v = _first_present(msg, "content", "value", "text")
     if is_blocks(v):
         return flat(v)
     return "" if v is None else v if isinstance(v, str) else str(v)
 
 
-def payload(msg: dict[str, Any]) -> Any:
+def payload(msg: Doc) -> Any:
     v = _first_present(msg, "content", "value", "output", "text")
     return flat(v) if is_blocks(v) else v
 
 
-def arguments(raw: Any) -> tuple[dict[str, Any], str | None]:
+def arguments(raw: Any) -> tuple[Doc, str | None]:
     """(arguments, emitted text): strict JSON; anything but an object leaves no arguments."""
     if isinstance(raw, dict):
         return raw, None
@@ -71,7 +72,7 @@ def arguments(raw: Any) -> tuple[dict[str, Any], str | None]:
     return (value if ok and isinstance(value, dict) else {}), raw
 
 
-def outcome(msg: dict[str, Any]) -> str:
+def outcome(msg: Doc) -> str:
     if "status" in msg:
         return model.status_of(msg["status"])
     http = msg.get("http_status")
@@ -79,14 +80,14 @@ def outcome(msg: dict[str, Any]) -> str:
     return "error" if failed else "unknown"
 
 
-def tool_calls(msg: dict[str, Any]) -> Iterator[dict[str, Any]]:
+def tool_calls(msg: Doc) -> Iterator[Doc]:
     for c in msg.get("tool_calls") or []:
         f = c["function"] if "function" in c else c
         args, raw = arguments(f.get("arguments"))
         yield model.call(str(c.get("id", "")), f.get("name") or "", args, raw)
 
 
-def steps(messages: list[dict[str, Any]]) -> Iterator[dict[str, Any]]:
+def steps(messages: list[Doc]) -> Iterator[Doc]:
     for m in messages:
         role = role_of(m)
         if role == "tool":
@@ -99,12 +100,12 @@ def steps(messages: list[dict[str, Any]]) -> Iterator[dict[str, Any]]:
             yield model.message(role, text_of(m))
 
 
-def from_messages(messages: list[dict[str, Any]], run_id: str = "openai-run", final: Any = None) -> dict[str, Any]:
+def from_messages(messages: list[Doc], run_id: str = "openai-run", final: Any = None) -> Doc:
     made = list(steps(messages))
     return model.trace(run_id, made, model.last_words(made) if final is None else final)
 
 
-def traces(doc: Any, **_: Any) -> list[dict[str, Any]]:
+def traces(doc: Any, **_: Any) -> list[Doc]:
     """A ``messages`` object, a message, a list of messages, or a list of any of these."""
     if isinstance(doc, dict):
         if isinstance(doc.get("messages"), list):

@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepforge.functions.values import _arrow
+from stepforge.functions.values import Doc, _arrow
 from stepforge.sources import chat, model, native, observations, spans
 
-ADAPTERS: dict[str, Callable[..., list[dict[str, Any]]]] = {
+ADAPTERS: dict[str, Callable[..., list[Doc]]] = {
     "native": native.traces,
     "openinference": spans.traces,
     "otel": spans.traces,
@@ -26,7 +26,7 @@ ADAPTERS: dict[str, Callable[..., list[dict[str, Any]]]] = {
 }
 
 
-def adapter(fmt: str | None) -> Callable[..., list[dict[str, Any]]]:
+def adapter(fmt: str | None) -> Callable[..., list[Doc]]:
     if (fmt or "native") not in ADAPTERS:
         raise ValueError(f"unknown format {fmt!r}; there are {', '.join(ADAPTERS)}")
     return ADAPTERS[fmt or "native"]

@@ -13,6 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stepforge.functions.values import Doc
 from stepforge.functions import values
 
 STEP = """kind string, role string, content string, call_id string, tool string, args_json string, raw_text string,
@@ -28,7 +29,7 @@ META = (
 _BLANK = dict.fromkeys(STEP_NAMES)
 
 
-def _meta(meta: dict[str, Any] | None) -> str | None:
+def _meta(meta: Doc | None) -> str | None:
     kept = {k: meta[k] for k in META if meta.get(k) is not None and meta[k] is not False} if meta else {}
     return values.dumps(kept) if kept else None
 
@@ -41,19 +42,19 @@ def as_text(x: Any) -> str | None:
     return x if x is None or isinstance(x, str) else values.dumps(x)
 
 
-def message(role: str, text: str, meta: dict | None = None) -> dict[str, Any]:
+def message(role: str, text: str, meta: dict | None = None) -> Doc:
     if role not in ROLES:
         raise ValueError(f"unknown role {role!r}")
     return _BLANK | {"kind": MESSAGE, "role": role, "content": text, "meta_json": _meta(meta)}
 
 
-def call(call_id: str, tool: str, args: dict[str, Any], raw_text: str | None = None, meta: dict | None = None) -> dict[str, Any]:
+def call(call_id: str, tool: str, args: Doc, raw_text: str | None = None, meta: dict | None = None) -> Doc:
     if not isinstance(args, dict):
         raise ValueError(f"arguments of {tool!r} are no object")
     return _BLANK | {"kind": CALL, "call_id": call_id, "tool": tool, "args_json": values.dumps(args), "raw_text": raw_text, "meta_json": _meta(meta)}
 
 
-def result(call_id: str, content: Any, status: Any = None, error: Any = None, http_status: Any = None, meta: dict | None = None) -> dict[str, Any]:
+def result(call_id: str, content: Any, status: Any = None, error: Any = None, http_status: Any = None, meta: dict | None = None) -> Doc:
     http = http_status if isinstance(http_status, int) and not isinstance(http_status, bool) else None
     return _BLANK | {
         "kind": RESULT, "call_id": call_id, "content_json": values.dumps(content), "status": status_of(status),
@@ -61,16 +62,16 @@ def result(call_id: str, content: Any, status: Any = None, error: Any = None, ht
     }
 
 
-def trace(run_id: str, steps: list[dict[str, Any]], final: Any = None) -> dict[str, Any]:
+def trace(run_id: str, steps: list[Doc], final: Any = None) -> Doc:
     return {"run_id": run_id, "final_json": None if final is None else values.dumps(final), "steps": steps}
 
 
-def last_words(steps: list[dict[str, Any]]) -> str | None:
+def last_words(steps: list[Doc]) -> str | None:
     """Text of the last assistant turn that has any."""
     return next((s["content"] for s in reversed(steps) if s["role"] == "assistant" and s["content"]), None)
 
 
-def exported(t: dict[str, Any]) -> dict[str, Any]:
+def exported(t: Doc) -> Doc:
     """The native document of a canonical trace (row or dict)."""
     out = []
     for s in t["steps"]:
@@ -86,9 +87,9 @@ def exported(t: dict[str, Any]) -> dict[str, Any]:
     return {"run_id": t["run_id"], "steps": out, "final": json.loads(t["final_json"]) if t["final_json"] else None}
 
 
-def chat_messages(t: dict[str, Any]) -> list[dict[str, Any]]:
+def chat_messages(t: Doc) -> list[Doc]:
     """The trace as the message list of a chat model; consecutive calls share one assistant turn."""
-    out: list[dict[str, Any]] = []
+    out: list[Doc] = []
     for s in t["steps"]:
         if s["kind"] == MESSAGE:
             out.append({"role": s["role"], "content": s["content"]})
@@ -102,7 +103,7 @@ def chat_messages(t: dict[str, Any]) -> list[dict[str, Any]]:
     return out
 
 
-def frame(spark: SparkSession, traces: list[dict[str, Any]]) -> DataFrame:
+def frame(spark: SparkSession, traces: list[Doc]) -> DataFrame:
     """Traces made on the driver (fixtures, simulations) as a table; keys follow their order."""
     rows = [(f"trace#{i:09d}", t["run_id"], t["final_json"], [tuple(s[n] for n in STEP_NAMES) for s in t["steps"]]) for i, t in enumerate(traces)]
     return spark.createDataFrame(rows, TRACE)

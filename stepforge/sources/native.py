@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from typing import Any
 
+from stepforge.functions.values import Doc
 from stepforge.sources import model
 
 
-def step(d: dict[str, Any]) -> dict[str, Any]:
+def step(d: Doc) -> Doc:
     meta = d.get("meta") or None
     match d.get("type"):
         case model.MESSAGE:
@@ -19,7 +20,7 @@ def step(d: dict[str, Any]) -> dict[str, Any]:
     raise ValueError(f"unknown step type {d.get('type')!r}")
 
 
-def traces(doc: Any, **_: Any) -> list[dict[str, Any]]:
+def traces(doc: Any, **_: Any) -> list[Doc]:
     """A trace, or an array of traces."""
     docs = doc if isinstance(doc, list) else [doc]
     return [model.trace(d.get("run_id", ""), [step(s) for s in d.get("steps", [])], d.get("final")) for d in docs]
