@@ -21,7 +21,8 @@ with it.
    the Jaccard similarity is computed exactly.  In a dense group one partner
    settles a line, so pairs stay linear in the lines.  Only if a line had more
    partners than were kept and none of them was similar, the join runs once more
-   with all partners for the lines still open, so the result is exact.
+   with all partners, at the prefix words of the lines still open, so the result
+   is exact.
 """
 
 from __future__ import annotations
@@ -162,7 +163,15 @@ def _group_postings(x: Lines, doc, key, line, h, n, split, sent, rarity, percent
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], _POSTING)
 
 
-def _postings(rarity_of, percent: int):
+def _among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which values are among sorted keys."""
+    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+    return keys[at] == values if len(keys) else np.zeros(len(values), bool)
+
+
+def _postings(rarity_of, percent: int, wanted=None):
+    """``wanted`` gives the sorted words (32 bits) to which the postings are restricted."""
+
     def run(batches):
         rarity = rarity_of().astype(np.uint64)
         # lines sent lately from an earlier place aren't sent again; others are merged where they arrive
@@ -183,7 +192,11 @@ def _postings(rarity_of, percent: int):
                 first_split, other = splits(n), splits(-(-percent * n // 100))
                 for split, sent in ((first_split, fresh), (other, fresh & (other != first_split))):
                     if sent.any():
-                        yield _group_postings(x, doc, key, line, h, n, split, sent, rarity, percent)
+                        out = _group_postings(x, doc, key, line, h, n, split, sent, rarity, percent)
+                        if wanted is not None:
+                            out = out.filter(pa.array(_among(out.column(0).to_numpy() >> 32, wanted())))
+                        if out.num_rows:
+                            yield out
 
     return run
 
@@ -328,15 +341,26 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT, partners: int = PAR
         rarity[r["chunk"] << _CHUNK_BITS : (r["chunk"] + 1) << _CHUNK_BITS] = np.frombuffer(r["counts"], np.uint16)
     shared = spark.sparkContext.broadcast(rarity)
 
-    postings = d.mapInArrow(_postings(lambda: shared.value, percent), "word long, size_pos long, k long, parity long, doc_id long, line_no long")
-    met = postings.repartition(F.shiftright("word", 32))
+    columns = "word long, size_pos long, k long, parity long, doc_id long, line_no long"
+    word = F.shiftright("word", 32)
+    met = d.mapInArrow(_postings(lambda: shared.value, percent), columns).repartition(word)
     schema = "xd long, xl long, yd long, yl long, more boolean"
     pairs, _ = runtime.written(met.mapInArrow(_candidates(percent, partners), schema))
     near, _ = runtime.written(_verified(d, pairs, percent))
     unsure = pairs.filter("more").select("yd", "yl").distinct().join(near, ["yd", "yl"], "left_anti")
     unsure, _ = runtime.written(unsure)
     if not unsure.isEmpty():
-        every, _ = runtime.written(met.mapInArrow(_candidates(percent, None), schema).join(unsure, ["yd", "yl"], "left_semi"))
+        # the partners of these lines are found at their own prefix words alone
+        theirs = d.join(F.broadcast(unsure.select("yd").distinct()) if unsure.count() * 16 <= runtime.BROADCAST_BYTES else unsure.select("yd").distinct(), F.col("doc_id") == F.col("yd"), "left_semi")
+        theirs = theirs.mapInArrow(_postings(lambda: shared.value, percent), columns)
+        keys, _ = runtime.written(theirs.join(unsure, (F.col("doc_id") == F.col("yd")) & (F.col("line_no") == F.col("yl")), "left_semi").select(word.alias("w")).distinct())
+        if keys.count() * 8 <= runtime.BROADCAST_BYTES:
+            few = spark.sparkContext.broadcast(np.sort(keys.toArrow().column(0).to_numpy()))
+            again = d.mapInArrow(_postings(lambda: shared.value, percent, lambda: few.value), columns)
+        else:
+            again = d.mapInArrow(_postings(lambda: shared.value, percent), columns).join(keys, word == F.col("w"), "left_semi")
+        every = again.repartition(word).mapInArrow(_candidates(percent, None), schema)
+        every, _ = runtime.written(every.join(unsure, ["yd", "yl"], "left_semi"))
         near = near.union(_verified(d, every, percent)).distinct()
     marked = near.select(F.col("yd").alias("doc_id"), F.col("yl").alias("line_no"), F.lit(0).alias("c")).union(copies.select("doc_id", "line_no", F.lit(1)))
     doc = F.when(F.col("doc_id") != _LOWEST, F.col("doc_id")).alias("doc_id")
