@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepforge.llm import runtime
 from stepforge.llm import textbuf as tb
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -305,9 +306,6 @@ class Encoder:
         return ids, ends[np.searchsorted(start, off)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encode_decode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, token_ids, round_trip) of every row.
 
@@ -319,11 +317,9 @@ def encode_decode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
 
+    @runtime.trimmed
     def run(batches):
-        if vocabulary not in _ENCODERS:
-            _ENCODERS.clear()
-            _ENCODERS[vocabulary] = Encoder(shared.value)
-        enc = _ENCODERS[vocabulary]
+        enc = runtime.kept(f"bpe {vocabulary}", lambda: Encoder(shared.value))
         for b in batches:
             data, off = tb.buffers(b.column(1))
             null = ~np.asarray(b.column(1).is_valid())
@@ -353,6 +349,7 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, text) from (doc_id, token_ids); null ids give a null text, ids outside the vocabulary an error."""
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
 
+    @runtime.trimmed
     def run(batches):
         v = shared.value
         for b in batches:

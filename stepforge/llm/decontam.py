@@ -168,7 +168,7 @@ def matches(ix: Index, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndar
     """(row, item id, edits) of every item within its budget in every text."""
     out = []
     data, off = tb.buffers(texts)
-    for i, j in tb.slices(off, 1 << 22):
+    for i, j in tb.slices(off):
         d, o = normalised(texts.slice(i, j - i))
         row, item, low = candidates(ix, d, o)
         for c in range(0, len(row), 4096):
@@ -211,6 +211,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE
             continue
         shared = spark.sparkContext.broadcast(ix)
 
+        @runtime.trimmed
         def scan(batches, shared=shared):
             index = shared.value
             for b in batches:

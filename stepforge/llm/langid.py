@@ -155,6 +155,7 @@ class Scorer:
 def _count_batches(langs: list[str]):
     number = {x: i for i, x in enumerate(langs)}
 
+    @runtime.trimmed
     def run(batches):
         for b in batches:
             data, off = tb.buffers(b.column(1))
@@ -192,9 +193,6 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
     return Model(langs, {q: (lang[k == q], gram[k == q], n[k == q]) for q in range(ORDER + 1)})
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def identify(docs: DataFrame, model: Model, max_bits: float = MAX_BITS, names: tuple[str, str, str] = ("language", "bits_per_byte", "accepted")) -> DataFrame:
     """All columns of ``docs`` and three more: the language, the best code's bits for each byte, and whether it is accepted.
 
@@ -209,11 +207,9 @@ def identify(docs: DataFrame, model: Model, max_bits: float = MAX_BITS, names: t
     token = uuid.uuid4().hex
     at = docs.columns.index("text")
 
+    @runtime.trimmed
     def run(batches):
-        if token not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[token] = Scorer(shared.value)
-        scorer = _SCORERS[token]
+        scorer = runtime.kept(token, lambda: Scorer(shared.value))
         langs = np.array([*scorer.model.langs, None], object)
         for b in batches:
             n = b.num_rows

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepforge.llm import runtime
 from stepforge.llm import textbuf as tb
 
 #: Words of the shortest match that counts.
@@ -247,6 +248,7 @@ def license_spans(docs: DataFrame, templates=TEMPLATES, min_match: int = MIN_MAT
     """
     shared = docs.sparkSession.sparkContext.broadcast(Automaton(templates))
 
+    @runtime.trimmed
     def run(batches):
         a = shared.value
         for b in batches:

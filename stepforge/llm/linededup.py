@@ -88,6 +88,7 @@ def _walk(b: pa.RecordBatch):
             yield i, x
 
 
+@runtime.trimmed
 def _scan(batches):
     """Rows of lines (k0, k1, doc_id, line_no), and at the end rows of word counts (chunk, counts)."""
     count = np.zeros(1 << _BUCKET_BITS, np.uint32)
@@ -106,6 +107,7 @@ def _scan(batches):
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([blob], pa.binary()), *(pa.nulls(1, pa.int64()) for _ in range(4))], names)
 
 
+@runtime.trimmed
 def _sum_counts(batches):
     total: dict[int, np.ndarray] = {}
     for b in batches:
@@ -172,6 +174,7 @@ def _among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def _postings(rarity_of, percent: int, wanted=None):
     """``wanted`` gives the sorted words (32 bits) to which the postings are restricted."""
 
+    @runtime.trimmed
     def run(batches):
         rarity = rarity_of().astype(np.uint64)
         # lines sent lately from an earlier place aren't sent again; others are merged where they arrive
@@ -248,6 +251,7 @@ def similar_in_groups(word, size, pos, key, parity, place, percent: int, most: i
 
 
 def _candidates(percent: int, most: int | None):
+    @runtime.trimmed
     def run(batches):
         got = [b for b in batches if b.num_rows]
         if not got:
@@ -278,6 +282,7 @@ def _candidates(percent: int, most: int | None):
     return run
 
 
+@runtime.trimmed
 def _fetch(batches):
     """Word sets of the wanted lines: (doc_id, text, lines) -> (doc_id, line_no, words)."""
     for b in batches:

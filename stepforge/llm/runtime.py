@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +61,36 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is not in ``gone`` (one column of ids); a null doc_id stays."""
     ids, _ = written(gone.select(F.col(gone.columns[0]).alias("gone")).distinct())
     return docs.join(small(ids, ids.count(), 16), docs["doc_id"] == ids["gone"], "left_anti")
+
+
+def release() -> None:
+    """Gives freed memory back to the system; allocators otherwise keep it for as long as a Python worker lives."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def trimmed(run: Callable) -> Callable:
+    """A function of batches that leaves no free memory with its worker when a task ends."""
+
+    @functools.wraps(run)
+    def call(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return call
+
+
+_KEPT: dict[str, object] = {}
+
+
+def kept(token: str, make: Callable[[], object]) -> object:
+    """What a worker keeps from task to task; only the operator that runs now keeps anything."""
+    if token not in _KEPT:
+        _KEPT.clear()
+        _KEPT[token] = make()
+    return _KEPT[token]

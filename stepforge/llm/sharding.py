@@ -30,6 +30,7 @@ SALTS = 16
 _NOT_BREAK = ~tb.table(b"\n")
 
 
+@runtime.trimmed
 def _line_keys(batches):
     """(key, doc_id) of every distinct line with a word in it."""
     for b in batches:

@@ -159,6 +159,7 @@ def near_in_buckets(slot: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> t
     return np.concatenate(left), np.concatenate(right)
 
 
+@runtime.trimmed
 def _fingerprint_batches(batches):
     for b in batches:
         fp, has = fingerprints(b.column(1))
@@ -169,6 +170,7 @@ def _fingerprint_batches(batches):
 
 
 def _slot_batches(k: int, tables: int):
+    @runtime.trimmed
     def run(batches):
         at = samples(k, tables)
         # a weight matrix turns the rows of bits into all tables' keys in one product
@@ -187,6 +189,7 @@ def _slot_batches(k: int, tables: int):
 
 
 def _edge_batches(radius: int):
+    @runtime.trimmed
     def run(batches):
         got = [b for b in batches if b.num_rows]
         if not got:

@@ -3,7 +3,7 @@
 Every Python stage of this subpackage receives Arrow batches and works on the
 UTF-8 bytes of a whole column at once: token boundaries come from byte-class
 tables, token identities from polynomial hashes over prefix sums.  Batches are
-walked in slices of a few megabytes so that temporaries stay in cache and the
+walked in slices of a megabyte so that temporaries stay in cache and the
 worker's memory does not follow the batch size; a slice always holds whole
 documents.
 """
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 _M1 = np.uint64(0xFF51AFD7ED558CCD)
 _M2 = np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
