@@ -1,9 +1,12 @@
 """Sharding by balanced label propagation.
 
-Documents that share lines are linked; a shard is a label.  All shards start
-equally full, with no regard to links.  In every round half of the documents
-(another half each time, so that two neighbours don't swap for ever) ask for the
-shard with the greatest weight of their links, if it beats their own.  Moves
+Documents that share a line are neighbours, once for each line they share; a
+shard is a label.  All shards start equally full, with no regard to lines.  In
+every round half of the documents (another half each time, so that two
+neighbours don't swap for ever) ask for the shard that holds most of their
+neighbours, if it beats their own.  Every pair of documents of a line counts,
+however many they are, yet none is built: a line's documents are counted by
+shard, and a document's votes are the counts of its lines without itself.  Moves
 are granted so that no shard outgrows its capacity: between two shards as many
 one way as the other, and beyond that as many as fit into the target's free
 room; the moves with the greatest gains go first.  Each round is a few Spark
@@ -24,7 +27,7 @@ from stepforge.llm import textbuf as tb
 SHARDS = 16
 SLACK = 0.05
 ROUNDS = 8
-#: Links of a line that d documents share weigh this over d, 1 at least: rare lines bind.
+#: Links of line_links() of a line that d documents share weigh this over d, 1 at least.
 LINE_WEIGHT = 1000
 SALTS = 16
 _NOT_BREAK = ~tb.table(b"\n")
@@ -47,15 +50,29 @@ def _line_keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key[:, 1]), pa.array(key[:, 0])], ["key", "doc_id"])
 
 
+def _document_lines(docs: DataFrame) -> DataFrame:
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    return d.mapInArrow(_line_keys, "key long, doc_id long")
+
+
+def shared_lines(docs: DataFrame) -> DataFrame:
+    """(key, doc_id), each once: the lines with a word that more than one document has."""
+    lines, path = runtime.written(_document_lines(docs))
+    keys = lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("key")
+    out, _ = runtime.written(lines.join(keys, "key").distinct())
+    runtime.delete(docs.sparkSession, path)
+    return out
+
+
 def line_links(docs: DataFrame) -> DataFrame:
     """(a, b, w), a < b: links between documents that share lines, in linear number.
 
-    All documents of a line are linked to the smallest id among those of the
+    They tell which documents hang together.  Votes and cut_pairs() don't use
+    them, for most neighbours of a document aren't among its links.  All documents of a line are linked to the smallest id among those of the
     same salt, and these to the smallest of all, so a line of very many
     documents has no single hub.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    lines = d.mapInArrow(_line_keys, "key long, doc_id long").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    lines = _document_lines(docs).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     lines, _ = runtime.written(lines)
     local = lines.groupBy("key", "salt").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
     top = local.groupBy("key").agg(F.min("hub").alias("top"), F.max("last").alias("last"), F.sum("n").alias("n")).filter("top < last")
@@ -96,24 +113,32 @@ def quotas(asked: dict[tuple[int, int], int], size: list[int], cap: int, least:
     return {p: both[p] + extra[p] for p in asked}
 
 
-def balanced_labels(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, slack: float = SLACK, rounds: int = ROUNDS) -> DataFrame:
-    """(node, shard) for every node; sizes stay within ``slack`` of n / shards, or of one where the even start differs by more."""
+def wishes(placed: DataFrame, ask: Column) -> DataFrame:
+    """(u, src, dst, gain) of the documents that ``ask`` picks and that have more neighbours in another shard than in their own.
+
+    ``placed``: (key, u, src), a line, a document that has it and the document's shard.
+    """
+    counts = placed.groupBy("key", F.col("src").alias("shard")).agg(F.count(F.lit(1)).alias("n"))  # at most ``shards`` rows a line
+    others = F.col("n") - (F.col("shard") == F.col("src")).cast("long")
+    votes = placed.filter(ask).join(counts, "key").groupBy("u", "src", "shard").agg(F.sum(others).alias("w"))
+    best = votes.groupBy("u", "src").agg(F.max(F.struct("w", (-F.col("shard")).alias("to"))).alias("best"), F.max(F.when(F.col("shard") == F.col("src"), F.col("w"))).alias("own"))
+    return best.select("u", "src", (-F.col("best.to")).alias("dst"), (F.col("best.w") - F.col("own")).alias("gain")).filter("src <> dst AND gain > 0")
+
+
+def balanced_labels(nodes: DataFrame, lines: DataFrame, shards: int = SHARDS, slack: float = SLACK, rounds: int = ROUNDS) -> DataFrame:
+    """(node, shard) for every node; sizes stay within ``slack`` of n / shards, or of one where the even start differs by more.
+
+    ``lines``: (key, doc_id), each once; see shared_lines().
+    """
     spark = nodes.sparkSession
     labels, path = runtime.written(even_start(nodes.select("node").distinct(), shards))
     n = labels.count()
     cap = -(-n * round((1 + slack) * 10000) // (shards * 10000))
     least = n * round((1 - slack) * 10000) // (shards * 10000)
-    both, links_path = runtime.written(links.select(F.col("a").alias("u"), F.col("b").alias("v"), "w").union(links.select("b", "a", "w")))
     for r in range(rounds):
-        votes = both.filter(active(F.col("u"), r)).join(labels.select(F.col("node").alias("v"), "shard"), "v").groupBy("u", "shard").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("u").agg(F.max(F.struct("w", (-F.col("shard")).alias("to"))).alias("best"), F.map_from_entries(F.collect_list(F.struct("shard", "w"))).alias("all"))
-        own = F.coalesce(F.element_at("all", F.col("shard")), F.lit(0))
-        moves = (
-            best.join(labels.withColumnRenamed("node", "u"), "u")
-            .select("u", F.col("shard").alias("src"), (-F.col("best.to")).alias("dst"), (F.col("best.w") - own).alias("gain"))
-            .filter("src <> dst AND gain > 0")
-        )
-        moves, moves_path = runtime.written(moves)
+        placed, placed_path = runtime.written(lines.join(labels, F.col("doc_id") == F.col("node")).select("key", F.col("doc_id").alias("u"), F.col("shard").alias("src")))
+        moves, moves_path = runtime.written(wishes(placed, active(F.col("u"), r)))
+        runtime.delete(spark, placed_path)
         asked = {(x["src"], x["dst"]): x["n"] for x in moves.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).collect()}  # shards squared at most
         if not asked:
             runtime.delete(spark, moves_path)
@@ -128,25 +153,36 @@ def balanced_labels(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, sl
         runtime.delete(spark, path)
         runtime.delete(spark, moves_path)
         labels, path = nxt, nxt_path
-    runtime.delete(spark, links_path)
     return labels
 
 
 def cut_weight(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """One row (cut, total): weight of the links between shards, and of all links."""
+    """One row (cut, total): weight of the links between shards, and of all links; cut_pairs() counts real pairs."""
     of = lambda x, s: labels.select(F.col("node").alias(x), F.col("shard").alias(s))
     j = links.join(of("a", "sa"), "a").join(of("b", "sb"), "b")
     return j.agg(F.coalesce(F.sum(F.when(F.col("sa") != F.col("sb"), F.col("w"))), F.lit(0)).alias("cut"), F.coalesce(F.sum("w"), F.lit(0)).alias("total"))
 
 
+def cut_pairs(labels: DataFrame, lines: DataFrame) -> DataFrame:
+    """One row (cut, total): pairs of documents that share a line, once for each such line, between shards and in all.
+
+    ``labels``: (node, shard); ``lines``: (key, doc_id), each once.
+    """
+    n = lines.join(labels, F.col("doc_id") == F.col("node")).groupBy("key", "shard").agg(F.count(F.lit(1)).cast("decimal(19,0)").alias("n"))
+    of = n.groupBy("key").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    pairs = lambda twice: F.coalesce(F.sum(twice) / 2, F.lit(0)).cast("decimal(38,0)")
+    square = (F.col("all") * F.col("all")).cast("decimal(38,0)")
+    return of.agg(pairs(square - F.col("squares")).alias("cut"), pairs(square - F.col("all")).alias("total"))
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS, slack: float = SLACK, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, shard) for every doc_id; see balanced_labels() and line_links().
+    """(doc_id, shard) for every doc_id; see balanced_labels() and shared_lines().
 
-    Documents are linked by equal lines that hold a word.  Null and empty texts
-    have no links and stay where the even start put them.  A null doc_id has no
+    Documents are neighbours by equal lines that hold a word.  Null and empty
+    texts have none and stay where the even start put them.  A null doc_id has no
     shard and is left out; rows that share a doc_id are one document.  Ties
     between shards go to the lowest number.  Other columns aren't read.
     """
     nodes = docs.select(F.col("doc_id").cast("long").alias("node")).filter("node IS NOT NULL")
-    out = balanced_labels(nodes, line_links(docs), shards, slack, rounds)
+    out = balanced_labels(nodes, shared_lines(docs), shards, slack, rounds)
     return out.select(F.col("node").alias("doc_id"), "shard")

@@ -255,6 +255,38 @@ def test_sharding_is_even_and_cuts_less(spark):
     assert after["cut"] == want
 
 
+def test_every_neighbour_votes(spark):
+    rng = random.Random(12)
+    docs = [(i, "\n".join([*(f"team {i % 8} line {rng.randrange(40)}" for _ in range(5)), f"pair {(i * 7 % 400) // 2}"])) for i in range(400)]
+    df = spark.createDataFrame([*docs, docs[0]], "doc_id long, text string")
+    lines = sharding.shared_lines(df).cache()
+    by = {}
+    for d, text in docs:
+        for line in set(text.split("\n")):
+            by.setdefault(line, []).append(d)
+    assert sorted(len(m) for m in by.values() if len(m) > 1) == sorted(r["count"] for r in lines.groupBy("key").count().collect())
+
+    start = sharding.even_start(df.select(F.col("doc_id").alias("node")).distinct(), 4)
+    where = {r["node"]: r["shard"] for r in start.collect()}
+    votes = np.zeros((400, 4), int)
+    for m in by.values():
+        for a in m:
+            for b in m:
+                votes[a, where[b]] += a != b
+    want = {(d, where[d], int(v.argmax()), int(v.max() - v[where[d]])) for d, v in enumerate(votes) if v.max() > v[where[d]]}
+    placed = lines.join(start, F.col("doc_id") == F.col("node")).select("key", F.col("node").alias("u"), F.col("shard").alias("src"))
+    assert {tuple(r) for r in sharding.wishes(placed, F.lit(True)).collect()} == want and want
+
+    def cut(labels):
+        where = {r["node"]: r["shard"] for r in labels.collect()}
+        pairs = [where[a] != where[b] for m in by.values() for i, a in enumerate(m) for b in m[:i]]
+        got = sharding.cut_pairs(labels, lines).first()
+        assert (got["cut"], got["total"]) == (sum(pairs), len(pairs))
+        return sum(pairs)
+
+    assert cut(sharding.shard_documents(df, shards=4, slack=0.1).withColumnRenamed("doc_id", "node")) < 0.5 * cut(start)
+
+
 def test_quotas_keep_capacity():
     rng = random.Random(5)
     for _ in range(200):
