@@ -1,8 +1,10 @@
 """Line deduplication by an exact set-similarity join.
 
 A line is the set of its words.  A line goes if an earlier one, in order of
-(doc_id, line number), has Jaccard similarity of at least ``percent`` / 100
-with it.
+(doc_id, text version, line number), has Jaccard similarity of at least
+``percent`` / 100 with it.  Different texts under one doc_id, or under null, are
+versions, numbered from 0 in order of hash; a place is a doc_id and one number
+that holds the version above 32 bits and the line number below.
 
 1. One pass over the text counts word occurrences in 2**22 hash buckets and
    lists every line's hash and place.  Lines with the same bytes are merged by
@@ -29,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepforge.llm import runtime
@@ -42,6 +44,11 @@ _NOT_BREAK = ~tb.table(b"\n")
 _LOWEST = -(2**63)
 #: Partners of a line that one task sends to verification at first.
 PARTNERS = 4
+#: Bits of a place's number below the version.
+VERSION_BITS = 32
+#: Ranges of hash by which the versions of one doc_id are numbered.
+_RANGE_BITS = 10
+_NUMBER = (1 << VERSION_BITS) - 1
 
 
 class Lines:
@@ -80,11 +87,13 @@ class Lines:
 
 
 def _walk(b: pa.RecordBatch):
-    """Slices of a batch (doc_id, text) as (first row, Lines)."""
+    """Slices of a batch (doc_id, text, version) as (first row, Lines); line numbers hold the version."""
     data, off = tb.buffers(b.column(1))
+    version = b.column(2).to_numpy(zero_copy_only=False)
     for i, j in tb.slices(off):
         x = Lines(data[off[i] : off[j]], off[i : j + 1] - off[i])
         if len(x.start):
+            x.number = (version[i + x.row] << VERSION_BITS) | x.number
             yield i, x
 
 
@@ -284,12 +293,13 @@ def _candidates(percent: int, most: int | None):
 
 @runtime.trimmed
 def _fetch(batches):
-    """Word sets of the wanted lines: (doc_id, text, lines) -> (doc_id, line_no, words)."""
+    """Word sets of the wanted lines: (doc_id, text, version, lines) -> (doc_id, line_no, words)."""
     for b in batches:
         ids = b.column(0).to_numpy(zero_copy_only=False)
         data, off = tb.buffers(b.column(1))
-        many = np.asarray(b.column(2).value_lengths()).astype(np.int64)
-        want = (np.repeat(np.arange(len(many)), many) << 32) | np.asarray(b.column(2).flatten())
+        version = b.column(2).to_numpy(zero_copy_only=False)
+        many = np.asarray(b.column(3).value_lengths()).astype(np.int64)
+        want = (np.repeat(np.arange(len(many)), many) << 32) | (np.asarray(b.column(3).flatten()) & _NUMBER)
         for i, j in tb.slices(off):
             d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
             s, e = tb.spans(d, o, _NOT_BREAK)
@@ -303,16 +313,16 @@ def _fetch(batches):
             line, h = lines.sets(None)
             n = np.bincount(line, minlength=len(lines.start))
             words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i + row[lines.row]]), pa.array(number[lines.row]), words], ["doc_id", "line_no", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i + row[lines.row]]), pa.array((version[i + row[lines.row]] << VERSION_BITS) | number[lines.row]), words], ["doc_id", "line_no", "words"])
 
 
 def _verified(d: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The (yd, yl) of ``pairs`` whose word sets are similar to those at (xd, xl)."""
     places = pairs.select(F.col("xd").alias("doc_id"), F.col("xl").alias("line_no")).union(pairs.select("yd", "yl")).distinct()
-    needed = places.groupBy("doc_id").agg(F.collect_list("line_no").alias("lines"))
+    needed = places.groupBy("doc_id", F.shiftright("line_no", VERSION_BITS).alias("version")).agg(F.collect_list("line_no").alias("lines"))
     stats = needed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()
-    with_lines = d.join(runtime.small(needed, int(stats[0]) * 5 + int(stats[1]), 8), "doc_id")
-    words, _ = runtime.written(with_lines.select("doc_id", "text", "lines").mapInArrow(_fetch, "doc_id long, line_no long, words array<long>"))
+    with_lines = d.join(runtime.small(needed, int(stats[0]) * 6 + int(stats[1]), 8), ["doc_id", "version"])
+    words, _ = runtime.written(with_lines.select("doc_id", "text", "version", "lines").mapInArrow(_fetch, "doc_id long, line_no long, words array<long>"))
     words = words.dropDuplicates(["doc_id", "line_no"])
     of = lambda s: words.select(F.col("doc_id").alias(f"{s}d"), F.col("line_no").alias(f"{s}l"), F.col("words").alias(f"{s}w"))
     shared = F.size(F.array_intersect("xw", "yw"))
@@ -320,20 +330,49 @@ def _verified(d: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return both.filter((100 + percent) * F.col("o") >= percent * F.col("n")).select("yd", "yl").distinct()
 
 
-def duplicate_lines(docs: DataFrame, percent: int = PERCENT, partners: int = PARTNERS) -> DataFrame:
-    """(doc_id, line_no, copy) of every line to remove; copy says that an earlier line has the same bytes.
+def _versions(docs: DataFrame) -> DataFrame | None:
+    """(doc, h1, h2, version, copies) of the texts whose doc_id, null among them, has several rows; None if there are none.
 
-    Lines are what line feeds separate, numbered from 0; words are runs of
-    ASCII letters, digits and non-ASCII characters in lower case.  A line is
-    removed if an earlier line, itself removed or not, is similar enough.
-    Lines without words are never removed; null and empty texts have none.  A
-    null doc_id counts as the smallest (its lines come back with a null
-    doc_id).  Rows that share a doc_id are one document: equal lines at equal
-    places count as one line.  Other columns aren't read.  ``partners`` affects
-    speed only.
+    Equal rows of doc_id and text are one version and counted in ``copies``.
+    Versions are counts of whole hash ranges plus a rank within one, so the
+    texts of one doc_id aren't sorted in one place.
     """
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST))
+    ids, _ = runtime.written(docs.groupBy(id_.alias("doc")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc"))
+    count = ids.count()
+    if not count:
+        return None
+    texts = docs.select(id_.alias("doc"), *_text_hash()).join(runtime.small(ids, count, 16), "doc", "left_semi")
+    each, _ = runtime.written(texts.groupBy("doc", "h1", "h2").agg(F.count(F.lit(1)).alias("copies")).withColumn("range", F.shiftright("h1", 64 - _RANGE_BITS)))
+    sizes = each.groupBy("doc", "range").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("doc", "range", (F.sum("n").over(Window.partitionBy("doc").orderBy("range")) - F.col("n")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("doc", "range").orderBy("h1", "h2")) - 1
+    out, _ = runtime.written(each.withColumn("rank", rank).join(before, ["doc", "range"]).select("doc", "h1", "h2", (F.col("before") + F.col("rank")).alias("version"), "copies"))
+    return out
+
+
+def _text_hash() -> tuple[Column, Column]:
+    text = F.col("text").cast("string")
+    return F.xxhash64(text).alias("h1"), F.hash(text).alias("h2")
+
+
+def _with_versions(docs: DataFrame, versions: DataFrame | None, version: str, copies: str) -> DataFrame:
+    """``docs`` with its rows' versions and copies; 0 and 1 where a doc_id has one row."""
+    if versions is None:
+        return docs.withColumns({version: F.lit(0).cast("long"), copies: F.lit(1).cast("long")})
+    v = runtime.small(versions, versions.count(), 48).select(F.col("doc").alias("v_doc"), F.col("h1").alias("v_h1"), F.col("h2").alias("v_h2"), F.col("version").alias("v_version"), F.col("copies").alias("v_copies"))
+    on = (F.coalesce(docs["doc_id"].cast("long"), F.lit(_LOWEST)) == v["v_doc"]) & (F.xxhash64(docs["text"].cast("string")) == v["v_h1"]) & (F.hash(docs["text"].cast("string")) == v["v_h2"])
+    joined = docs.join(v, on, "left")
+    return joined.select(*[docs[f"`{c}`"] for c in docs.columns], F.coalesce(v["v_version"], F.lit(0)).alias(version), F.coalesce(v["v_copies"], F.lit(1)).alias(copies))
+
+
+def _marked(docs: DataFrame, versions: DataFrame | None, percent: int, partners: int) -> DataFrame:
+    """(doc_id, line_no, c): the places to remove, null as the lowest id; see duplicate_lines()."""
     spark = docs.sparkSession
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    d = _with_versions(d, versions, "version", "copies").select("doc_id", "text", "version")
+    if versions is not None:
+        d, _ = runtime.written(d)  # several passes follow
     scanned, _ = runtime.written(d.mapInArrow(_scan, "chunk int, counts binary, k0 long, k1 long, doc_id long, line_no long"))
     lines = scanned.filter("chunk IS NULL").select("k0", "k1", "doc_id", "line_no")
     repeated = lines.groupBy("k0", "k1").agg(F.min(F.struct("doc_id", "line_no")).alias("p"), F.max(F.struct("doc_id", "line_no")).alias("q")).filter("p < q").select("k0", "k1", "p")
@@ -368,8 +407,24 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT, partners: int = PAR
         every, _ = runtime.written(every.join(unsure, ["yd", "yl"], "left_semi"))
         near = near.union(_verified(d, every, percent)).distinct()
     marked = near.select(F.col("yd").alias("doc_id"), F.col("yl").alias("line_no"), F.lit(0).alias("c")).union(copies.select("doc_id", "line_no", F.lit(1)))
+    return marked.groupBy("doc_id", "line_no").agg(F.max("c").alias("c"))
+
+def duplicate_lines(docs: DataFrame, percent: int = PERCENT, partners: int = PARTNERS) -> DataFrame:
+    """(doc_id, line_no, copy) of every line to remove; copy says that an earlier line has the same bytes.
+
+    Lines are what line feeds separate, numbered from 0; words are runs of
+    ASCII letters, digits and non-ASCII characters in lower case.  A line is
+    removed if an earlier line, itself removed or not, is similar enough.
+    Lines without words are never removed; null and empty texts have none.  A
+    null doc_id counts as the smallest (its lines come back with a null
+    doc_id).  Rows that share a doc_id, or have none, are documents of their own
+    if their texts differ, in order of the texts' hashes; a number then comes
+    back once for each text.  Rows equal in doc_id and text are one document
+    here.  Other columns aren't read.  ``partners`` affects speed only.
+    """
+    marked = _marked(docs, _versions(docs), percent, partners)
     doc = F.when(F.col("doc_id") != _LOWEST, F.col("doc_id")).alias("doc_id")
-    return marked.groupBy("doc_id", "line_no").agg(F.max("c").alias("c")).select(doc, "line_no", (F.col("c") == 1).alias("copy"))
+    return marked.select(doc, F.col("line_no").bitwiseAND(_NUMBER).alias("line_no"), (F.col("c") == 1).alias("copy"))
 
 
 def drop_duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -377,15 +432,24 @@ def drop_duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     A document all of whose lines with words go is dropped; other documents
     keep their remaining lines in order, and n_chars, where there is such a
-    column, is the new length.
+    column, is the new length.  Of rows equal in doc_id and text that keep a
+    word one is left, any of them: the others' lines all have an equal one
+    before them.
     """
-    key, cut = runtime.fresh(docs, "cut_doc"), runtime.fresh(docs, "cut_lines")
-    removed, _ = runtime.written(duplicate_lines(docs, percent).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.col("line_no").cast("int")).alias(cut)))
+    doc, version, copies, key, number, cut = (runtime.fresh(docs, n) for n in ("doc_key", "text_version", "text_copies", "cut_doc", "cut_version", "cut_lines"))
+    versions = _versions(docs)
+    removed = _marked(docs, versions, percent, PARTNERS).groupBy(F.col("doc_id").alias(key), F.shiftright("line_no", VERSION_BITS).alias(number)).agg(F.collect_list(F.col("line_no").bitwiseAND(_NUMBER).cast("int")).alias(cut))
+    removed, _ = runtime.written(removed)
     stats = removed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(cut)), F.lit(0))).first()
-    joined = docs.join(runtime.small(removed, int(stats[0]) * 10 + int(stats[1]), 4), docs["doc_id"].eqNullSafe(removed[key]), "left")
+    placed = _with_versions(docs, versions, version, copies).withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)))
+    joined = placed.join(runtime.small(removed, int(stats[0]) * 12 + int(stats[1]), 4), (F.col(doc) == F.col(key)) & (F.col(version) == F.col(number)), "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(cut, i)), "\n")
     out = joined.withColumn("text", F.when(F.col(cut).isNull(), F.col("text")).otherwise(kept))
-    out = out.filter(F.col(cut).isNull() | F.col("text").rlike("[A-Za-z0-9\\x{80}-\\x{10FFFF}]"))
+    word = F.coalesce(F.col("text").rlike("[A-Za-z0-9\\x{80}-\\x{10FFFF}]"), F.lit(False))
+    out = out.filter(F.col(cut).isNull() | word)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    if versions is not None:
+        repeated = (F.col(copies) > 1) & word
+        out = out.filter(~repeated).union(out.filter(repeated).dropDuplicates([doc, version]))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

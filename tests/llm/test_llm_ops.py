@@ -226,6 +226,30 @@ def test_line_dedup_edges(spark):
     assert linededup.duplicate_lines(frame(spark).limit(0)).count() == 0
 
 
+def test_line_dedup_of_different_texts_under_one_id(spark):
+    rng = random.Random(13)
+    vocab = [f"w{i}" for i in range(200)]
+    base = [[rng.choice(vocab) for _ in range(rng.choice([6, 10, 30]))] for _ in range(8)]
+    docs = [(1, "sole line of its own"), (1, "sole line of its own"), (2, "."), (2, ".")]
+    for d in [None] * 12 + [5] * 12 + list(range(10, 20)):
+        lines = [list(rng.choice(base)) for _ in range(rng.randrange(1, 4))]
+        for b in lines:
+            b[rng.randrange(len(b))] = rng.choice(vocab)
+        docs.append((d, "\n".join(map(" ".join, lines))))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    # distinct rows in the order of places: null first, then by hash of the text
+    order = [(r["doc_id"], r["text"]) for r in df.distinct().orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.hash("text")).collect()]
+    gone = brute.duplicate_lines([(i, t) for i, (_, t) in enumerate(order)])
+    got = rows(linededup.duplicate_lines(df).select("doc_id", "line_no"))
+    assert got == sorted([(order[i][0], n) for i, n in gone], key=str) and gone
+    want = [(2, ".")]  # has no word, so both rows stay
+    for i, (d, t) in enumerate(order):
+        left = "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone)
+        if left == t or brute.WORD.search(left):
+            want.append((d, left))
+    assert rows(linededup.drop_duplicate_lines(df)) == sorted(want, key=str)
+
+
 # 8
 
 
