@@ -5,15 +5,15 @@ follow by comparing neighbours.  Pre-tokens are hashed; those a worker has not
 met are bucketed by length into padded matrices of token ids.  In every round
 each row merges its leftmost pair of least rank: ranks come from a hash table
 over id pairs, the row closes up over the merged cell, only the two pairs beside
-it are looked up again, and finished rows leave the matrix.  Pre-tokens longer
-than LONGEST bytes, for which a round per merge would be quadratic, go through
-an exact heap instead.
+it are looked up again, and finished rows leave the matrix.  A round goes on with
+the further pairs of that rank, as the order of merges allows, so that rounds
+don't grow with length, and long pre-tokens are first cut where no token of the
+vocabulary can lie across.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import unicodedata
 
 import numpy as np
@@ -25,7 +25,8 @@ from stepforge.llm import runtime
 from stepforge.llm import textbuf as tb
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-LONGEST = 512
+#: Bytes above which a pre-token is looked through for places that no token spans.
+LONG = 32
 NONE = np.int32(2**31 - 1)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 0
@@ -115,6 +116,7 @@ class Vocabulary:
         self.start = np.concatenate([[0], np.cumsum(self.length)])[:-1]
         self.bytes = np.frombuffer(b"".join(words), np.uint8)
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.trigrams = np.array(sorted({int.from_bytes(w[i : i + 3]) for w in ranks for i in range(len(w) - 2)} or {-1}), np.int64)
         left, right, rank = [], [], []
         for w, r in ranks.items():
             for i in range(1, len(w)):
@@ -158,94 +160,114 @@ class Vocabulary:
         return out
 
     def merge(self, matrix: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Encodes the rows of byte ids in place: (matrix, sizes) with the merged ids first in each row."""
+        """Encodes the rows of byte ids: (matrix, sizes) with the merged ids first in each row.
+
+        A round merges each row's leftmost pair of least rank and goes on with
+        the further places of that rank, left to right, for as long as no merge
+        makes a pair of lower rank, which would come first.
+        """
         rows, width = matrix.shape
         if width < 2:
             return matrix, size
-        rank = self.rank(matrix[:, :-1].ravel(), matrix[:, 1:].ravel()).reshape(rows, width - 1)
-        rank[np.arange(1, width)[None, :] >= size[:, None]] = NONE
-        active, m, s = np.arange(rows), matrix, size.copy()
+        rank = np.full((rows, width), NONE, np.int32)
+        rank[:, :-1] = self.rank(matrix[:, :-1].ravel(), matrix[:, 1:].ravel()).reshape(rows, width - 1)
+        rank[np.arange(1, width + 1)[None, :] >= size[:, None]] = NONE
+        active, m, s = np.arange(rows), matrix.copy(), size.copy()
         out, out_size = matrix.copy(), size.copy()
         while len(active):
-            at = rank.argmin(axis=1)  # the first minimum is the leftmost
-            line = np.arange(len(active))
-            best = rank[line, at]
+            best = rank.min(axis=1)
             done = best == NONE
             if done.any():
                 out[active[done], : m.shape[1]] = m[done]
                 out_size[active[done]] = s[done]
                 live = ~done
-                active, m, rank, s, at, best = active[live], m[live], rank[live], s[live], at[live], best[live]
-                if not len(active):
+                if not live.any():
                     break
-                most = max(int(s.max()), 2)
-                m, rank = m[:, :most], rank[:, : most - 1]
-                line = np.arange(len(active))
+                most = int(s[live].max())
+                active, best, s = active[live], best[live], s[live]
+                m, rank = m[live, :most], rank[live, :most]
             w = m.shape[1]
-            cell = np.arange(w)[None, :]
-            m = np.take_along_axis(m, np.minimum(cell + (cell > at[:, None]), w - 1), axis=1)
-            m[line, at] = best
-            cell = cell[:, : w - 1]
-            rank = np.take_along_axis(rank, np.minimum(cell + (cell >= at[:, None]), w - 2), axis=1)
-            s = s - 1
-            rank[cell >= (s - 1)[:, None]] = NONE
-            left = np.flatnonzero(at > 0)
-            if len(left):
-                rank[left, at[left] - 1] = self.rank(m[left, at[left] - 1], m[left, at[left]])
-            right = np.flatnonzero(at < s - 1)
-            if len(right):
-                rank[right, at[right]] = self.rank(m[right, at[right]], m[right, at[right] + 1])
+            hit = rank == best[:, None]
+            if (hit[:, 1:] & hit[:, :-1]).any():  # places that overlap: every other one of a run
+                cell = np.arange(w)[None, :]
+                hit &= (cell - np.maximum.accumulate(np.where(hit, -1, cell), axis=1)) % 2 == 1
+            ri, ci = np.nonzero(hit)
+            new = best[ri]
+            joined = (ci > 1) & hit[ri, ci - 2]  # the token before is one of this round
+            left, right = np.full(len(ri), NONE), np.full(len(ri), NONE)
+            at = np.flatnonzero(ci > 0)
+            left[at] = self.rank(np.where(joined[at], new[at], m[ri[at], ci[at] - 1]), new[at])
+            at = np.flatnonzero(ci + 2 < s[ri])
+            right[at] = self.rank(new[at], m[ri[at], ci[at] + 2])
+            early = np.minimum(left, right) < new
+            if early.any():
+                last = np.full(len(active), w)
+                np.minimum.at(last, ri[early], ci[early])
+                stay = ci <= last[ri]
+                ri, ci, new, joined, left, right = (v[stay] for v in (ri, ci, new, joined, left, right))
+            m[ri, ci], rank[ri, ci] = new, right
+            at = np.flatnonzero(ci > 0)
+            rank[ri[at], ci[at] - 1 - joined[at]] = left[at]
+            if len(ri) == len(active):  # one place in each row
+                cell = np.arange(w)[None, :]
+                to = np.minimum(cell + (cell > ci[:, None]), w - 1)
+                m, rank = np.take_along_axis(m, to, axis=1), np.take_along_axis(rank, to, axis=1)
+                s = s - 1
+            else:
+                keep = np.ones((len(active), w), bool)
+                keep[ri, ci + 1] = False
+                fro, cells = np.nonzero(keep)
+                to = np.cumsum(keep, axis=1)[fro, cells] - 1
+                m[fro, to], rank[fro, to] = m[fro, cells], rank[fro, cells]
+                s = s - np.bincount(ri, minlength=len(active))
+            rank[np.arange(1, w + 1)[None, :] >= s[:, None]] = NONE
         return out, out_size
 
-    def merge_long(self, ids: list[int]) -> list[int]:
-        """One long pre-token, by a heap of (rank, position) over a linked list."""
-        n = len(ids)
-        nxt, prv, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        a = np.array(ids, np.int32)
-        first = self.rank(a[:-1], a[1:])
-        heap = [(int(r), i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != NONE]
-        heapq.heapify(heap)
-        one = lambda x, y: int(self.rank(np.array([x], np.int32), np.array([y], np.int32))[0])
-        while heap:
-            r, i, x, y = heapq.heappop(heap)
-            j = nxt[i]
-            if not alive[i] or j >= n or ids[i] != x or ids[j] != y:
-                continue
-            ids[i], alive[j] = r, False
-            nxt[i] = nxt[j]
-            if nxt[i] < n:
-                prv[nxt[i]] = i
-                if (q := one(r, ids[nxt[i]])) != NONE:
-                    heapq.heappush(heap, (q, i, r, ids[nxt[i]]))
-            if prv[i] >= 0 and (q := one(ids[prv[i]], r)) != NONE:
-                heapq.heappush(heap, (q, prv[i], ids[prv[i]], r))
-        return [t for t, ok in zip(ids, alive, strict=True) if ok]
+    def segments(self, d: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, word) of the parts of long words that no token can span: a token over a boundary is the
+        two bytes beside it, or holds one of the two trigrams that do."""
+        size = end - start
+        long = np.flatnonzero(size > LONG)
+        if not len(long):
+            return start, end, np.arange(len(start))
+        n = size[long] - 1
+        of = np.repeat(long, n)
+        p = start[of] + 1 + tb.ragged(n)
+        x = np.concatenate([d, np.zeros(1, np.uint8)])
+        three = (x[p - 2].astype(np.int64) << 16) | (x[p - 1].astype(np.int64) << 8) | x[p]
+        tri = lambda v: self.trigrams[np.minimum(np.searchsorted(self.trigrams, v), len(self.trigrams) - 1)] == v
+        cut = self.rank(self.byte_id[x[p - 1]], self.byte_id[x[p]]) == NONE
+        cut &= ~((p - 2 >= start[of]) & tri(three))
+        cut &= ~((p + 1 < end[of]) & tri(((three << 8) & 0xFFFFFF) | x[p + 1]))
+        first, word = np.concatenate([start, p[cut]]), np.concatenate([np.arange(len(start)), of[cut]])
+        order = np.lexsort((first, word))
+        first, word = first[order], word[order]
+        return first, np.where(np.r_[word[1:] == word[:-1], False], np.r_[first[1:], 0], end[word]), word
 
     def encode_words(self, d: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each word), in the words' order."""
+        words = len(start)
+        start, end, word = self.segments(d, start, end)
         size = end - start
         count = np.zeros(len(start), np.int64)
         pieces: list[tuple[np.ndarray, np.ndarray]] = []
-        low = 0
-        for width in [1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, LONGEST]:
+        low, width = 0, 1
+        while low < int(size.max(initial=0)):
             rows = np.flatnonzero((size > low) & (size <= width))
-            low = width
-            for r in (rows[i : i + (1 << 22) // width] for i in range(0, len(rows), (1 << 22) // width)):
+            step = max(1, (1 << 22) // width)
+            for r in (rows[i : i + step] for i in range(0, len(rows), step)):
                 cell = start[r][:, None] + np.arange(width)[None, :]
                 inside = np.arange(width)[None, :] < size[r][:, None]
                 m = np.where(inside, self.byte_id[d[np.minimum(cell, len(d) - 1)]], np.int32(-1))
                 m, s = self.merge(m, size[r])
                 count[r] = s
                 pieces.append((r, m[np.arange(m.shape[1])[None, :] < s[:, None]]))
-        for r in np.flatnonzero(size > LONGEST):
-            ids = self.merge_long(self.byte_id[d[start[r] : end[r]]].tolist())
-            count[r] = len(ids)
-            pieces.append((np.array([r]), np.array(ids, np.int32)))
+            low, width = width, width + (1 if width < 4 else 1 << (width.bit_length() - 2))  # 1 2 3 4 6 8 12 16 24 32 ...
         first = np.cumsum(count) - count
         out = np.empty(int(count.sum()), np.int32)
         for r, ids in pieces:
             out[np.repeat(first[r], count[r]) + tb.ragged(count[r])] = ids
-        return out, count
+        return out, np.bincount(word, count, minlength=words).astype(np.int64)
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of a sequence of ids."""
@@ -312,8 +334,10 @@ def encode_decode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     token_ids encode the whole text; round_trip says that decoding them gave
     back the text's bytes.  An empty text has no tokens and round_trip true; a
     null text has nulls in all three.  Repeated rows and null ids are kept as
-    they are, other columns aren't read.  Special tokens' names in a text are
-    ordinary text.
+    they are, an empty table gives an empty one, and other columns aren't read.
+    Special tokens' names in a text are ordinary text.  A text of any length is
+    encoded whole, in memory in proportion to it; a pre-token of a megabyte goes
+    through the same matrices.  Of pairs with equal rank the leftmost is merged.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
 

@@ -184,7 +184,7 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
     langs = sorted({r["lang"] for r in ids})
     if not langs:
         return Model([], {})
-    chosen = docs.sparkSession.createDataFrame(sorted({r["doc_id"] for r in ids}), "long").withColumnRenamed("value", "doc_id")
+    chosen = runtime.rows_of(docs.sparkSession, doc_id=pa.array(sorted({r["doc_id"] for r in ids}), pa.int64()))
     sample = d.join(runtime.small(chosen, len(ids), 16), "doc_id", "left_semi").select("lang", "text")
     t = sample.mapInArrow(_count_batches(langs), "k int, lang int, gram long, n long").groupBy("k", "lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     k, lang, gram, n = (t.column(c).to_numpy() for c in ("k", "lang", "gram", "n"))

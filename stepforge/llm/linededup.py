@@ -7,8 +7,9 @@ versions, numbered from 0 in order of hash; a place is a doc_id and one number
 that holds the version above 32 bits and the line number below.
 
 1. One pass over the text counts word occurrences in 2**22 hash buckets and
-   lists every line's hash and place.  Lines with the same bytes are merged by
-   hash, so a hot line is one line from here on.
+   lists every line's place and 128-bit BLAKE2b digest, by which lines with the
+   same bytes are told.  Such lines are merged, so a hot line is one line from
+   here on.
 2. A second pass orders each line's words by the counts, rarest first (a global
    order whatever the counts' precision), and sends the prefix that any similar
    line must share a word of.  Words meet in one task; pairs there must pass the
@@ -17,10 +18,13 @@ that holds the version above 32 bits and the line number below.
    word hash into groups of 32 to 64 words, each with a prefix and a bitmap of
    its own: if two lines are similar then so is at least one pair of their
    groups, for the line's overlap and union are sums over the groups.  So a
-   bitmap never fills up, whatever a line's length.
+   bitmap never fills up, whatever a line's length.  At a hot word, one of more
+   than HOT occurrences, lines meet by the pair of it and a later word of the
+   prefix made one word longer: lines that must share two words share the first
+   two there.  So a word of very many lines is many groups, not one.
 3. For each line the likeliest earlier partners (least difference of bitmaps)
-   are verified: a third pass fetches the word sets of these lines alone, and
-   the Jaccard similarity is computed exactly.  In a dense group one partner
+   are verified: a third pass fetches the words of these lines alone, and the
+   Jaccard similarity is computed exactly, on the words themselves.  In a dense group one partner
    settles a line, so pairs stay linear in the lines.  Only if a line had more
    partners than were kept and none of them was similar, the join runs once more
    with all partners, at the prefix words of the lines still open, so the result
@@ -46,6 +50,10 @@ _LOWEST = -(2**63)
 PARTNERS = 4
 #: Bits of a place's number below the version.
 VERSION_BITS = 32
+#: Occurrences of a word (of its bucket) from which lines meet by two words.
+HOT = 1 << 15
+#: Postings' words in one task, about; the number of tasks follows from the corpus.
+TASK_WORDS = 1 << 21
 #: Ranges of hash by which the versions of one doc_id are numbered.
 _RANGE_BITS = 10
 _NUMBER = (1 << VERSION_BITS) - 1
@@ -55,6 +63,7 @@ class Lines:
     """The lines of a slice that hold a word, and their words in text order."""
 
     def __init__(self, data: np.ndarray, o: np.ndarray):
+        self.data = data
         ls, le = tb.spans(data, o, _NOT_BREAK)
         d = tb.LOWER[data]
         s, e = tb.spans(d, o, tb.WORD)
@@ -66,7 +75,7 @@ class Lines:
         self.row = tb.owner(self.start, o)
         breaks = np.flatnonzero(data == 10)
         self.number = np.searchsorted(breaks, self.start) - np.searchsorted(breaks, o[self.row])
-        self.key = [tb.hash_spans(data, self.start, self.end, which).view(np.int64) for which in (0, 1)]
+        self.key = tb.hash_spans(data, self.start, self.end, 1).view(np.int64)
 
     def sets(self, rarity: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """(line, word hash) of the distinct words, each line's rarest first; ties by hash."""
@@ -107,7 +116,8 @@ def _scan(batches):
         for i, x in _walk(b):
             np.add.at(count, x.hash >> np.uint64(64 - _BUCKET_BITS), np.uint32(1))
             m = len(x.start)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(x.key[0]), pa.array(x.key[1]), pa.array(ids[i + x.row]), pa.array(x.number)], names)
+            key = tb.digests(x.data, x.start, x.end)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(ids[i + x.row]), pa.array(x.number)], names)
     for c in range(1 << (_BUCKET_BITS - _CHUNK_BITS)):
         part = count[c << _CHUNK_BITS : (c + 1) << _CHUNK_BITS]
         at = np.flatnonzero(part)
@@ -147,7 +157,7 @@ def splits(n: np.ndarray) -> np.ndarray:
     return np.log2(np.maximum(n // GROUP_WORDS, 1)).astype(np.int64)
 
 
-def _group_postings(x: Lines, doc, key, line, h, n, split, sent, rarity, percent: int) -> pa.RecordBatch:
+def _group_postings(x: Lines, doc, key, line, h, n, split, sent, rarity, percent: int, hot: int) -> pa.RecordBatch:
     """Prefix postings of the groups of the lines in ``sent``; words come sorted by line and rarity."""
     use = sent[line]
     line, h = line[use], h[use]
@@ -159,16 +169,30 @@ def _group_postings(x: Lines, doc, key, line, h, n, split, sent, rarity, percent
     size = np.diff(np.r_[first, len(line)])
     of = line[first]
     parity = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), first)
-    prefix = size - (-(-percent * size // 100)) + 1
+    need = -(-percent * size // 100)
+    prefix = size - need + 1
     owner = np.repeat(np.arange(len(size)), prefix)
     pos = tb.ragged(prefix)
     at = first[owner] + pos
-    shared = rarity[h[at] >> np.uint64(64 - _BUCKET_BITS)] > _ONCE
-    owner, pos, at = owner[shared], pos[shared], at[shared]
+    rare = rarity[h[at] >> np.uint64(64 - _BUCKET_BITS)]
+    shared = rare > _ONCE
+    owner, pos, at, rare = owner[shared], pos[shared], at[shared], rare[shared]
+    second = np.zeros(len(at), np.uint64)
+    many = rare > min(4095, int(np.log2(hot + 1) * 100))
+    if many.any():
+        # groups that may share one word alone meet at it, all at two words of the longer prefix
+        one = ~many | (need[owner] == 1)
+        more = np.where(many, np.minimum(size[owner], prefix[owner] + 1) - pos - 1, 0)
+        src, step = np.repeat(np.arange(len(at)), more), tb.ragged(more) + 1
+        also = h[at[src] + step]
+        ok = rarity[also >> np.uint64(64 - _BUCKET_BITS)] > _ONCE
+        src, also = src[ok], also[ok]
+        owner, pos, at = (np.concatenate([v[one], v[src]]) for v in (owner, pos, at))
+        second = np.concatenate([second[one], tb.mix(also | np.uint64(1))])
     # lines that are cut alike meet; the word before is 0 at the start: if two groups agree in it they have met there already
     cut = tb.mix(split[of[owner]].astype(np.uint64) + np.uint64(1))
     before = np.where(pos > 0, h[at - 1] >> np.uint64(32), np.uint64(0))
-    word = ((h[at] ^ cut) & ~np.uint64(0xFFFFFFFF)) | before
+    word = ((h[at] ^ cut ^ second) & ~np.uint64(0xFFFFFFFF)) | before
     of = of[owner]
     cols = (word.view(np.int64), (n[of] << 36) | (size[owner] << 18) | pos, key[of], parity[owner].view(np.int64), doc[of], x.number[of])
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], _POSTING)
@@ -180,7 +204,7 @@ def _among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[at] == values if len(keys) else np.zeros(len(values), bool)
 
 
-def _postings(rarity_of, percent: int, wanted=None):
+def _postings(rarity_of, percent: int, hot: int, wanted=None):
     """``wanted`` gives the sorted words (32 bits) to which the postings are restricted."""
 
     @runtime.trimmed
@@ -191,7 +215,7 @@ def _postings(rarity_of, percent: int, wanted=None):
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for i, x in _walk(b):
-                doc, key = ids[i + x.row], x.key[0]
+                doc, key = ids[i + x.row], x.key
                 order = np.lexsort((x.number, doc, key))
                 fresh = np.zeros(len(key), bool)
                 fresh[order] = np.r_[True, key[order][1:] != key[order][:-1]]
@@ -204,7 +228,7 @@ def _postings(rarity_of, percent: int, wanted=None):
                 first_split, other = splits(n), splits(-(-percent * n // 100))
                 for split, sent in ((first_split, fresh), (other, fresh & (other != first_split))):
                     if sent.any():
-                        out = _group_postings(x, doc, key, line, h, n, split, sent, rarity, percent)
+                        out = _group_postings(x, doc, key, line, h, n, split, sent, rarity, percent, hot)
                         if wanted is not None:
                             out = out.filter(pa.array(_among(out.column(0).to_numpy() >> 32, wanted())))
                         if out.num_rows:
@@ -293,7 +317,7 @@ def _candidates(percent: int, most: int | None):
 
 @runtime.trimmed
 def _fetch(batches):
-    """Word sets of the wanted lines: (doc_id, text, version, lines) -> (doc_id, line_no, words)."""
+    """Words of the wanted lines: (doc_id, text, version, lines) -> (doc_id, line_no, words)."""
     for b in batches:
         ids = b.column(0).to_numpy(zero_copy_only=False)
         data, off = tb.buffers(b.column(1))
@@ -308,22 +332,28 @@ def _fetch(batches):
             number = np.searchsorted(breaks, s) - np.searchsorted(breaks, o[row])
             hit = np.isin(((i + row) << 32) | number, want)
             s, e, row, number = s[hit], e[hit], row[hit], number[hit]
+            if not len(s):
+                continue
             size = e - s
-            lines = Lines(d[np.repeat(s, size) + tb.ragged(size)], np.concatenate([[0], np.cumsum(size)]))
-            line, h = lines.sets(None)
-            n = np.bincount(line, minlength=len(lines.start))
-            words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i + row[lines.row]]), pa.array((version[i + row[lines.row]] << VERSION_BITS) | number[lines.row]), words], ["doc_id", "line_no", "words"])
+            text, at = tb.LOWER[d[np.repeat(s, size) + tb.ragged(size)]], np.concatenate([[0], np.cumsum(size)])
+            ws, we = tb.spans(text, at, tb.WORD)
+            n = np.bincount(tb.owner(ws, at), minlength=len(s))
+            size = we - ws
+            word_at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            words = pa.StringArray.from_buffers(len(ws), pa.py_buffer(word_at), pa.py_buffer(text[np.repeat(ws, size) + tb.ragged(size)]))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), words)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i + row]), pa.array((version[i + row] << VERSION_BITS) | number), lists], ["doc_id", "line_no", "words"])
 
 
 def _verified(d: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The (yd, yl) of ``pairs`` whose word sets are similar to those at (xd, xl)."""
     places = pairs.select(F.col("xd").alias("doc_id"), F.col("xl").alias("line_no")).union(pairs.select("yd", "yl")).distinct()
-    needed = places.groupBy("doc_id", F.shiftright("line_no", VERSION_BITS).alias("version")).agg(F.collect_list("line_no").alias("lines"))
+    needed, _ = runtime.written(places.groupBy("doc_id", F.shiftright("line_no", VERSION_BITS).alias("version")).agg(F.collect_list("line_no").alias("lines")))
     stats = needed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()
     with_lines = d.join(runtime.small(needed, int(stats[0]) * 6 + int(stats[1]), 8), ["doc_id", "version"])
-    words, _ = runtime.written(with_lines.select("doc_id", "text", "version", "lines").mapInArrow(_fetch, "doc_id long, line_no long, words array<long>"))
-    words = words.dropDuplicates(["doc_id", "line_no"])
+    words = with_lines.select("doc_id", "text", "version", "lines").mapInArrow(_fetch, "doc_id long, line_no long, words array<string>")
+    # equal rows of doc_id and text come as often as they are there
+    words, _ = runtime.written(words.select("doc_id", "line_no", F.array_distinct("words").alias("words")).dropDuplicates(["doc_id", "line_no"]))
     of = lambda s: words.select(F.col("doc_id").alias(f"{s}d"), F.col("line_no").alias(f"{s}l"), F.col("words").alias(f"{s}w"))
     shared = F.size(F.array_intersect("xw", "yw"))
     both = pairs.select("xd", "xl", "yd", "yl").distinct().join(of("x"), ["xd", "xl"]).join(of("y"), ["yd", "yl"]).select("yd", "yl", shared.alias("o"), (F.size("xw") + F.size("yw")).alias("n"))
@@ -366,8 +396,15 @@ def _with_versions(docs: DataFrame, versions: DataFrame | None, version: str, co
     return joined.select(*[docs[f"`{c}`"] for c in docs.columns], F.coalesce(v["v_version"], F.lit(0)).alias(version), F.coalesce(v["v_copies"], F.lit(1)).alias(copies))
 
 
-def _marked(docs: DataFrame, versions: DataFrame | None, percent: int, partners: int) -> DataFrame:
+def _marked(docs: DataFrame, versions: DataFrame | None, percent: int, partners: int, hot: int = HOT) -> DataFrame:
     """(doc_id, line_no, c): the places to remove, null as the lowest id; see duplicate_lines()."""
+    with runtime.scratch(docs.sparkSession) as made:
+        out, path = runtime.written(_places(docs, versions, percent, partners, hot))
+        made.remove(path)
+    return out
+
+
+def _places(docs: DataFrame, versions: DataFrame | None, percent: int, partners: int, hot: int) -> DataFrame:
     spark = docs.sparkSession
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     d = _with_versions(d, versions, "version", "copies").select("doc_id", "text", "version")
@@ -384,10 +421,11 @@ def _marked(docs: DataFrame, versions: DataFrame | None, percent: int, partners:
     for r in sums.toLocalIterator():
         rarity[r["chunk"] << _CHUNK_BITS : (r["chunk"] + 1) << _CHUNK_BITS] = np.frombuffer(r["counts"], np.uint16)
     shared = spark.sparkContext.broadcast(rarity)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((np.exp2(rarity / 100) - 1).sum()) // TASK_WORDS)
 
     columns = "word long, size_pos long, k long, parity long, doc_id long, line_no long"
     word = F.shiftright("word", 32)
-    met = d.mapInArrow(_postings(lambda: shared.value, percent), columns).repartition(word)
+    met = d.mapInArrow(_postings(lambda: shared.value, percent, hot), columns).repartition(tasks, word)
     schema = "xd long, xl long, yd long, yl long, more boolean"
     pairs, _ = runtime.written(met.mapInArrow(_candidates(percent, partners), schema))
     near, _ = runtime.written(_verified(d, pairs, percent))
@@ -396,20 +434,21 @@ def _marked(docs: DataFrame, versions: DataFrame | None, percent: int, partners:
     if not unsure.isEmpty():
         # the partners of these lines are found at their own prefix words alone
         theirs = d.join(F.broadcast(unsure.select("yd").distinct()) if unsure.count() * 16 <= runtime.BROADCAST_BYTES else unsure.select("yd").distinct(), F.col("doc_id") == F.col("yd"), "left_semi")
-        theirs = theirs.mapInArrow(_postings(lambda: shared.value, percent), columns)
+        theirs = theirs.mapInArrow(_postings(lambda: shared.value, percent, hot), columns)
         keys, _ = runtime.written(theirs.join(unsure, (F.col("doc_id") == F.col("yd")) & (F.col("line_no") == F.col("yl")), "left_semi").select(word.alias("w")).distinct())
         if keys.count() * 8 <= runtime.BROADCAST_BYTES:
             few = spark.sparkContext.broadcast(np.sort(keys.toArrow().column(0).to_numpy()))
-            again = d.mapInArrow(_postings(lambda: shared.value, percent, lambda: few.value), columns)
+            again = d.mapInArrow(_postings(lambda: shared.value, percent, hot, lambda: few.value), columns)
         else:
-            again = d.mapInArrow(_postings(lambda: shared.value, percent), columns).join(keys, word == F.col("w"), "left_semi")
-        every = again.repartition(word).mapInArrow(_candidates(percent, None), schema)
+            again = d.mapInArrow(_postings(lambda: shared.value, percent, hot), columns).join(keys, word == F.col("w"), "left_semi")
+        every = again.repartition(tasks, word).mapInArrow(_candidates(percent, None), schema)
         every, _ = runtime.written(every.join(unsure, ["yd", "yl"], "left_semi"))
         near = near.union(_verified(d, every, percent)).distinct()
     marked = near.select(F.col("yd").alias("doc_id"), F.col("yl").alias("line_no"), F.lit(0).alias("c")).union(copies.select("doc_id", "line_no", F.lit(1)))
     return marked.groupBy("doc_id", "line_no").agg(F.max("c").alias("c"))
 
-def duplicate_lines(docs: DataFrame, percent: int = PERCENT, partners: int = PARTNERS) -> DataFrame:
+
+def duplicate_lines(docs: DataFrame, percent: int = PERCENT, partners: int = PARTNERS, hot: int = HOT) -> DataFrame:
     """(doc_id, line_no, copy) of every line to remove; copy says that an earlier line has the same bytes.
 
     Lines are what line feeds separate, numbered from 0; words are runs of
@@ -420,9 +459,12 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT, partners: int = PAR
     doc_id).  Rows that share a doc_id, or have none, are documents of their own
     if their texts differ, in order of the texts' hashes; a number then comes
     back once for each text.  Rows equal in doc_id and text are one document
-    here.  Other columns aren't read.  ``partners`` affects speed only.
+    here.  Of lines as similar to each other the earliest stays.  An empty table
+    gives an empty result; a document of any length is read whole, and a slice
+    holds it whole.  Other columns aren't read.  ``partners`` and ``hot`` affect
+    speed only.
     """
-    marked = _marked(docs, _versions(docs), percent, partners)
+    marked = _marked(docs, _versions(docs), percent, partners, hot)
     doc = F.when(F.col("doc_id") != _LOWEST, F.col("doc_id")).alias("doc_id")
     return marked.select(doc, F.col("line_no").bitwiseAND(_NUMBER).alias("line_no"), (F.col("c") == 1).alias("copy"))
 

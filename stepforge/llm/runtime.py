@@ -6,8 +6,10 @@ import ctypes
 import functools
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,21 +21,42 @@ BROADCAST_BYTES = 64 << 20
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share, named by spark.checkpoint.dir.
 
-    Only where the session names none (as in tests) is a local folder made.
+    Only where the session names none and runs on this machine alone (as in
+    tests) is a local folder made; a cluster must name one.
     """
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="stepforge-")
         sc.setCheckpointDir(where)
     return where
 
 
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables written inside are removed at the end, but for those that the caller takes out of the list."""
+    made: list[str] = []
+    _SCRATCH.append(made)
+    try:
+        yield made
+    finally:
+        _SCRATCH.pop()
+        for path in made:
+            delete(spark, path)
+
+
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """The rows written as Parquet to the shared folder and read again: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stepforge-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     return spark.read.parquet(path), path
 
 
@@ -44,6 +67,11 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def rows_of(spark: SparkSession, **columns: pa.Array | np.ndarray | list) -> DataFrame:
+    """A small table of the driver's, handed over as Arrow: no Python worker takes part."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """A broadcast hint if ``rows`` rows of ``row_bytes`` fit the limit; else a shuffled join is left to Spark."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

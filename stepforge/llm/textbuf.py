@@ -2,7 +2,7 @@
 
 Every Python stage of this subpackage receives Arrow batches and works on the
 UTF-8 bytes of a whole column at once: token boundaries come from byte-class
-tables, token identities from polynomial hashes over prefix sums.  Batches are
+tables, token identities from hashes of eight bytes at a time.  Batches are
 walked in slices of a megabyte so that temporaries stay in cache and the
 worker's memory does not follow the batch size; a slice always holds whole
 documents.
@@ -11,6 +11,7 @@ documents.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -76,26 +77,8 @@ def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return np.flatnonzero(s), np.flatnonzero(e) + 1
 
 
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(0, 2**63, (2, 256), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = (0x5851F42D4C957F2D, 0xD1342543DE82EF95)
-_POW: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, np.uint64), np.ones(1, np.uint64))] * 2
-
-
-def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64, and of its inverse."""
-    have = _POW[which]
-    if len(have[0]) < n:
-        n = max(n, 1 << 12)
-        base = _BASE[which]
-        inv = pow(base, -1, 1 << 64)
-        out = []
-        for b in (base, inv):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        have = _POW[which] = (out[0], out[1])
-    return have
+_BLOCKS = np.random.default_rng(20240229).integers(0, 2**63, (2, 1 << 12), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_TAIL = np.array([2 ** (8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -106,22 +89,50 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _S33)
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0, piece: int = 1 << 18) -> np.ndarray:
-    """64-bit hash of each span; spans are sorted and don't overlap."""
-    out = np.empty(len(starts), np.uint64)
-    i, n = 0, len(starts)
-    while i < n:
-        lo = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, lo + piece, side="right")))
-        hi = ends[j - 1]
-        pw, inv = _powers(int(hi - lo) + 1, which)
-        acc = np.empty(hi - lo + 1, np.uint64)
-        acc[0] = 0
-        np.cumsum(_BYTE[which][data[lo:hi]] * pw[: hi - lo], out=acc[1:])
-        a, b = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (acc[b] - acc[a]) * inv[a] + (b - a).astype(np.uint64) * _LEN
-        i = j
-    return mix(out)
+def _masks(k: np.ndarray, which: int) -> np.ndarray:
+    """A number for each block of a span; beyond the table it is the mix of two."""
+    low = _BLOCKS[which][k & 4095]
+    far = k > 4095
+    if far.any():
+        low[far] = mix(low[far] + (k[far] >> 12).astype(np.uint64) * _LEN)
+    return low
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0, piece: int = 1 << 17) -> np.ndarray:
+    """64-bit hash of each span; spans don't overlap and have a byte at least.
+
+    Blocks of eight bytes are mixed, each with a number of its place in the
+    span, and the mixed blocks are added up: no polynomial, so words of a
+    regular build don't meet.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    word = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+    if int(size.max()) <= 8:
+        h = mix((word[starts] & _TAIL[size]) ^ _BLOCKS[which][0])
+    else:
+        many = (size + 7) >> 3
+        h = np.empty(len(starts), np.uint64)
+        total = np.cumsum(many)
+        i = 0
+        while i < len(starts):  # temporaries stay small
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + piece, side="right")))
+            n = many[i:j]
+            k = ragged(n)
+            at = np.repeat(starts[i:j], n) + 8 * k
+            block = word[at] & _TAIL[np.minimum(np.repeat(ends[i:j], n) - at, 8)]
+            h[i:j] = np.add.reduceat(mix(block ^ _masks(k, which)), np.cumsum(n) - n)
+            i = j
+    return mix(h + size.astype(np.uint64) * _LEN)
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(n, 2) words of a 128-bit BLAKE2b digest of each span: equal digests stand for equal bytes."""
+    view = memoryview(np.ascontiguousarray(data))
+    out = b"".join([blake2b(view[s:e], digest_size=16).digest() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(out, np.int64).reshape(-1, 2)
 
 
 def owner(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:

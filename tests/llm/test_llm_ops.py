@@ -128,6 +128,23 @@ def test_bpe_equals_the_reference_tokenizer(spark):
         assert got[d]["round_trip"] and got[d]["n_tokens"] == len(got[d]["token_ids"])
 
 
+@pytest.mark.parametrize(("alphabet", "n"), [("x", 1_000_000), ("ab", 200_000), ("etaoin", 100_000), ("abcdefghijklmnopqrstuvwxyz", 500_000), ("=-", 50_000), ("\u00e9\u4f60a", 30_000), ("xy", 513)])
+def test_bpe_of_long_pretokens(alphabet, n):
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(bpe.VOCABULARY, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    text = "".join(random.Random(n).choices(alphabet, k=n))
+    d = np.frombuffer(text.encode(), np.uint8)
+    ids, at = bpe.Encoder(bpe.Vocabulary()).encode(d, np.array([0, len(d)]))
+    # the public tokenizer is slow on a megabyte of one letter: its ids repeat
+    want = enc.encode_ordinary(text) if n < 1_000_000 else enc.encode_ordinary("x" * 1000) * 1000
+    assert ids.tolist() == want and at.tolist() == [0, len(ids)]
+
+
 def test_bpe_edges(spark):
     e = bpe.encode_decode(frame(spark))
     got = [tuple(r) for r in e.collect()]
@@ -250,6 +267,49 @@ def test_line_dedup_of_different_texts_under_one_id(spark):
     assert rows(linededup.drop_duplicate_lines(df)) == sorted(want, key=str)
 
 
+def thue_morse(n):
+    """A word on which polynomial hashes modulo a power of two meet with that of its complement."""
+    w = "a"
+    while len(w) < n:
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_of_regular_build_stay_apart(spark, n):
+    a, b = thue_morse(n)
+    lines = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    assert rows(linededup.duplicate_lines(lines)) == [(3, 0, True)]
+    words = spark.createDataFrame([(1, f"{a} one two"), (2, f"{b} one two"), (3, f"two one {a}")], "doc_id long, text string")
+    assert rows(linededup.duplicate_lines(words)) == [(3, 0, False)]
+    assert {r["doc_id"] for r in sharding.shared_lines(lines).collect()} == {1, 3}
+    d = np.frombuffer(f"{a} {b}".encode(), np.uint8)
+    v = bpe.Vocabulary()
+    ids, _ = bpe.Encoder(v).encode(d, np.array([0, len(d)]))
+    assert v.decode(ids).tobytes() == d.tobytes()
+
+
+def test_line_dedup_where_every_word_is_hot(spark):
+    rng = random.Random(17)
+    docs = [(d, " ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(rng.choice([1, 2, 3, 5, 8, 14])))) for d in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute.duplicate_lines(docs)
+    assert {(r[0], r[1]) for r in linededup.duplicate_lines(df, hot=3).collect()} == want
+    for percent in (40, 60):
+        assert {(r[0], r[1]) for r in linededup.duplicate_lines(df, percent, hot=3).collect()} == brute.duplicate_lines(docs, percent)
+
+
+def test_line_dedup_leaves_no_tables(spark):
+    import pathlib
+
+    from stepforge.llm import runtime
+
+    where = pathlib.Path(runtime.shared_dir(spark).removeprefix("file:"))
+    before = set(where.glob("stepforge-*"))
+    assert linededup.duplicate_lines(frame(spark)).count() == 3
+    assert len(set(where.glob("stepforge-*")) - before) <= 4
+
+
 # 8
 
 
