@@ -38,7 +38,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round keeps at most one edge for each node and direction, so the table
     never grows; it is written to the shared folder between rounds.  Minima are
     taken by grouping (partial aggregates), not by windows, so a hub's edges
-    need not meet in one task.
+    need not meet in one task.  Nodes may be of any type that has an order.
+    Rounds grow with the logarithm of the longest path; more than
+    ``max_rounds`` raise an error and give no half-finished result.
     """
     spark = edges.sparkSession
     cur, path = runtime.written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())

@@ -2,10 +2,12 @@
 
 A fingerprint has 128 bits, each the majority vote of the hashes of a
 document's distinct words.  Equal fingerprints are merged first, so a hot copy
-costs one row.  Candidates meet in tables keyed by random bit samples; the
-number of tables follows from the sample's length and the radius so that a pair
-at the radius itself meets with probability RECALL (nearer pairs meet almost
-surely).  Within a task the fingerprints lie vertically, one bit plane for each
+costs one row.  Candidates meet in tables keyed by masked fingerprints, and the
+masks are a covering code: the bits are cut into parts, of which one must differ
+in few bits if the whole is within the radius, and for any few bits of a part
+some mask of it leaves them all out.  So every pair within the radius meets, and
+nothing is missed.  A table's bucket of very many rows is cut into chunks, and
+every pair of chunks is a task's work of its own.  Within a task the fingerprints lie vertically, one bit plane for each
 of the 128 bits, 64 rows to a machine word.  One shifted copy of the planes
 compares all neighbours of a distance at once; a Harley-Seal tree of carry-save
 adders keeps 64 distances in five words, and after every 16 planes the words in
@@ -14,8 +16,6 @@ which all lanes exceed the radius are abandoned.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +26,13 @@ from stepforge.llm import textbuf as tb
 
 BITS = 128
 RADIUS = 20
-RECALL = 0.9
+#: Distinct fingerprints up to which the masks have four parts, of 16 kept bits; beyond it three, of 21.
+FOUR_PARTS = 1 << 24
+#: Rows of a bucket from which it is cut, rows of a chunk, and rows of slots in one task, about.
+HOT_ROWS, CHUNK_ROWS, TASK_ROWS = 1 << 16, 1 << 14, 1 << 20
+#: One in so many fingerprints is counted to find the buckets to cut; what is cut affects only speed.
+COUNTED = 64
+_FAR = 2**63 - 1
 
 
 def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -64,20 +70,36 @@ def _pieces(data, off, i, j):
         yield tb.LOWER[data[off[r0] : off[r1]]], off[r0 : r1 + 1] - off[r0], r0, r1
 
 
-def tables_for(n: int, radius: int = RADIUS, recall: float = RECALL) -> tuple[int, int]:
-    """(sampled bits, tables) for n distinct fingerprints.
+def _names(bits: int, dim: int) -> np.ndarray:
+    """Vectors of ``dim`` bits, not 0, that leave every mask as many bits as can be: all of them, those with the
+    highest bit, or the best of some random choices."""
+    rng = np.random.default_rng(dim)
+    every, half = np.arange(1, 2**dim), np.arange(2 ** (dim - 1), 2**dim)
+    choices = [np.resize(every, bits), np.resize(half, bits), *(np.resize(rng.permutation(every), bits) for _ in range(400))]
+    return max(choices, key=lambda c: int((np.bitwise_count(c[None, :] & every[:, None]) % 2).sum(axis=1).min()))
 
-    Samples of 16 bits up to 2**24 fingerprints, one more for every doubling
-    beyond, so that unrelated rows in a bucket stay about 256 at most.
-    """
-    k = 16 + max(0, math.ceil(math.log2(max(n, 1))) - 24)
-    p = (1 - radius / BITS) ** k
-    return k, math.ceil(math.log(1 - recall) / math.log(1 - p))
 
+def cover(n: int, radius: int = RADIUS) -> np.ndarray:
+    """(tables, 2) masks for n distinct fingerprints: of two that differ in at most ``radius`` bits some mask hides all of these.
 
-def samples(k: int, tables: int) -> np.ndarray:
-    rng = np.random.default_rng(128)
-    return np.stack([rng.permutation(BITS)[:k] for _ in range(tables)])
+    Of p parts whose limits r and one more each add up to radius + 1, one
+    differs in at most r bits.  Its bits are named by different vectors of
+    r + 1 bits; a mask for every vector but 0 keeps the bits whose names have
+    an odd product with it, and r names are orthogonal to one of the vectors.
+    """
+    parts = 4 if n <= FOUR_PARTS else 3
+    bits = np.random.default_rng(128).permutation(BITS)
+    out = []
+    for i, at in enumerate(np.array_split(bits, parts)):
+        dim = (radius + 1 + i) // parts
+        if dim == 0:
+            continue
+        names = _names(len(at), dim)
+        for v in range(1, 2**dim):
+            keep = np.zeros(BITS, np.uint8)
+            keep[at[np.bitwise_count(names & v) % 2 == 1]] = 1
+            out.append(np.packbits(keep).view(np.uint64))
+    return np.array(out)
 
 
 def _csa(a, b, c):
@@ -159,77 +181,176 @@ def near_in_buckets(slot: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> t
     return np.concatenate(left), np.concatenate(right)
 
 
+def _binary(fp: np.ndarray) -> pa.Array:
+    """Fingerprints as 16 bytes each."""
+    return pa.Array.from_buffers(pa.binary(), len(fp), [None, pa.py_buffer(np.arange(0, 16 * len(fp) + 1, 16, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(fp))])
+
+
 @runtime.trimmed
 def _fingerprint_batches(batches):
     for b in batches:
-        fp, has = fingerprints(b.column(1))
-        has &= np.asarray(b.column(0).is_valid())
+        fp, has = fingerprints(b.column(2))
         keep = pa.array(has)
-        fp = fp.view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), pa.array(fp[has, 0]), pa.array(fp[has, 1])], ["doc_id", "f0", "f1"])
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), _binary(fp[has])], ["doc_id", "h", "fp"])
 
 
-def _slot_batches(k: int, tables: int):
+def _slot_batches(masks: np.ndarray):
     @runtime.trimmed
     def run(batches):
-        at = samples(k, tables)
-        # a weight matrix turns the rows of bits into all tables' keys in one product
-        weight = np.zeros((BITS, tables))
-        for t in range(tables):
-            weight[at[t], t] = 2.0 ** np.arange(k)
+        tables = len(masks)
+        number = np.arange(tables, dtype=np.uint64)
         for b in batches:
-            for lo in range(0, b.num_rows, 4096):
-                c = b.slice(lo, 4096)
-                f0, f1, rep = (c.column(q).to_numpy() for q in range(3))
-                bits = np.unpackbits(np.stack([f0, f1], 1).view(np.uint8).reshape(len(f0), -1), axis=1)
-                slot = (bits.astype(np.float64) @ weight).astype(np.int64) + (np.arange(tables, dtype=np.int64) << k)
-                yield pa.RecordBatch.from_arrays([pa.array(slot.ravel()), *(pa.array(np.repeat(v, tables)) for v in (f0, f1, rep))], ["slot", "f0", "f1", "rep"])
+            fp = tb.buffers(b.column(0))[0].view(np.uint64).reshape(-1, 2)
+            for lo in range(0, len(fp), 1024):
+                f = fp[lo : lo + 1024]
+                slot = tb.mix(tb.mix((f[:, :1] & masks[:, 0]) + number) ^ (f[:, 1:] & masks[:, 1]))
+                slot = (slot & ~np.uint64(_TABLE)) | number
+                f = f.view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(slot.ravel().view(np.int64)), *(pa.array(np.repeat(f[:, q], tables)) for q in (0, 1))], ["slot", "f0", "f1"])
 
     return run
 
 
-def _edge_batches(radius: int):
+#: Low bits of a slot that hold the number of its table.
+_TABLE = 1023
+_EDGE = "a binary, b binary, n long"
+
+
+def _first_met(x: np.ndarray, table: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Which pairs, by their difference x, meet in ``table`` and in none before it: each pair of fingerprints does once."""
+    out = (x[:, 0] & masks[table, 0]) | (x[:, 1] & masks[table, 1]) == 0
+    for t in range(int(table.max(initial=0))):
+        at = np.flatnonzero(out & (table > t))
+        out[at[(x[at, 0] & masks[t, 0]) | (x[at, 1] & masks[t, 1]) == 0]] = False
+    return out
+
+
+def _edge_batches(masks: np.ndarray, radius: int):
+    """Edges (a, b) of a forest over the fingerprints of a task, and (a, null, n): n near fingerprints of a, each pair counted once in all tasks."""
+
     @runtime.trimmed
     def run(batches):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got)
-        slot, f0, f1, rep = (t.column(q).to_numpy() for q in range(4))
-        order = np.argsort(slot, kind="stable")
-        slot, rep = slot[order], rep[order]
-        a, b = near_in_buckets(slot, np.stack([f0[order], f1[order]], 1), radius)
-        if len(a):
-            node, root = components.forest(rep[a], rep[b])
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["a", "b"])
+        slot, part, chunk = (t.column(q).to_numpy() for q in ("slot", "part", "chunk"))
+        fp = np.stack([t.column(q).to_numpy() for q in ("f0", "f1")], 1).view(np.uint64)
+        del t, got
+        order = np.lexsort((part, slot))
+        slot, part, chunk, fp = (v[order] for v in (slot, part, chunk, fp))
+        new = np.flatnonzero(np.r_[True, (slot[1:] != slot[:-1]) | (part[1:] != part[:-1])])
+        i, n = 0, len(slot)
+        while i < n:  # whole buckets, some 2**15 rows at a time
+            at = int(np.searchsorted(new, i + (1 << 15), side="right")) - 1
+            j = int(new[at]) if new[at] > i else (int(new[at + 1]) if at + 1 < len(new) else n)
+            if i + (1 << 15) >= n:
+                j = n
+            key, f = np.cumsum(np.r_[0, (slot[i + 1 : j] != slot[i : j - 1]) | (part[i + 1 : j] != part[i : j - 1])]), fp[i:j]
+            a, b = near_in_buckets(key, f, radius)
+            # chunks of one bucket meet in several tasks: rows of one chunk are compared where it meets itself
+            ok = (chunk[i:j][a] != chunk[i:j][b]) | (part[i:j][a] == 0) | (part[i:j][a] == -1 - chunk[i:j][a])
+            a, b = a[ok], b[ok]
+            if len(a):
+                u, inv = np.unique(f, axis=0, return_inverse=True)
+                inv = inv.ravel()
+                first = _first_met(f[a] ^ f[b], slot[i:j][a] & _TABLE, masks)
+                links = np.bincount(np.concatenate([inv[a[first]], inv[b[first]]]), minlength=len(u))
+                has = np.flatnonzero(links)
+                node, root = components.forest(inv[a], inv[b])
+                yield pa.RecordBatch.from_arrays([_binary(u[node]), _binary(u[root]), pa.nulls(len(node), pa.int64())], ["a", "b", "n"])
+                yield pa.RecordBatch.from_arrays([_binary(u[has]), pa.nulls(len(has), pa.binary()), pa.array(links[has])], ["a", "b", "n"])
+            i = j
 
     return run
 
 
+def _cut(slots: DataFrame, distinct: DataFrame, masks: np.ndarray, n: int) -> DataFrame:
+    """``slots`` with ``part`` and ``chunk``: 0 but in buckets of very many rows, whose rows come once for every
+    pair of their chunk with another (part > 0) and with itself (part = -1 - chunk)."""
+    plain = slots.withColumns({"part": F.lit(0).cast("long"), "chunk": F.lit(0)})
+    if n < HOT_ROWS:
+        return plain
+    some = distinct.filter(F.pmod(F.xxhash64("fp"), F.lit(COUNTED)) == 0).select("fp").mapInArrow(_slot_batches(masks), "slot long, f0 long, f1 long")
+    hot, _ = runtime.written(some.groupBy(F.col("slot").alias("hot")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(1, HOT_ROWS // COUNTED)).select("hot", F.ceil(F.col("n") * COUNTED / CHUNK_ROWS).cast("int").alias("chunks")))
+    many = hot.count()
+    if not many:
+        return plain
+    c = F.pmod(F.xxhash64("f0", "f1"), F.col("chunks")).cast("int")
+    pair = lambda i: F.when(i == F.col("chunk"), (-1 - i).cast("long")).otherwise(F.least(i, F.col("chunk")).cast("long") * F.col("chunks") + F.greatest(i, F.col("chunk")))
+    parts = F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), pair))
+    j = slots.join(runtime.small(hot, many, 32), F.col("slot") == F.col("hot"), "left").withColumn("chunk", F.coalesce(c, F.lit(0)))
+    return j.select("slot", "f0", "f1", F.explode(parts).alias("part"), "chunk")
+
+
+def _classes(docs: DataFrame, radius: int) -> DataFrame:
+    """(doc_id, h, keep_id, keep_h, links): every row whose text has a word, the document that stays of its
+    group, and how many other fingerprints are near."""
+    spark = docs.sparkSession
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    fps, _ = runtime.written(d.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(_fingerprint_batches, "doc_id long, h long, fp binary"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
+    distinct, _ = runtime.written(fps.groupBy("fp").agg(first))
+    n = distinct.count()
+    masks = cover(n, radius)
+    slots = distinct.select("fp").mapInArrow(_slot_batches(masks), "slot long, f0 long, f1 long")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * len(masks) // TASK_ROWS)
+    met = _cut(slots, distinct, masks, n).repartition(tasks, "slot", "part").mapInArrow(_edge_batches(masks, radius), _EDGE)
+    met, _ = runtime.written(met)
+    roots = components.components(met.filter("b IS NOT NULL").select("a", "b"))
+    links = met.filter("b IS NULL").groupBy("a").agg(F.sum("n").alias("links"))
+    named = distinct.join(links, F.col("fp") == F.col("a"), "left").join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first", F.coalesce("links", F.lit(0)).alias("links"))
+    kept = named.groupBy("root").agg(F.min("first").alias("keep"))
+    named = named.join(kept, "root").select("fp", F.col("keep.doc_id").alias("keep_id"), F.col("keep.h").alias("keep_h"), "links")
+    return fps.join(named, "fp").select("doc_id", "h", "keep_id", "keep_h", "links")
+
+
+def _copies(docs: DataFrame, radius: int) -> DataFrame:
+    """(doc_id, h, keep_id, links), each once: the documents that go."""
+    with runtime.scratch(docs.sparkSession) as made:
+        c = _classes(docs, radius).filter("NOT (doc_id <=> keep_id AND h = keep_h)")
+        out, path = runtime.written(c.select("doc_id", "h", "keep_id", "links").distinct())
+        made.remove(path)
+    return out
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, keep_id) for every document that has a near copy with a smaller id in its group.
+    """(doc_id, keep_id, links) for every document that has a near copy before it in its group.
 
     Two documents are near copies if their fingerprints differ in at most
-    ``radius`` of 128 bits; groups are the connected components, and the
-    smallest doc_id of a group (keep_id) is the one that stays.  Words are runs
-    of ASCII letters, digits and non-ASCII characters, in lower case.  A text
-    that is null, empty or without words has no near copies.  Rows with a null
-    doc_id are left out (and so never dropped); rows that share a doc_id are one
-    document if their fingerprints agree, else each takes part.  Other columns
-    aren't read.
+    ``radius`` of 128 bits, and every such pair is found; groups are the
+    connected components, keep_id is the smallest doc_id of a group and names
+    it, and ``links`` counts the different fingerprints that are near the
+    document's own.  Words are runs of ASCII letters, digits and non-ASCII
+    characters, in lower case.  A text that is null, empty or without words has
+    no near copies; a text of any length counts whole.  A null doc_id comes
+    after all others and is reported as null.  Rows that share a doc_id are one
+    document if their texts are equal, else each takes part (the smaller hash of
+    the text first, so that keep_id may equal doc_id).  An empty table gives an
+    empty result.  Other columns aren't read.
     """
-    spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    fps, _ = runtime.written(d.mapInArrow(_fingerprint_batches, "doc_id long, f0 long, f1 long"))
-    distinct, distinct_path = runtime.written(fps.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep")))
-    k, tables = tables_for(distinct.count(), radius)
-    slots = distinct.select("f0", "f1", "rep").mapInArrow(_slot_batches(k, tables), "slot long, f0 long, f1 long, rep long")
-    edges = slots.repartition(F.col("slot")).mapInArrow(_edge_batches(radius), "a long, b long")
-    roots = components.components(edges)
-    named = distinct.join(roots, distinct["rep"] == roots["node"], "left").select("f0", "f1", F.coalesce("root", "rep").alias("keep_id"))
-    return fps.join(named, ["f0", "f1"]).filter("doc_id <> keep_id").select("doc_id", "keep_id").distinct()
+    return _copies(docs, radius).select("doc_id", "keep_id", "links")
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs``, all columns, without the documents that near_duplicates() names."""
-    return runtime.without(docs, near_duplicates(docs, radius).select("doc_id"))
+    """The rows of ``docs``, all columns, with one document of each group of near_duplicates().
+
+    Of rows equal in doc_id and text one stays, any of them, if the text has a
+    word; rows without words all stay.
+    """
+    h = runtime.fresh(docs, "text_hash")
+    with runtime.scratch(docs.sparkSession) as made:
+        c = _classes(docs, radius)
+        # rows to drop, and documents that stay but are there more than once
+        marks = c.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.expr("doc_id <=> keep_id AND h = keep_h")).alias("stays")).filter("NOT stays OR n > 1")
+        marks, path = runtime.written(marks.select(F.col("doc_id").alias("m_doc"), F.col("h").alias("m_h"), "stays"))
+        made.remove(path)
+    rows = docs.withColumn(h, F.xxhash64(docs["text"].cast("string")))
+    m = runtime.small(marks.select("m_doc", "m_h", F.col("stays").alias("m_stays")), marks.count(), 24)
+    j = rows.join(m, rows["doc_id"].cast("long").eqNullSafe(m["m_doc"]) & (rows[h] == m["m_h"]), "left")
+    columns = [rows[f"`{c}`"] for c in docs.columns]
+    out = j.filter(m["m_stays"].isNull()).select(columns)
+    if not marks.filter("stays").isEmpty():
+        again = j.filter(m["m_stays"]).select(*columns, rows[h])
+        out = out.union(again.dropDuplicates(["doc_id", h]).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return out

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from stepforge.llm import bpe, chat, components, decontam, exactdedup, langid, licenses, linededup, queries, sharding, simhash, urlfilter
 
+from stepforge.llm import textbuf as tb
+
 from tests.llm import brute
 
 SMALL = "/root/testdata/sf0.001"
@@ -429,7 +431,7 @@ def test_license_edges(spark):
 # 10
 
 
-def test_simhash_recall_against_all_pairs(spark):
+def near_texts(spark):
     docs = pairs_of(spark)
     rng = random.Random(7)
     for i, (d, text) in enumerate(docs[:60]):
@@ -437,11 +439,55 @@ def test_simhash_recall_against_all_pairs(spark):
         for _ in range(max(1, len(w) // (15 + i % 20))):
             w[rng.randrange(len(w))] = "edited"
         docs.append((1000 + d, " ".join(w)))
+    return docs
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_simhash_against_all_pairs(spark, monkeypatch, hot):
+    if hot:  # every bucket is cut into chunks
+        for name, value in (("HOT_ROWS", 2), ("CHUNK_ROWS", 1), ("COUNTED", 1)):
+            monkeypatch.setattr(simhash, name, value)
+    docs = near_texts(spark)
     fp, has = simhash.fingerprints(pa.array([t for _, t in docs]))
     ids = [d for (d, _), ok in zip(docs, has, strict=True) if ok]
-    want = {(i, r) for i, r in brute.groups(ids, fp[has], simhash.RADIUS).items() if i != r}
+    fp = fp[has]
+    first = brute.groups(ids, fp, simhash.RADIUS)
+    different = np.unique(fp, axis=0)
+    links = {d: int((np.bitwise_count(different ^ f).sum(axis=1) <= simhash.RADIUS).sum()) - 1 for d, f in zip(ids, fp, strict=True)}
+    want = {(d, r, links[d]) for d, r in first.items() if d != r}
     got = {tuple(r) for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert len(got & want) >= 0.9 * len(want) > 20 and {g[0] for g in got} <= {w[0] for w in want}
+    assert got == want and len(want) > 20
+
+
+def test_fingerprints_against_plain_votes():
+    texts = ["One two three two", "Stra\u00dfe 12", "", "...", LONG, "a b c d e f g h"]
+    fp, has = simhash.fingerprints(pa.array(texts))
+    for i, t in enumerate(texts):
+        seen = {w.encode() for w in brute.words(t)}
+        assert has[i] == bool(seen)
+        votes = np.zeros(simhash.BITS, int)
+        for w in seen:
+            d = np.frombuffer(w, np.uint8)
+            h = int(tb.hash_spans(d, np.array([0]), np.array([len(d)]))[0]) & (2**48 - 1)
+            for q in range(2):
+                x = int(tb.mix(np.array([(h + 0x9E3779B97F4A7C15 * (q + 1)) % 2**64], np.uint64))[0])
+                for k in range(64):  # bytes from the lowest, bits of a byte from the highest
+                    votes[64 * q + k] += x >> (8 * (k // 8) + 7 - k % 8) & 1
+        bits = np.unpackbits(fp[i].view(np.uint8))
+        assert bits.tolist() == [int(2 * v > len(seen)) for v in votes]
+
+
+@pytest.mark.parametrize("n", [100, simhash.FOUR_PARTS + 1])
+def test_every_pair_within_the_radius_meets(n):
+    masks, rng = simhash.cover(n), np.random.default_rng(n)
+    x = np.zeros((20_000, simhash.BITS), np.uint8)
+    for row in x:
+        row[rng.permutation(simhash.BITS)[: simhash.RADIUS]] = 1
+    x = np.packbits(x, axis=1).view(np.uint64)
+    hidden = np.zeros(len(x), bool)
+    for m in masks:
+        hidden |= (x & m).max(axis=1) == 0
+    assert hidden.all() and np.bitwise_count(masks).sum(axis=1).min() >= 14
 
 
 def test_bit_sliced_distances_against_counting():
@@ -457,10 +503,14 @@ def test_bit_sliced_distances_against_counting():
 
 
 def test_simhash_edges(spark):
-    assert rows(simhash.near_duplicates(frame(spark))) == [(5, 4), (7, 1)]
+    assert rows(simhash.near_duplicates(frame(spark))) == sorted([(5, 4, 0), (7, 1, 0), (None, 1, 0)], key=str)
     kept = simhash.drop_near_duplicates(frame(spark))
-    assert kept.columns == frame(spark).columns and kept.count() == len(DOCS) - 3
+    assert kept.columns == frame(spark).columns
+    assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == ["1", "2", "3", "3", "4", "6", "None"]
     assert simhash.near_duplicates(frame(spark).limit(0)).count() == 0
+    twice = [(1, "p q r s t"), (1, "p q r s t"), (1, "t s r q p"), (None, "a b c d"), (None, "a b c d"), (None, "w x y z v")]
+    left = rows(simhash.drop_near_duplicates(spark.createDataFrame(twice, "doc_id long, text string")))
+    assert len(left) == 3 and left[0][0] == 1 and set(left[1:]) == {(None, "a b c d"), (None, "w x y z v")}
 
 
 def test_components_against_union_find(spark):
