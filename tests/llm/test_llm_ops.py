@@ -166,7 +166,8 @@ def test_language_id_on_documents_it_has_not_seen(spark):
     assert got.filter("NOT accepted").count() == 0
 
 
-def test_code_lengths_against_a_plain_context_tree(spark):
+def test_code_lengths_against_a_plain_context_tree(spark, monkeypatch):
+    monkeypatch.setattr(langid, "_held", lambda doc: F.lit(False))  # both texts are learnt from
     train = [("a", "abracadabra abra"), ("b", "bananas and bandanas")]
     df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(train)], "doc_id long, text string, lang string")
     model = langid.fit(df)
@@ -195,9 +196,31 @@ def test_code_lengths_against_a_plain_context_tree(spark):
         return total
 
     texts = ["abra", "banana bread", "xyz", "", "a b"]
-    code, size = langid.Scorer(model).code_lengths(pa.array(texts))
+    monkeypatch.setattr(langid, "SEGMENT", 4)
+    code, parts, letters = langid.Scorer(model).code_lengths(pa.array(texts))
     for i, t in enumerate(texts):
-        assert size[i] == len(t) and code[i] / langid.UNIT == pytest.approx([bits("a", t), bits("b", t)], abs=0.02 * max(1, len(t)))
+        assert letters[i] == len(t.replace(" ", "")) and code[i] == pytest.approx([bits("a", t), bits("b", t)])
+        one = lambda x, c: (bits(x, t[: c + 1]) - bits(x, t[:c])) * (t[c] != " ")
+        best = [min(sum(one(x, c) for c in range(k, min(k + 4, len(t)))) for x in "ab") for k in range(0, len(t), 4)]
+        assert parts[i] == pytest.approx(sum(best))
+
+
+@pytest.mark.parametrize("out", ["de", "en", "es", "fr"])
+def test_a_language_without_labels_is_rejected(spark, out):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(d.filter(F.col("lang") != out))
+    got = langid.identify(d.filter("length(text) > 300"), model).groupBy(F.col("lang") == out).agg(F.avg(F.col("accepted").cast("int")).alias("share"), F.count("*").alias("n")).collect()
+    share = {r[0]: r["share"] for r in got}
+    assert share[True] < 0.15 and share[False] == 1
+
+
+def test_language_id_of_mixed_and_short_texts(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(d)
+    by = {r["lang"]: r["text"] for r in d.filter("length(text) > 2000").collect()}
+    mixed = [(1, by["en"][:900] + " " + by["de"][:900]), (2, "\n".join(by[x][:200] for x in sorted(by))), (3, 'token = "b64b244acde2e3b0aa8f051af1ec018ebaba3add" +1 (545) 555-9101'), (4, "A."), (5, "\u4f60\u597d\u4e16\u754c " * 100), (6, "12 34. " * 200), (7, " ".join(f"{w}%%%" for w in by["es"].split()))]
+    got = {r["doc_id"]: r["accepted"] for r in langid.identify(spark.createDataFrame(mixed, "doc_id long, text string"), model).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: True, 5: False, 6: True, 7: True}
 
 
 def test_language_id_edges(spark):
