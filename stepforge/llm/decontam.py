@@ -21,7 +21,13 @@ from stepforge.llm import runtime
 from stepforge.llm import textbuf as tb
 
 Q = 8
+#: Length of the q-grams for short items, whose budget q-grams of Q bytes can't support.
+SHORT_Q = 5
+#: Normalised bytes below which an item is no evidence.
+LEAST_BYTES = 8
 EDIT_RATE = 0.1
+#: Cells of a row of alignment matrices that are worked on at once.
+CELLS = 1 << 18
 #: Normalised bytes of benchmark that one pass over the documents looks for.
 PASS_BYTES = 16 << 20
 _SLOT_BITS = 21
@@ -53,27 +59,48 @@ def normalised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, off
 
 
-def grams(d: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each position as one number."""
-    if len(d) < Q:
+def grams(d: np.ndarray, q: int = Q) -> np.ndarray:
+    """The q bytes from each position as one number, q at most 8."""
+    if len(d) < q:
         return np.zeros(0, np.uint64)
-    return np.ndarray(len(d) - Q + 1, "<u8", np.ascontiguousarray(d), 0, (1,)).copy()
+    padded = np.concatenate([d, np.zeros(8 - q, np.uint8)]) if q < 8 else np.ascontiguousarray(d)
+    return np.ndarray(len(d) - q + 1, "<u8", padded, 0, (1,)) & np.uint64(256**q - 1)
+
+
+def edits_for(m: np.ndarray, rate: float) -> np.ndarray:
+    return (rate * m).astype(np.int64)
+
+
+def indexes(ids: list[int | None], texts: list[str | None], rate: float = EDIT_RATE) -> list[Index]:
+    """The items by the length of q-gram that supports their budget: Q, SHORT_Q, and shorter ones where ``rate`` is high."""
+    d, off = normalised(pa.array(texts, pa.string()))
+    m = np.diff(off)
+    edits = edits_for(m, rate)
+    out, left = [], m >= LEAST_BYTES
+    for q in (Q, *range(SHORT_Q, 0, -1)):
+        some = left & (m + 1 - q - edits * q >= 1)
+        left &= ~some
+        if some.any():
+            out.append(Index([x for x, ok in zip(ids, some, strict=True) if ok], [x for x, ok in zip(texts, some, strict=True) if ok], rate, q))
+    if left.any():
+        raise ValueError(f"items of {int(m[left][0])} bytes with {int(edits[left][0])} edits share no q-gram with their occurrences: lower the rate")
+    return out
 
 
 class Index:
     """q-gram postings of the items and each item's budget, threshold and band step."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], rate: float = EDIT_RATE):
+    def __init__(self, ids: list[int | None], texts: list[str | None], rate: float = EDIT_RATE, q: int = Q):
         d, off = normalised(pa.array(texts, pa.string()))
         m = np.diff(off)
-        self.ids, self.bytes, self.off, self.m = np.array(ids, np.int64), d, off, m
-        self.edits = np.minimum((rate * m).astype(np.int64), np.maximum((m - Q) // Q, 0))
-        self.need = m + 1 - Q - self.edits * Q
+        self.q, self.ids, self.bytes, self.off, self.m = q, ids, d, off, m
+        self.edits = edits_for(m, rate)
+        self.need = m + 1 - q - self.edits * q
         self.step = 2 ** np.ceil(np.log2(self.edits + 2)).astype(np.int64)
-        g = grams(d)
+        g = grams(d, q)
         pos = np.arange(len(g))
         item = tb.owner(pos, off)
-        ok = pos + Q <= off[item + 1]
+        ok = pos + q <= off[item + 1]
         g, item, pos = g[ok], item[ok], pos[ok] - off[item[ok]]
         order = np.argsort(g, kind="stable")
         g, self.item, self.pos = g[order], item[order], pos[order]
@@ -82,20 +109,17 @@ class Index:
         self.slot = np.zeros(1 << _SLOT_BITS, bool)
         self.slot[(self.gram * _MUL) >> np.uint64(64 - _SLOT_BITS)] = True
 
-    def __len__(self) -> int:
-        return int((self.m >= Q).sum())
-
 
 def candidates(ix: Index, d: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, item, first diagonal of the band, counted from the row's start) of the bands with enough shared q-grams."""
     none = (np.zeros(0, np.int64),) * 3
-    g = grams(d)
+    g = grams(d, ix.q)
     at = np.flatnonzero(ix.slot[(g * _MUL) >> np.uint64(64 - _SLOT_BITS)])
     where = np.minimum(np.searchsorted(ix.gram, g[at]), len(ix.gram) - 1)
     ok = ix.gram[where] == g[at]
     at, where = at[ok], where[ok]
     row = tb.owner(at, off)
-    ok = at + Q <= off[row + 1]
+    ok = at + ix.q <= off[row + 1]
     at, where, row = at[ok], where[ok], row[ok]
     if not len(at):
         return none
@@ -164,24 +188,46 @@ def align(ix: Index, d: np.ndarray, off: np.ndarray, row: np.ndarray, item: np.n
     return best
 
 
-def matches(ix: Index, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def matches(found_in: list[Index], texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(row, item id, edits) of every item within its budget in every text."""
-    out = []
+    rows, ids, edits = [np.zeros(0, np.int64)], [pa.array([], pa.int64())], [np.zeros(0, np.int64)]
     data, off = tb.buffers(texts)
     for i, j in tb.slices(off):
         d, o = normalised(texts.slice(i, j - i))
-        row, item, low = candidates(ix, d, o)
-        for c in range(0, len(row), 4096):
-            r, t = row[c : c + 4096], item[c : c + 4096]
-            e = align(ix, d, o, r, t, low[c : c + 4096])
-            ok = e <= ix.edits[t]
-            out.append(np.stack([r[ok] + i, t[ok], e[ok]], 1))
-    if not out:
-        return (np.zeros(0, np.int64),) * 3
-    z = np.concatenate(out)
-    z = z[np.lexsort((z[:, 2], z[:, 1], z[:, 0]))]
-    z = z[np.r_[True, (z[1:, 0] != z[:-1, 0]) | (z[1:, 1] != z[:-1, 1])]] if len(z) else z
-    return z[:, 0], ix.ids[z[:, 1]], z[:, 2]
+        for ix in found_in:
+            row, item, low = candidates(ix, d, o)
+            order = np.argsort(ix.edits[item], kind="stable")  # bands of like width together
+            row, item, low = row[order], item[order], low[order]
+            width = ix.step[item] + ix.edits[item] + 1
+            out, c = [], 0
+            while c < len(row):
+                n = max(1, int(np.searchsorted(width[c:] * np.arange(1, len(row) - c + 1), CELLS, side="right")))
+                r, t = row[c : c + n], item[c : c + n]
+                e = align(ix, d, o, r, t, low[c : c + n])
+                ok = e <= ix.edits[t]
+                out.append(np.stack([r[ok] + i, t[ok], e[ok]], 1))
+                c += n
+            if out:
+                z = np.concatenate(out)
+                z = z[np.lexsort((z[:, 2], z[:, 1], z[:, 0]))]
+                z = z[np.r_[True, (z[1:, 0] != z[:-1, 0]) | (z[1:, 1] != z[:-1, 1])]] if len(z) else z
+                rows.append(z[:, 0])
+                ids.append(pa.array([ix.ids[t] for t in z[:, 1]], pa.int64()))
+                edits.append(z[:, 2])
+    return np.concatenate(rows), pa.concat_arrays(ids), np.concatenate(edits)
+
+
+def _passes(benchmark: DataFrame, rate: float):
+    """The indexes that each pass over the documents looks for."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    size = F.octet_length("text").cast("long")
+    passes = int(items.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]) // PASS_BYTES + 1
+    for p in range(passes):
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p) if passes > 1 else items
+        rows = part.orderBy("item_id", "text").collect()
+        found_in = indexes([r["item_id"] for r in rows], [r["text"] for r in rows], rate)
+        if found_in:
+            yield benchmark.sparkSession.sparkContext.broadcast(found_in)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
@@ -189,41 +235,45 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE
 
     Text and items are compared in lower case with every run of ASCII
     punctuation and white space as one space.  The budget is ``rate`` of an
-    item's bytes, but never so many that the q-gram threshold falls below one
-    (for items under 9 bytes none).  Items of fewer than 8 bytes, and null
-    items, are no evidence and match nothing; null and empty texts match
-    nothing.  A null doc_id is carried as null; repeated documents and items
-    are each reported, but a (document row, item) only once, with its fewest
-    edits.  Other columns aren't read.  The benchmark is sent to the executors
-    in passes of at most PASS_BYTES; a larger one takes more passes over the
-    documents.
+    item's bytes, rounded down.  Items of fewer than 8 bytes, and null items,
+    are no evidence and match nothing; null and empty texts match nothing.  A
+    null doc_id and a null item_id are carried as nulls; repeated documents and
+    items are each reported, but a (document row, item row) only once, with its
+    fewest edits.  A text of any length is searched whole; many or long items
+    cost time, for alignments are worked on CELLS at once.  An empty table on
+    either side gives an empty result.  Other columns aren't read.  The
+    benchmark is sent to the executors in passes of at most PASS_BYTES; a larger
+    one takes more passes over the documents.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
-    size = F.octet_length("text").cast("long")
-    passes = int(items.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]) // PASS_BYTES + 1
     found = None
-    for p in range(passes):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p) if passes > 1 else items
-        rows = part.orderBy("item_id", "text").collect()
-        ix = Index([r["item_id"] if r["item_id"] is not None else -1 for r in rows], [r["text"] for r in rows], rate)
-        if not len(ix):
-            continue
-        shared = spark.sparkContext.broadcast(ix)
+    for shared in _passes(benchmark, rate):
 
         @runtime.trimmed
         def scan(batches, shared=shared):
-            index = shared.value
             for b in batches:
-                row, item, edits = matches(index, b.column(1))
+                row, item, edits = matches(shared.value, b.column(1))
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(item), pa.array(edits)], ["doc_id", "item_id", "edits"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), item, pa.array(edits)], ["doc_id", "item_id", "edits"])
 
         hits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, "doc_id long, item_id long, edits long")
         found = hits if found is None else found.unionByName(hits)
-    return spark.createDataFrame([], "doc_id long, item_id long, edits long") if found is None else found
+    empty = {"doc_id": pa.array([], pa.int64()), "item_id": pa.array([], pa.int64()), "edits": pa.array([], pa.int64())}
+    return runtime.rows_of(spark, **empty) if found is None else found
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
-    """The rows of ``docs``, all columns, without the documents that hold an item; a null doc_id always stays."""
-    return runtime.without(docs, contamination(docs, benchmark, rate).select("doc_id"))
+    """The rows of ``docs``, all columns, whose own text holds no item, whatever their doc_id; see contamination()."""
+    out = docs.withColumn("text", F.col("text").cast("string"))
+    at = out.columns.index("text")
+    for shared in _passes(benchmark, rate):
+
+        @runtime.trimmed
+        def clean(batches, shared=shared):
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                keep[matches(shared.value, b.column(at))[0]] = False
+                yield b.filter(pa.array(keep))
+
+        out = out.mapInArrow(clean, out.schema)
+    return out

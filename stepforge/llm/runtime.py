@@ -85,12 +85,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not in ``gone`` (one column of ids); a null doc_id stays."""
-    ids, _ = written(gone.select(F.col(gone.columns[0]).alias("gone")).distinct())
-    return docs.join(small(ids, ids.count(), 16), docs["doc_id"] == ids["gone"], "left_anti")
-
-
 def release() -> None:
     """Gives freed memory back to the system; allocators otherwise keep it for as long as a Python worker lives."""
     pa.default_memory_pool().release_unused()

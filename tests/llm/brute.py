@@ -63,8 +63,8 @@ def best_edits(item, text):
     return int(row.min())
 
 
-def budget(item, rate=0.1, q=8):
-    return min(int(rate * len(item)), max((len(item) - q) // q, 0))
+def budget(item, rate=0.1):
+    return int(rate * len(item))
 
 
 def contamination(docs, items):

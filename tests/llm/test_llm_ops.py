@@ -56,11 +56,11 @@ def test_against_sql(spark, name):
 def test_decontamination_against_alignment_of_everything(spark):
     rng = random.Random(1)
     words = ["alpha", "beta", "gamma", "delta", "eps", "zeta"]
-    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 6, 12])))) for i in range(12)] + [(90, None), (91, "short"), (92, "")]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([2, 3, 4, 5, 6, 12])))) for i in range(16)] + [(90, None), (91, "short"), (92, "")]
     docs = []
-    for d in range(60):
-        t = list(rng.choice(items[:12])[1])
-        for _ in range(rng.randrange(0, 9)):
+    for d in range(120):
+        t = list(rng.choice(items[:16])[1])
+        for _ in range(rng.randrange(0, 6)):
             at = rng.randrange(len(t))
             t[at : at + rng.randrange(2)] = rng.choice(["", "x", "Q", "?!"])
         docs.append((d, f"{'noise ' * rng.randrange(5)}{''.join(t)} {'tail' * rng.randrange(3)}"))
@@ -72,10 +72,23 @@ def test_decontamination_edges(spark):
     bench = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (2, None), (3, ""), (None, "lorem lorem lorem")], "item_id long, text string").withColumn("edits", F.lit(1))
     d = frame(spark)
     got = decontam.contamination(d, bench)
-    assert {r["doc_id"] for r in got.collect()} == {1, 4, 5, 7, None}
+    assert rows(got) == sorted([(d, i, 0) for d, i in [(1, 1), (1, 1), (7, 1), (7, 1), (7, 1), (7, 1), (None, 1), (None, 1), (4, None), (5, None)]], key=str)
     assert decontam.contamination(d, bench.limit(0)).count() == 0 and decontam.contamination(d.limit(0), bench).count() == 0
     kept = decontam.drop_contaminated(d, bench)
-    assert kept.columns == d.columns and sorted(map(str, (r["doc_id"] for r in kept.collect()))) == ["2", "3", "3", "6", "None", "None"]
+    assert kept.columns == d.columns and sorted(map(str, (r["doc_id"] for r in kept.collect()))) == ["2", "3", "3", "6", "None"]
+
+
+def test_decontamination_of_many_long_items_in_one_text(spark):
+    rng = random.Random(11)
+    items = [(i, " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(rng.choice([3, 60, 400])))) for i in range(9)]
+    text = " -- ".join(t[:-1] + "#" for _, t in items) + " " + LONG * 30
+    got = decontam.contamination(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert len(text) > 5_000_000 and rows(got.select("item_id")) == [(i,) for i, _ in items]
+
+
+def test_budget_beyond_any_q_gram():
+    with pytest.raises(ValueError):
+        decontam.indexes([1], ["eight by"], rate=1.0)
 
 
 # 2, 3, 4
