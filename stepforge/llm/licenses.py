@@ -12,6 +12,7 @@ are reported if they cover enough of a template.
 
 from __future__ import annotations
 
+import pathlib
 from collections import defaultdict
 
 import numpy as np
@@ -62,6 +63,12 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 
 
+def templates_in(folder: str) -> tuple[tuple[str, str], ...]:
+    """(license, template) of every file of a folder of license texts; a file's name without ending names the license."""
+    files = sorted(p for p in pathlib.Path(folder).iterdir() if p.is_file())
+    return tuple((p.name.removesuffix(".txt"), p.read_text(errors="replace")) for p in files)
+
+
 def words(d: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the words of lower-cased bytes."""
     s, e = tb.spans(d, off, tb.WORD)
@@ -165,14 +172,18 @@ def chain(match: list[tuple[int, int, int]], max_gap: int = MAX_GAP) -> list[tup
     """Spans (first word, last word, template words covered) of the best chains of matches.
 
     match: (text position, template position, words).  In a chain both positions
-    rise and text gaps stay within max_gap; overlapping parts count once.
+    rise and text gaps stay within max_gap; overlapping parts count once.  Of
+    equal scores the later earlier match is followed.
     """
     match = sorted(set(match))
+    longest = max((n for _, _, n in match), default=0)
     best: list[tuple[int, int]] = []
     for i, (x, y, n) in enumerate(match):
         score, back = n, -1
         for j in range(i - 1, -1, -1):
             a, b, m = match[j]
+            if x - (a + longest) > max_gap:  # all before it end too early as well
+                break
             if a == x or b >= y or x - (a + m) > max_gap:
                 continue
             over = max(0, a + m - x, b + m - y)
@@ -243,8 +254,11 @@ def license_spans(docs: DataFrame, templates=TEMPLATES, min_match: int = MIN_MAT
     Words are runs of ASCII letters, digits and non-ASCII bytes in lower case.
     Of spans of one license that overlap the longest stays, then the first.
     Null and empty texts have no spans; a null doc_id is carried; repeated rows
-    are each scanned; other columns aren't read.  Templates are sent to every
-    executor: they are part of the program, not of the data.
+    are each scanned; a text of any length is scanned whole, in time in
+    proportion to its matches; an empty table gives an empty result; other
+    columns aren't read.  ``templates`` are TEMPLATES or those of a folder, see
+    templates_in(); they are sent to every executor, for they don't grow with
+    the data.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Automaton(templates))
 

@@ -101,7 +101,8 @@ WITH t AS (
   WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)
 ), c AS (
   SELECT conv_id, count(*) AS n_turns, arg_max(prefix, k) AS whole,
-    string_agg('{chat.BEGIN}' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '{chat.END}', chr(10) ORDER BY k) AS rendered
+    string_agg('{chat.BEGIN}' || coalesce(replace(replace(replace(role, '<|', '<||'), '\\', '\\\\'), chr(10), '\\n'), 'unknown') || chr(10)
+      || coalesce(replace(text, '<|', '<||'), '') || '{chat.END}', chr(10) ORDER BY k) AS rendered
   FROM t GROUP BY conv_id
 ), i AS (SELECT DISTINCT t.prefix FROM t JOIN c USING (conv_id) WHERE t.k < c.n_turns)
 SELECT conv_id, n_turns, rendered FROM c

@@ -9,7 +9,8 @@ however many they are, yet none is built: a line's documents are counted by
 shard, and a document's votes are the counts of its lines without itself.  Moves
 are granted so that no shard outgrows its capacity: between two shards as many
 one way as the other, and beyond that as many as fit into the target's free
-room; the moves with the greatest gains go first.  Each round is a few Spark
+room; the moves with the greatest gains go first.  They are found by counting
+moves by gain and hash, so none of the pairs of shards is sorted.  Each round is a few Spark
 joins; its labels are written to the shared folder, so a lost executor costs at
 most a round.
 """
@@ -27,9 +28,6 @@ from stepforge.llm import textbuf as tb
 SHARDS = 16
 SLACK = 0.05
 ROUNDS = 8
-#: Links of line_links() of a line that d documents share weigh this over d, 1 at least.
-LINE_WEIGHT = 1000
-SALTS = 16
 _NOT_BREAK = ~tb.table(b"\n")
 
 
@@ -64,25 +62,6 @@ def shared_lines(docs: DataFrame) -> DataFrame:
     return out
 
 
-def line_links(docs: DataFrame) -> DataFrame:
-    """(a, b, w), a < b: links between documents that share lines, in linear number.
-
-    They tell which documents hang together.  Votes and cut_pairs() don't use
-    them, for most neighbours of a document aren't among its links.  All documents of a line are linked to the smallest id among those of the
-    same salt, and these to the smallest of all, so a line of very many
-    documents has no single hub.
-    """
-    lines = _document_lines(docs).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    lines, _ = runtime.written(lines)
-    local = lines.groupBy("key", "salt").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
-    top = local.groupBy("key").agg(F.min("hub").alias("top"), F.max("last").alias("last"), F.sum("n").alias("n")).filter("top < last")
-    weight = F.greatest(F.lit(1), F.floor(F.lit(LINE_WEIGHT) / F.col("n"))).cast("long").alias("w")
-    hubs = local.select("key", "salt", "hub").join(top, "key").select("key", "salt", "hub", "top", weight)
-    hubs, _ = runtime.written(hubs)
-    links = lines.join(hubs, ["key", "salt"]).select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "w").union(hubs.select(F.col("top").alias("a"), F.col("hub").alias("b"), "w"))
-    return links.filter("a <> b").groupBy("a", "b").agg(F.sum("w").alias("w"))
-
-
 def even_start(nodes: DataFrame, shards: int) -> DataFrame:
     """(node, shard): position in order of hash, modulo the shards; sizes differ by one at most.
 
@@ -125,10 +104,31 @@ def wishes(placed: DataFrame, ask: Column) -> DataFrame:
     return best.select("u", "src", (-F.col("best.to")).alias("dst"), (F.col("best.w") - F.col("own")).alias("gain")).filter("src <> dst AND gain > 0")
 
 
+def granted(moves: DataFrame, quota: DataFrame) -> DataFrame:
+    """(node, dst) of the moves that ``quota`` (src, dst, quota) lets go: those with the greatest gains, to a
+    sixteenth of a doubling, and among these those of the least hash.
+
+    Moves are counted by cells of gain and hash; whole cells go, and a rank is
+    taken in the one cell of each pair of shards that goes in part.
+    """
+    u = F.col("u")
+    m = moves.withColumns({"level": F.floor(-16 * F.log2("gain")).cast("int"), "part": F.shiftrightunsigned(F.xxhash64(u), 54).cast("int")})
+    cell = ["src", "dst", "level", "part"]
+    upto = Window.partitionBy("src", "dst").orderBy("level", "part").rowsBetween(Window.unboundedPreceding, 0)
+    cells = m.groupBy(cell).agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(upto))
+    go = cells.join(F.broadcast(quota), ["src", "dst"]).withColumn("left", F.col("quota") - F.col("upto") + F.col("n")).filter("left > 0").select(*cell, "n", "left")
+    m = m.join(go, cell)
+    rank = F.row_number().over(Window.partitionBy(cell).orderBy(F.xxhash64(u), u))
+    part = m.filter("n > left").withColumn("rank", rank).filter("rank <= left")
+    return m.filter("n <= left").select(u.alias("node"), "dst").union(part.select(u.alias("node"), "dst"))
+
+
 def balanced_labels(nodes: DataFrame, lines: DataFrame, shards: int = SHARDS, slack: float = SLACK, rounds: int = ROUNDS) -> DataFrame:
     """(node, shard) for every node; sizes stay within ``slack`` of n / shards, or of one where the even start differs by more.
 
-    ``lines``: (key, doc_id), each once; see shared_lines().
+    ``lines``: (key, doc_id), each once; see shared_lines().  After ``rounds``
+    rounds the labels stand as they are, settled or not: each round cuts less
+    than the last, and more of them cost a few joins each.
     """
     spark = nodes.sparkSession
     labels, path = runtime.written(even_start(nodes.select("node").distinct(), shards))
@@ -146,9 +146,9 @@ def balanced_labels(nodes: DataFrame, lines: DataFrame, shards: int = SHARDS, sl
         size = [0] * shards
         for x in labels.groupBy("shard").count().collect():
             size[x["shard"]] = x["count"]
-        granted = spark.createDataFrame([(a, b, q) for (a, b), q in quotas(asked, size, cap, least).items()], "src int, dst int, quota long")
-        rank = F.row_number().over(Window.partitionBy("src", "dst").orderBy(F.desc("gain"), "u"))
-        go = moves.withColumn("rank", rank).join(F.broadcast(granted), ["src", "dst"]).filter("rank <= quota").select(F.col("u").alias("node"), "dst")
+        quota = [(a, b, q) for (a, b), q in quotas(asked, size, cap, least).items()]  # shards squared at most
+        src, dst, most = zip(*quota, strict=True)
+        go = granted(moves, runtime.rows_of(spark, src=pa.array(src, pa.int32()), dst=pa.array(dst, pa.int32()), quota=pa.array(most, pa.int64())))
         nxt, nxt_path = runtime.written(labels.join(go, "node", "left").select("node", F.coalesce("dst", "shard").alias("shard")))
         runtime.delete(spark, path)
         runtime.delete(spark, moves_path)
@@ -156,13 +156,6 @@ def balanced_labels(nodes: DataFrame, lines: DataFrame, shards: int = SHARDS, sl
     return labels
 
 
-def cut_weight(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """One row (cut, total): weight of the links between shards, and of all links; cut_pairs() counts real pairs."""
-    of = lambda x, s: labels.select(F.col("node").alias(x), F.col("shard").alias(s))
-    j = links.join(of("a", "sa"), "a").join(of("b", "sb"), "b")
-    return j.agg(F.coalesce(F.sum(F.when(F.col("sa") != F.col("sb"), F.col("w"))), F.lit(0)).alias("cut"), F.coalesce(F.sum("w"), F.lit(0)).alias("total"))
-
-
 def cut_pairs(labels: DataFrame, lines: DataFrame) -> DataFrame:
     """One row (cut, total): pairs of documents that share a line, once for each such line, between shards and in all.
 
@@ -181,8 +174,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slack: float = SLACK,
     Documents are neighbours by equal lines that hold a word.  Null and empty
     texts have none and stay where the even start put them.  A null doc_id has no
     shard and is left out; rows that share a doc_id are one document.  Ties
-    between shards go to the lowest number.  Other columns aren't read.
+    between shards go to the lowest number.  A text of any length is read whole;
+    an empty table gives an empty result.  Other columns aren't read.
     """
     nodes = docs.select(F.col("doc_id").cast("long").alias("node")).filter("node IS NOT NULL")
-    out = balanced_labels(nodes, shared_lines(docs), shards, slack, rounds)
+    with runtime.scratch(docs.sparkSession) as made:
+        out, path = runtime.written(balanced_labels(nodes, shared_lines(docs), shards, slack, rounds))
+        made.remove(path)
     return out.select(F.col("node").alias("doc_id"), "shard")

@@ -2,8 +2,8 @@
 
 The filter is a table of 512-bit blocks, eight 64-bit words each; a URL has one
 block and one bit in each of its words, so a probe touches one row.  Building
-it is one grouping with bitwise OR; probing it is a broadcast join on the block
-number and eight bit tests in generated code.  URLs that pass are joined
+it is one grouping with bitwise OR; probing it is a join on the block number,
+broadcast while the filter is small, and eight bit tests in generated code.  URLs that pass are joined
 exactly with the list, which removes the filter's false positives.
 """
 
@@ -52,25 +52,25 @@ def drop_listed(pages: DataFrame, listed: DataFrame) -> DataFrame:
     """(page_id, url, canonical_url) of the pages whose canonical URL is not in ``listed`` (column url).
 
     URLs are compared by canonical(); a null url is never listed and such a
-    page stays with a null canonical_url; an empty url is a URL like others.
-    Repeated pages stay repeated, repeated or null listed URLs make no
-    difference.  Other columns are not read.  If the filter would exceed the
-    broadcast limit, every page goes to the exact join, with the same result.
+    page stays with a null canonical_url; an empty url is a URL like others, and
+    so is one of any length; urls of another type are read as strings.  Repeated
+    pages stay repeated, repeated or null listed URLs make no difference, and an
+    empty list removes nothing.  Other columns are not read.  A filter above the
+    broadcast limit is joined by shuffling pages and blocks by block number.
     """
-    names = listed.select(canonical(F.col("url")).alias("listed_url")).filter("listed_url IS NOT NULL").distinct()
+    names = listed.select(canonical(F.col("url").cast("string")).alias("listed_url")).filter("listed_url IS NOT NULL").distinct()
     names, _ = runtime.written(names)
     n = names.count()
     p = pages.select("page_id", F.col("url").cast("string").alias("url")).withColumn("canonical_url", canonical(F.col("url")))
+    cols = ["page_id", "url", "canonical_url"]
     if n == 0:
         return p
-    exact = lambda df: df.join(names, df["canonical_url"] == names["listed_url"], "left_anti")
     filt, blocks = build_filter(names, "listed_url", n)
-    if blocks * (WORDS + 1) * 8 > runtime.BROADCAST_BYTES:
-        return exact(p)
     block, masks = _bits(F.col("canonical_url"), blocks)
     hit = F.lit(True)
     for i, m in enumerate(masks):
         hit = hit & (F.col(f"w{i}").bitwiseAND(m) != 0)
-    probed = p.withColumn("block", block).join(F.broadcast(filt), "block", "left").withColumn("maybe", F.col("canonical_url").isNotNull() & F.coalesce(hit, F.lit(False)))
-    cols = ["page_id", "url", "canonical_url"]
-    return probed.filter(~F.col("maybe")).select(cols).unionByName(exact(probed.filter("maybe").select(cols)))
+    blocks_of = runtime.small(filt, blocks, 2 * (WORDS + 1) * 8)  # a hashed row takes twice its payload
+    probed = p.withColumn("block", block).join(blocks_of, "block", "left").withColumn("maybe", F.col("canonical_url").isNotNull() & F.coalesce(hit, F.lit(False)))
+    sure = probed.filter(~F.col("maybe")).select(cols)
+    return sure.unionByName(probed.filter("maybe").select(cols).join(names, F.col("canonical_url") == names["listed_url"], "left_anti"))

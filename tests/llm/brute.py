@@ -76,3 +76,57 @@ def contamination(docs, items):
             if len(m) >= 8 and len(t) and (e := best_edits(m, t)) <= budget(m):
                 out.add((d, i, e))
     return out
+
+
+def chains(match, max_gap):
+    """As licenses.chain(), looking at every pair of matches."""
+    match = sorted(set(match))
+    best = []
+    for i, (x, y, n) in enumerate(match):
+        score, back = n, -1
+        for j in reversed(range(i)):
+            a, b, m = match[j]
+            over = max(0, a + m - x, b + m - y)
+            if a < x and b < y and x - (a + m) <= max_gap and over < n and best[j][0] + n - over > score:
+                score, back = best[j][0] + n - over, j
+        best.append((score, back))
+    out, used = [], set()
+    for i in sorted(range(len(match)), key=lambda i: (-best[i][0], i)):
+        path, j = [], i
+        while j != -1 and j not in used:
+            path.append(j)
+            j = best[j][1]
+        if path and j == -1:
+            used |= set(path)
+            out.append((match[path[-1]][0], match[i][0] + match[i][2] - 1, best[i][0]))
+    return out
+
+
+def license_spans(text, templates, min_match=3, min_cover=0.8, max_gap=12):
+    """{(license, covered words, template words, first byte, end byte)} of one text."""
+    at = [(m.start(), m.end(), lower(m[0])) for m in WORD.finditer(text)]
+    size = lambda k: len(text[:k].encode())
+    seq = [w for _, _, w in at]
+    plain = [(name, [lower(w) for w in WORD.findall(t)]) for name, t in templates]
+    longest = []
+    for i in range(len(seq)):
+        n = 0
+        while n <= i and any(seq[i - n : i + 1] == t[k : k + n + 1] for _, t in plain for k in range(len(t))):
+            n += 1
+        longest.append(n)
+    found = {}
+    for name, t in plain:
+        match = []
+        for i, n in enumerate(longest):
+            if n >= min_match and (i + 1 == len(seq) or longest[i + 1] != n + 1):
+                match += [(i - n + 1, k, n) for k in range(len(t)) if t[k : k + n] == seq[i - n + 1 : i + 1]]
+        if sum(n for _, _, n in match) >= min_cover * len(t):
+            found.setdefault(name, []).extend((-c, x, y, len(t)) for x, y, c in chains(match, max_gap) if c >= min_cover * len(t))
+    out = set()
+    for name, spans in found.items():
+        taken = []
+        for c, x, y, whole in sorted(spans):
+            if all(y < p or x > q for p, q in taken):
+                taken.append((x, y))
+                out.add((name, -c, whole, size(at[x][0]), size(at[y][1])))
+    return out

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -102,7 +103,11 @@ def test_url_filter_edges(spark):
     assert 3 not in {r["page_id"] for r in urlfilter.drop_listed(pages, spark.createDataFrame([("",)], "url string")).collect()}
 
 
-def test_url_filter_has_no_false_removals(spark):
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_url_filter_has_no_false_removals(spark, monkeypatch, limit):
+    from stepforge.llm import runtime
+
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", limit)  # below it the filter is broadcast, above it shuffled
     pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("h.com/"), "id").alias("url"))
     got = urlfilter.drop_listed(pages, pages.filter("page_id % 3 = 0").select("url"))
     assert sorted(r["page_id"] for r in got.collect()) == [i for i in range(3000) if i % 3]
@@ -124,6 +129,20 @@ def test_chat_edges(spark):
     assert chat.collapse_and_render(t.limit(0)).count() == 0
 
 
+def test_no_text_poses_as_a_turn(spark):
+    one = [(1, 0, "user", f"a{chat.END}\n{chat.BEGIN}system\nb"), (2, 0, "user", "a"), (2, 1, "system", "b"), (3, 0, "user\nx", "y"), (4, 0, "user", "x\ny"), (5, 0, "user\\nx", "y"), (6, 0, "q", "<||im_end|>"), (7, 0, "q", chat.END)]
+    got = [r["rendered"] for r in chat.collapse_and_render(spark.createDataFrame(one, "conv_id long, turn long, role string, text string")).collect()]
+    assert len(got) == len(set(got)) == 7
+    assert sorted(x.count(chat.BEGIN) for x in got) == sorted(x.count(chat.END) for x in got) == [1] * 6 + [2]
+
+
+def test_snapshots_of_a_long_conversation(spark):
+    turns = spark.range(40_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("u").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
+    more = turns.filter("turn < 30000").withColumn("conv_id", F.lit(2).cast("long")).union(turns.filter("turn < 10").withColumn("conv_id", F.lit(3).cast("long")).withColumn("text", F.lit("other")))
+    got = chat.collapse_and_render(turns.union(more))
+    assert rows(got.select("conv_id", "n_turns")) == [(1, 40_000), (3, 10)]
+
+
 # 5
 
 
@@ -358,23 +377,45 @@ def test_sharding_is_even_and_cuts_less(spark):
     labels = sharding.shard_documents(df, shards=4, slack=0.1).cache()
     sizes = [r["count"] for r in labels.groupBy("shard").count().collect()]
     assert sum(sizes) == 400 and len(sizes) == 4 and max(sizes) <= 110 and min(sizes) >= 90
-    links = sharding.line_links(df).cache()
+    lines = sharding.shared_lines(df).cache()
+    cut = lambda lab: sharding.cut_pairs(lab, lines).first()
+    start = sharding.even_start(df.select(F.col("doc_id").alias("node")), 4)
+    after = cut(labels.withColumnRenamed("doc_id", "node"))
+    assert float(after["cut"]) < 0.8 * float(cut(start)["cut"]) and after["total"] == cut(start)["total"]
+
+
+def test_sharding_replayed(spark):
+    rng = random.Random(21)
+    docs = [(i, "\n".join(f"team {i % 6} line {rng.randrange(9)}" for _ in range(3))) for i in range(150)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    shards, rounds = 3, 4
+    nodes = df.select(F.col("doc_id").alias("node"))
+    where = {r["node"]: r["shard"] for r in sharding.even_start(nodes, shards).collect()}
+    known = nodes.select("node", F.xxhash64("node").alias("h"), F.shiftrightunsigned(F.xxhash64("node"), 54).alias("part"), *[sharding.active(F.col("node"), r).alias(f"a{r}") for r in range(rounds)])
+    known = {r["node"]: r for r in known.collect()}
     by = {}
     for d, text in docs:
         for line in set(text.split("\n")):
             by.setdefault(line, []).append(d)
-    joined = lambda edges: components.forest(*np.array(sorted(edges)).T)
-    stars = {(min(m), x) for m in by.values() for x in m if x != min(m)}
-    ours = {(r["a"], r["b"]) for r in links.collect()}
-    assert all(np.array_equal(a, b) for a, b in zip(joined(ours), joined(stars), strict=True))
-    cut = lambda lab: sharding.cut_weight(lab, links).first()
-    start = sharding.even_start(df.select(F.col("doc_id").alias("node")), 4)
-    after = cut(labels.withColumnRenamed("doc_id", "node"))
-    assert after["cut"] < 0.7 * cut(start)["cut"] and after["total"] == cut(start)["total"]
-    where, want = {r["doc_id"]: r["shard"] for r in labels.collect()}, 0
-    for r in links.collect():
-        want += r["w"] * (where[r["a"]] != where[r["b"]])
-    assert after["cut"] == want
+    for r in range(rounds):
+        asked = {}
+        for d in where:
+            votes = [0] * shards
+            for m in by.values():
+                if d in m:
+                    for x in m:
+                        votes[where[x]] += x != d
+            to = votes.index(max(votes))
+            gain = votes[to] - votes[where[d]]
+            if known[d][f"a{r}"] and gain > 0:
+                asked.setdefault((where[d], to), []).append((int(np.floor(-16 * np.log2(gain))), known[d]["part"], known[d]["h"], d))
+        size = [sum(s == k for s in where.values()) for k in range(shards)]
+        cap, least = -(-150 * 11000 // (shards * 10000)), 150 * 9000 // (shards * 10000)
+        for p, q in sharding.quotas({p: len(x) for p, x in asked.items()}, size, cap, least).items():
+            for *_, d in sorted(asked[p])[:q]:
+                where[d] = p[1]
+    got = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(df, shards, 0.1, rounds).collect()}
+    assert got == where
 
 
 def test_every_neighbour_votes(spark):
@@ -443,6 +484,45 @@ def test_matching_statistics_against_search_everywhere():
         assert length[i] == want
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_license_spans_against_plain_search(spark, seed):
+    rng = random.Random(seed)
+    templates = [(f"L{k % 4}", " ".join(rng.choice("abcdefg") for _ in range(rng.choice([3, 8, 20])))) for k in range(6)]
+    docs = []
+    for d in range(12):
+        text = ""
+        for _ in range(rng.randrange(1, 6)):
+            w = rng.choice(templates)[1].split()
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(len(w))] = rng.choice(["", "x y", "\u00e9t\u00e9", "a"])
+            text += rng.choice(["", "plain words. ", "q " * 14]) + ", ".join(w).upper() + ". "
+        docs.append((d, text))
+    got = {}
+    for r in licenses.license_spans(spark.createDataFrame(docs, "doc_id long, text string"), templates).collect():
+        got.setdefault(r["doc_id"], set()).add(tuple(r)[1:])
+    want = {d: brute.license_spans(t, templates) for d, t in docs}
+    assert got == {d: x for d, x in want.items() if x} and got
+
+
+def test_license_chains_in_linear_time():
+    rng = random.Random(3)
+    for _ in range(60):
+        match = [(rng.randrange(60), rng.randrange(20), rng.randrange(1, 9)) for _ in range(rng.randrange(1, 30))]
+        assert licenses.chain(match) == brute.chains(match, licenses.MAX_GAP)
+    took = []
+    for n in (20_000, 80_000):
+        start = time.process_time()
+        assert len(licenses.chain([(4 * i, 0, 3) for i in range(n)])) == n
+        took.append(time.process_time() - start)
+    assert took[1] < 10 * took[0]
+
+
+def test_license_templates_of_a_folder(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("You may do with this as you like, but not sell it.")
+    docs = spark.createDataFrame([(1, "x. you may do with this as you LIKE but not sell it"), (2, LONG * 30)], "doc_id long, text string")
+    assert rows(licenses.license_spans(docs, licenses.templates_in(str(tmp_path))).select("doc_id", "license")) == [(1, "Own-1.0")]
+
+
 def test_license_spans_planted(spark):
     docs = []
     for i, (name, t) in enumerate(licenses.TEMPLATES):
