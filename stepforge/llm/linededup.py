@@ -75,7 +75,9 @@ class Lines:
         self.row = tb.owner(self.start, o)
         breaks = np.flatnonzero(data == 10)
         self.number = np.searchsorted(breaks, self.start) - np.searchsorted(breaks, o[self.row])
-        self.key = tb.hash_spans(data, self.start, self.end, 1).view(np.int64)
+
+    def key(self) -> np.ndarray:
+        return tb.hash_spans(self.data, self.start, self.end, 1).view(np.int64)
 
     def sets(self, rarity: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """(line, word hash) of the distinct words, each line's rarest first; ties by hash."""
@@ -215,7 +217,7 @@ def _postings(rarity_of, percent: int, hot: int, wanted=None):
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for i, x in _walk(b):
-                doc, key = ids[i + x.row], x.key
+                doc, key = ids[i + x.row], x.key()
                 order = np.lexsort((x.number, doc, key))
                 fresh = np.zeros(len(key), bool)
                 fresh[order] = np.r_[True, key[order][1:] != key[order][:-1]]
@@ -249,14 +251,16 @@ def similar_in_groups(word, size, pos, key, parity, place, percent: int, most: i
     Postings of equal lines are merged into the earliest place.
     """
     whole = size if whole is None else whole
-    order = np.lexsort((place[:, 1], place[:, 0], parity, key, size, word >> np.uint64(32)))
-    word, size, pos, key, parity, place, whole = (v[order] for v in (word, size, pos, key, parity, place, whole))
-    before, word = word & np.uint64(0xFFFFFFFF), word >> np.uint64(32)
-    if len(word):
-        keep = np.r_[True, (word[1:] != word[:-1]) | (key[1:] != key[:-1]) | (parity[1:] != parity[:-1])]
-        order, before, word, size, pos, parity, place, whole = (v[keep] for v in (order, before, word, size, pos, parity, place, whole))
     rank = np.empty(len(word), np.int64)
     rank[np.lexsort((place[:, 1], place[:, 0]))] = np.arange(len(word))
+    before, word = word & np.uint64(0xFFFFFFFF), (word >> np.uint64(32) << np.uint64(18)) | size.astype(np.uint64)
+    order = np.lexsort((rank, key, word))
+    word, key, parity = word[order], key[order], parity[order]
+    if len(word):
+        keep = np.r_[True, (word[1:] != word[:-1]) | (key[1:] != key[:-1]) | (parity[1:] != parity[:-1])]
+        order, word, parity = order[keep], word[keep], parity[keep]
+    rank, before, size, pos, whole = (v[order] for v in (rank, before, size, pos, whole))
+    word >>= np.uint64(18)
     full = np.zeros(len(word), np.int64)
     out, at, shift = [np.zeros((3, 0), np.int64)], np.arange(len(word)), 0
     while len(at):
@@ -345,15 +349,15 @@ def _fetch(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids[i + row]), pa.array((version[i + row] << VERSION_BITS) | number), lists], ["doc_id", "line_no", "words"])
 
 
-def _verified(d: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The (yd, yl) of ``pairs`` whose word sets are similar to those at (xd, xl)."""
+def _verified(d: DataFrame, pairs: DataFrame, percent: int, once: bool) -> DataFrame:
+    """The (yd, yl) of ``pairs`` whose word sets are similar to those at (xd, xl); ``once`` says that no two rows of ``d`` are equal."""
     places = pairs.select(F.col("xd").alias("doc_id"), F.col("xl").alias("line_no")).union(pairs.select("yd", "yl")).distinct()
     needed, _ = runtime.written(places.groupBy("doc_id", F.shiftright("line_no", VERSION_BITS).alias("version")).agg(F.collect_list("line_no").alias("lines")))
     stats = needed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()
     with_lines = d.join(runtime.small(needed, int(stats[0]) * 6 + int(stats[1]), 8), ["doc_id", "version"])
     words = with_lines.select("doc_id", "text", "version", "lines").mapInArrow(_fetch, "doc_id long, line_no long, words array<string>")
-    # equal rows of doc_id and text come as often as they are there
-    words, _ = runtime.written(words.select("doc_id", "line_no", F.array_distinct("words").alias("words")).dropDuplicates(["doc_id", "line_no"]))
+    words = words.select("doc_id", "line_no", F.array_distinct("words").alias("words"))
+    words, _ = runtime.written(words if once else words.dropDuplicates(["doc_id", "line_no"]))
     of = lambda s: words.select(F.col("doc_id").alias(f"{s}d"), F.col("line_no").alias(f"{s}l"), F.col("words").alias(f"{s}w"))
     shared = F.size(F.array_intersect("xw", "yw"))
     both = pairs.select("xd", "xl", "yd", "yl").distinct().join(of("x"), ["xd", "xl"]).join(of("y"), ["yd", "yl"]).select("yd", "yl", shared.alias("o"), (F.size("xw") + F.size("yw")).alias("n"))
@@ -428,7 +432,7 @@ def _places(docs: DataFrame, versions: DataFrame | None, percent: int, partners:
     met = d.mapInArrow(_postings(lambda: shared.value, percent, hot), columns).repartition(tasks, word)
     schema = "xd long, xl long, yd long, yl long, more boolean"
     pairs, _ = runtime.written(met.mapInArrow(_candidates(percent, partners), schema))
-    near, _ = runtime.written(_verified(d, pairs, percent))
+    near, _ = runtime.written(_verified(d, pairs, percent, versions is None))
     unsure = pairs.filter("more").select("yd", "yl").distinct().join(near, ["yd", "yl"], "left_anti")
     unsure, _ = runtime.written(unsure)
     if not unsure.isEmpty():
@@ -443,7 +447,7 @@ def _places(docs: DataFrame, versions: DataFrame | None, percent: int, partners:
             again = d.mapInArrow(_postings(lambda: shared.value, percent, hot), columns).join(keys, word == F.col("w"), "left_semi")
         every = again.repartition(tasks, word).mapInArrow(_candidates(percent, None), schema)
         every, _ = runtime.written(every.join(unsure, ["yd", "yl"], "left_semi"))
-        near = near.union(_verified(d, every, percent)).distinct()
+        near = near.union(_verified(d, every, percent, versions is None)).distinct()
     marked = near.select(F.col("yd").alias("doc_id"), F.col("yl").alias("line_no"), F.lit(0).alias("c")).union(copies.select("doc_id", "line_no", F.lit(1)))
     return marked.groupBy("doc_id", "line_no").agg(F.max("c").alias("c"))
 

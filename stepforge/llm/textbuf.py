@@ -110,21 +110,18 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: in
     size = ends - starts
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     word = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
-    if int(size.max()) <= 8:
-        h = mix((word[starts] & _TAIL[size]) ^ _BLOCKS[which][0])
-    else:
-        many = (size + 7) >> 3
-        h = np.empty(len(starts), np.uint64)
-        total = np.cumsum(many)
-        i = 0
-        while i < len(starts):  # temporaries stay small
-            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + piece, side="right")))
-            n = many[i:j]
-            k = ragged(n)
-            at = np.repeat(starts[i:j], n) + 8 * k
-            block = word[at] & _TAIL[np.minimum(np.repeat(ends[i:j], n) - at, 8)]
-            h[i:j] = np.add.reduceat(mix(block ^ _masks(k, which)), np.cumsum(n) - n)
-            i = j
+    h = mix((word[starts] & _TAIL[np.minimum(size, 8)]) ^ _BLOCKS[which][0])
+    long = np.flatnonzero(size > 8)
+    many = (size[long] - 1) >> 3  # blocks after the first
+    total, i = np.cumsum(many), 0
+    while i < len(long):  # temporaries stay small
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + piece, side="right")))
+        n, x = many[i:j], long[i:j]
+        k = ragged(n) + 1
+        at = np.repeat(starts[x], n) + 8 * k
+        block = word[at] & _TAIL[np.minimum(np.repeat(ends[x], n) - at, 8)]
+        h[x] += np.add.reduceat(mix(block ^ _masks(k, which)), np.cumsum(n) - n)
+        i = j
     return mix(h + size.astype(np.uint64) * _LEN)
 
 
