@@ -50,8 +50,23 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another on ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after another on ``documents``: (doc_id, n_tokens, token_ids, round_trip) of what is left.
+
+    A null or empty text is in no language and goes with the first stage.  Rows
+    with a null doc_id, and different texts under one doc_id, are documents of
+    their own; of rows equal in doc_id and text one is left.  Near copies, and
+    lines as similar to each other, leave the smallest doc_id, null before all
+    others among lines and after them among documents.  Texts of any length go
+    through whole.  Columns of other names are carried to the last stage.  An
+    empty table gives an empty result.  The table that a stage reads, and those
+    that it makes for itself, are deleted once its result is written.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs, _ = runtime.written(stage(spark, docs, sf_dir))
+        with runtime.scratch(spark) as made:
+            docs, path = runtime.written(stage(spark, docs, sf_dir))
+            made.remove(path)
+            if before is not None:
+                made.append(before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
