@@ -34,18 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-_SCRATCH: list[list[str]] = []
+_SCRATCH: list[tuple[list[str], list[str]]] = []
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """Tables written inside are removed at the end, but for those that the caller takes out of the list."""
+    """Tables written inside are removed at the end, but for those that the caller takes out of the list; these
+    are left to the scratch around, if there is one."""
     made: list[str] = []
-    _SCRATCH.append(made)
+    every: list[str] = []
+    _SCRATCH.append((made, every))
     try:
         yield made
     finally:
         _SCRATCH.pop()
+        if _SCRATCH:
+            for x in _SCRATCH[-1]:
+                x += [path for path in every if path not in made]
         for path in made:
             delete(spark, path)
 
@@ -56,7 +61,8 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     path = f"{shared_dir(spark).rstrip('/')}/stepforge-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if _SCRATCH:
-        _SCRATCH[-1].append(path)
+        for x in _SCRATCH[-1]:
+            x.append(path)
     return spark.read.parquet(path), path
 
 
