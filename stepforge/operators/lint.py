@@ -20,26 +20,27 @@ from stepforge.sources import loader, model
 EXIT_OK, EXIT_GATE, EXIT_HARD_DEFECT, EXIT_INPUT_ERROR = 0, 1, 2, 3
 
 
-def lint(traces: DataFrame, registry: Registry | None = None, rules: Iterable[str | R.Rule] | None = None, keep: bool = False) -> DataFrame:
+def lint(traces: DataFrame, registry: Registry | None = None, rules: Iterable[str | R.Rule] | None = None, keep: bool = True) -> DataFrame:
     """Finding rows (see rules.FINDING) of canonical traces, suppressions among them.
 
     ``rules`` are ids or Rule objects, in the order in which they report; all
-    eight by default.  ``keep`` holds the paired steps in memory and on disk, so
-    that the checks share one pass over the documents; the caller ends it with
+    eight by default.  If there are several, ``keep`` holds the paired steps in
+    memory and on disk, so that the checks share one pass over the documents and
+    one exchange; it ends with the session or with
     ``spark.catalog.clearCache()``.
     """
     return lint_views(R.Views(traces, registry or Registry()), rules, keep)
 
 
-def lint_steps(steps: DataFrame, registry: Registry | None = None, rules: Iterable[str | R.Rule] | None = None, keep: bool = False) -> DataFrame:
+def lint_steps(steps: DataFrame, registry: Registry | None = None, rules: Iterable[str | R.Rule] | None = None, keep: bool = True) -> DataFrame:
     """The same for a table of steps (trace_key, run_id, idx and model.STEP)."""
     return lint_views(R.Views(None, registry or Registry(), steps), rules, keep)
 
 
-def lint_views(v: R.Views, rules: Iterable[str | R.Rule] | None = None, keep: bool = False) -> DataFrame:
+def lint_views(v: R.Views, rules: Iterable[str | R.Rule] | None = None, keep: bool = True) -> DataFrame:
     reg = v.registry
     chosen = [r if isinstance(r, R.Rule) else R.selected([r])[0] for r in rules or ()] or R.selected()
-    if keep:
+    if keep and len(chosen) > 1:
         v.pairs.persist(StorageLevel.MEMORY_AND_DISK)
     parts = []
     for n, rule in enumerate(chosen):
@@ -116,6 +117,26 @@ def trace_rule(id: str, finding_type: str, check: Callable[[Doc], list[Doc]], re
     return R.Rule(id, finding_type, lambda v: v.traces.groupBy("trace_key").applyInPandas(per_trace, R.FINDING), reason)
 
 
+def lint_file(spark, path: str, fmt: str | None = None, registry: Registry | None = None, rules=None, tool_names=()) -> DataFrame:
+    """Finding rows of a file, folder or pattern of trace documents."""
+    return lint(loader.load(spark, path, fmt, tool_names), registry, rules)
+
+
+def lint_spans(spark, path: str, registry: Registry | None = None, rules=None) -> DataFrame:
+    """The same for exports of spans."""
+    return lint_file(spark, path, "otel", registry, rules)
+
+
+def lint_messages(spark, path: str, registry: Registry | None = None, rules=None) -> DataFrame:
+    """The same for message lists of chat models."""
+    return lint_file(spark, path, "openai", registry, rules)
+
+
+def lint_observations(spark, path: str, registry: Registry | None = None, rules=None, tool_names=()) -> DataFrame:
+    """The same for traces of an observability platform."""
+    return lint_file(spark, path, "langfuse", registry, rules, tool_names)
+
+
 def lint_docs(spark, docs: list[Any], fmt: str, registry: Registry | None = None, rules=None, tool_names=()) -> list[Doc]:
     """Reports of a few documents in the driver's memory."""
     t = loader.from_docs(spark, docs, fmt, tool_names)

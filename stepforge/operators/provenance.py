@@ -4,7 +4,8 @@ Sources are user and system messages and tool results; what the model itself
 said is none.  They are gathered once per trace, with their positions, and every
 argument is tested against those before its call by a ladder from cheap to
 expensive.  Traces are independent, and all steps of one are in one partition
-already, so gathering and joining cost no exchange.
+already, so gathering and joining cost no exchange.  A trace's sources and
+arguments are one row, which has to fit in a task's memory.
 """
 
 from __future__ import annotations
@@ -68,24 +69,33 @@ def operation(at: Column, norm: Column, digits: Column, texts: Column, seen: Col
 
 
 def derivations(v) -> DataFrame:
-    """Every checkable argument with ``operation`` (null if it can't be derived) and the first source step that shows it."""
-    a, s = arguments(v.calls), sources(v.pairs)
-    j = a.join(s, "trace_key", "left")
+    """Every checkable argument with ``operation`` (null if it can't be derived) and the first source step that shows it.
+
+    A trace's arguments are one row as its sources are, so these are never
+    copied for each argument.
+    """
+    own = ["idx", "tool", "nth", "field", "value", "shown", "norm", "digits", "checkable", "origin"]
+    a = arguments(v.calls).groupBy("trace_key", "run_id").agg(F.collect_list(F.struct(*own)).alias("args"))
     none = F.expr("CAST(array() AS array<struct<idx:int,norm:string,digits:string,by:string>>)")
-    j = j.withColumns({"texts": F.coalesce("texts", none), "seen": F.coalesce("seen", none)})
-    j = j.withColumn("operation", operation(F.col("idx"), F.col("norm"), F.col("digits"), F.col("texts"), F.col("seen")))
-    before = lambda s: s["idx"] < F.col("idx")
-    op = F.col("operation")
-    by_digits = F.filter("seen", lambda s: before(s) & (s["digits"] == F.col("digits")))
-    shows = (
-        F.when(op == "exact", F.filter("seen", lambda s: before(s) & (s["norm"] == F.col("norm"))))
-        .when((op == "digits") & (F.size(by_digits) > 0), by_digits)
-        .when(op == "digits", F.filter("texts", lambda t: before(t) & F.contains(t["digits"], F.col("digits"))))
-        .when(op == "substring", F.filter("texts", lambda t: before(t) & F.contains(t["norm"], F.col("norm"))))
-        .when(op == "concat", F.filter("seen", lambda s: before(s) & (s["norm"] != "") & F.startswith(F.col("norm"), s["norm"])))
-    )
-    first = F.get(shows, F.lit(0))
-    return j.withColumns({"source_step": first["idx"], "source_type": first["by"]}).drop("texts", "seen")
+    j = a.join(sources(v.pairs), "trace_key", "left").withColumns({"texts": F.coalesce("texts", none), "seen": F.coalesce("seen", none)})
+    texts, seen = F.col("texts"), F.col("seen")
+    with_op = F.transform("args", lambda x: F.struct(x.alias("x"), operation(x["idx"], x["norm"], x["digits"], texts, seen).alias("op")))
+
+    def shows(x: Column, op: Column) -> Column:
+        before = lambda s: s["idx"] < x["idx"]
+        by_digits = F.filter(seen, lambda s: before(s) & (s["digits"] == x["digits"]))
+        return F.get(
+            F.when(op == "exact", F.filter(seen, lambda s: before(s) & (s["norm"] == x["norm"])))
+            .when((op == "digits") & (F.size(by_digits) > 0), by_digits)
+            .when(op == "digits", F.filter(texts, lambda t: before(t) & F.contains(t["digits"], x["digits"])))
+            .when(op == "substring", F.filter(texts, lambda t: before(t) & F.contains(t["norm"], x["norm"])))
+            .when(op == "concat", F.filter(seen, lambda s: before(s) & (s["norm"] != "") & F.startswith(x["norm"], s["norm"]))),
+            F.lit(0),
+        )
+
+    found = F.transform(with_op, lambda y: F.struct(y["x"].alias("x"), y["op"].alias("operation"), shows(y["x"], y["op"]).alias("first")))
+    out = j.select("trace_key", "run_id", F.explode(found).alias("y"))
+    return out.select("trace_key", "run_id", "y.x.*", F.col("y.operation").alias("operation"), F.col("y.first.idx").alias("source_step"), F.col("y.first.by").alias("source_type"))
 
 
 def underivable(v) -> DataFrame:

@@ -54,9 +54,9 @@ class Views:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        # one exchange by trace serves every window below; a table of steps brings its own
-        s = self.steps.repartition("trace_key") if self.nested else self.steps
-        return pairing.paired(pairing.derived(s))
+        # Python columns don't pass on how their input is partitioned: they come first, and one exchange by trace
+        # then serves every window below
+        return pairing.paired(pairing.derived(self.steps).repartition("trace_key"))
 
     @cached_property
     def calls(self) -> DataFrame:
@@ -72,12 +72,12 @@ class Views:
     @cached_property
     def counts(self) -> DataFrame:
         """(trace_key, run_id, n_calls, n_results, n_schemas) of every trace, also of one without steps: counted
-        inside the row, with no exchange, unless steps are all there is."""
+        inside the row, unless steps are all there is; without an exchange in either case."""
         with_schema = [t.name for t in self.registry.tools.values() if t.schema is not None]
         if not self.nested:
             n = lambda c: F.count(F.when(c, 1))
             has = (F.col("kind") == model.CALL) & F.col("tool").isin(with_schema) if with_schema else F.lit(False)
-            return self.steps.groupBy("trace_key", "run_id").agg(n(pairing.is_call()).alias("n_calls"), n(pairing.is_result()).alias("n_results"), n(has).alias("n_schemas"))
+            return self.pairs.groupBy("trace_key", "run_id").agg(n(pairing.is_call()).alias("n_calls"), n(pairing.is_result()).alias("n_results"), n(has).alias("n_schemas"))
         kinds = lambda k: F.size(F.filter("steps", lambda s: s["kind"] == k))
         schemas = F.size(F.filter("steps", lambda s: (s["kind"] == model.CALL) & s["tool"].isin(with_schema))) if with_schema else F.lit(0)
         return self.traces.select("trace_key", "run_id", kinds(model.CALL).alias("n_calls"), kinds(model.RESULT).alias("n_results"), schemas.alias("n_schemas"))
@@ -298,35 +298,45 @@ def r4(v: Views) -> DataFrame:
 def repeats(calls: DataFrame) -> DataFrame:
     """(trace_key, run_id, tool, first, again): calls that repeat an anchor with the same result.
 
-    Calls of one fingerprint are folded in order.  The first is the anchor; the
-    next one right after the anchor, or one after a side-effecting call, is
-    passed over and the anchor stays; any other is a repeat and the new anchor.
-    ``acts`` counts side-effecting calls up to and with a call, so that "strictly
-    between" is a difference of two counts.
+    Of the calls with one fingerprint the first is the anchor.  One right after
+    the anchor is passed over; any other is a repeat and the new anchor, until
+    a side-effecting call came strictly between it and the anchor: from there on
+    nothing repeats.  So in a row of neighbours every other call is an anchor,
+    and all is told by windows.  ``acts`` counts side-effecting calls up to and
+    with a call, so that "strictly between" is a difference of two counts.
     """
     w = Window.partitionBy("trace_key").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     c = calls.withColumn("acts", F.sum(F.col("side_effecting").cast("int")).over(w))
-    at = F.struct(F.col("pos").cast("int").alias("pos"), "idx", F.col("acts").cast("int").alias("acts"), F.col("side_effecting").cast("int").alias("own"))
-    g = c.groupBy("trace_key", "run_id", "tool", "args_key", "outcome").agg(F.array_sort(F.collect_list(at)).alias("seq")).filter("size(seq) > 1")
-    point = "struct<pos:int,idx:int,acts:int,own:int>"
-    start = F.struct(F.element_at("seq", 1).alias("anchor"), F.expr(f"CAST(array() AS array<struct<first:{point},again:{point}>>)").alias("found"))
-
-    def step(acc: Column, x: Column) -> Column:
-        hit = (x["pos"] - acc["anchor"]["pos"] > 1) & (x["acts"] - x["own"] <= acc["anchor"]["acts"])
-        pair = F.array(F.struct(acc["anchor"].alias("first"), x.alias("again")))
-        return F.struct(F.when(hit, x).otherwise(acc["anchor"]).alias("anchor"), F.when(hit, F.concat(acc["found"], pair)).otherwise(acc["found"]).alias("found"))
-
-    found = F.aggregate(F.slice("seq", 2, F.size("seq")), start, step, lambda acc: acc["found"])
-    return g.select("trace_key", "run_id", "tool", F.explode(found).alias("f")).select("trace_key", "run_id", "tool", F.col("f.first").alias("first"), F.col("f.again").alias("again"))
+    of = Window.partitionBy("trace_key", "tool", "args_key", "outcome").orderBy("idx")
+    upto = of.rowsBetween(Window.unboundedPreceding, 0)
+    new = F.coalesce(F.col("pos") - F.lag("pos").over(of) > 1, F.lit(True))
+    c = c.select("trace_key", "run_id", "tool", "args_key", "outcome", "idx", "pos", "acts", F.col("side_effecting").cast("int").alias("own"), new.alias("new"), F.row_number().over(of).alias("nth"))
+    c = c.withColumn("since", F.max(F.when(F.col("new"), F.col("nth"))).over(upto)).filter((F.col("nth") - F.col("since")) % 2 == 0)
+    at = F.struct(F.col("pos").cast("int").alias("pos"), "idx", F.col("acts").cast("int").alias("acts"), F.col("own").alias("own"))
+    c = c.withColumn("again", at).withColumn("first", F.lag("again").over(of))
+    stopped = F.max(F.coalesce(F.col("acts") - F.col("own") > F.col("first.acts"), F.lit(False))).over(upto)
+    return c.withColumn("stopped", stopped).filter("first IS NOT NULL AND NOT stopped").select("trace_key", "run_id", "tool", "first", "again")
+
+
+def undeclared_between(found: DataFrame, calls: DataFrame) -> DataFrame:
+    """``found`` with ``between``: the tools without declaration that were called strictly between, in order of name.
+
+    Each repeat asks each such tool of its trace for its last call before the
+    repeat, in a window by trace and tool.
+    """
+    unknown = calls.filter("NOT known").select("trace_key", F.col("tool").alias("other"), F.col("pos").cast("int").alias("at"))
+    asked = found.select("trace_key", F.col("again.pos").alias("at"), F.col("first.pos").alias("since")).join(unknown.select("trace_key", "other").distinct(), "trace_key")
+    marks = asked.select("trace_key", "other", "at", "since").unionByName(unknown.withColumn("since", F.lit(None).cast("int")))
+    before = Window.partitionBy("trace_key", "other").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("since").isNull(), F.col("at")), ignorenulls=True).over(before)
+    hits = marks.withColumn("last", last).filter("since IS NOT NULL AND last > since")
+    names = hits.groupBy("trace_key", F.col("at").alias("again_pos")).agg(F.array_sort(F.collect_set("other")).alias("between"))
+    none = F.expr("CAST(array() AS array<string>)")
+    return found.withColumn("again_pos", F.col("again.pos")).join(names, ["trace_key", "again_pos"], "left").withColumn("between", F.coalesce("between", none))
 
 
 def r5(v: Views) -> DataFrame:
-    found = repeats(v.calls)
-    unknown = v.calls.filter("NOT known").groupBy("trace_key").agg(F.collect_list(F.struct("pos", "tool")).alias("unknown"))
-    found = found.join(unknown, "trace_key", "left")
-    inside = lambda u: (u["pos"] > F.col("first.pos")) & (u["pos"] < F.col("again.pos"))
-    names = F.coalesce(F.array_sort(F.array_distinct(F.transform(F.filter("unknown", inside), lambda u: u["tool"]))), F.expr("CAST(array() AS array<string>)"))
-    found = found.withColumns({"between": names, "idx": F.col("again.idx")})
+    found = undeclared_between(repeats(v.calls), v.calls).withColumn("idx", F.col("again.idx"))
     note = F.when(F.size("between") == 0, "").otherwise(
         F.concat(F.lit(" (unverified: undeclared tool(s) "), F.array_join(F.transform("between", quoted), ", "), F.lit(" ran between — declare whether they have side effects)"))
     )
@@ -341,8 +351,8 @@ def r5(v: Views) -> DataFrame:
 
 
 def r6(v: Views) -> DataFrame:
-    """Needs no pairing: a filter over the calls."""
-    c = pairing.derived(v.steps.filter(pairing.is_call())).filter("raw_text <> '' AND a.empty")
+    """A filter over the calls."""
+    c = v.pairs.filter(pairing.is_call()).filter("raw_text <> '' AND a.empty")
     c = c.withColumn("object", is_json_object(F.col("raw_text"))).filter("NOT object")
     return finding(
         c, "R6", "malformed_arguments", HARD_DEFECT, F.concat(quoted(F.col("tool")), F.lit(" was called with arguments that are not valid JSON")),
@@ -351,9 +361,9 @@ def r6(v: Views) -> DataFrame:
 
 
 def r7(v: Views) -> DataFrame:
-    """Needs no pairing: an anti-join with the declared tools."""
+    """An anti-join with the declared tools."""
     names = sorted(v.registry.names())
-    c = v.steps.filter(pairing.is_call())
+    c = v.pairs.filter(pairing.is_call())
     c = c.join(v.declared.select(F.col("tool").alias("d")), F.col("tool") == F.col("d"), "left_anti") if names else c.limit(0)
     return finding(
         c, "R7", "unknown_tool", CANDIDATE, F.concat(F.lit("tool "), quoted(F.col("tool")), F.lit(" was called but is not in the declared toolset (possible hallucinated tool name)")),

@@ -8,10 +8,11 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepforge.functions.values import Doc
+from stepforge.functions.values import Doc, _arrow
 from stepforge.functions import jsonschema, predicates
 
 BROADCAST_BYTES = 64 << 20
@@ -105,5 +106,9 @@ class Registry:
                 (t.name, None if t.schema is None else json.dumps(t.schema), problem, *map(t.flag, FLAGS))
                 + (None if t.failure is None else json.dumps(t.failure), t.schema_version, of("provided"), of("generated"), closed, {k: str(v) for k, v in t.origins.items()})
             )
-        df = spark.createDataFrame(rows, ROWS)
+        if not rows:
+            return F.broadcast(spark.createDataFrame([], ROWS))
+        kind = _arrow(f"struct<{ROWS}>")
+        # Arrow goes to the executors without Python workers
+        df = spark.createDataFrame(pa.Table.from_struct_array(pa.array([dict(zip(kind.names, r, strict=True)) for r in rows], kind)))
         return F.broadcast(df) if sum(len(str(r)) for r in rows) <= BROADCAST_BYTES else df

@@ -63,10 +63,11 @@ def adapt(docs: DataFrame, fmt: str | None = None, tool_names=()) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str, fmt: str | None = None, tool_names=()) -> DataFrame:
-    """Canonical traces of a file, folder or pattern."""
+    """Canonical traces of a file, folder or pattern; files named .jsonl are read by lines, others whole."""
     adapter(fmt)
-    whole = not str(path).rstrip("/").endswith(".jsonl")
-    text = spark.read.text(str(path), wholetext=whole)
+    lines = F.col("_metadata.file_name").endswith(".jsonl")  # a filter on names keeps other files from being read
+    read = lambda whole, wanted: spark.read.text(str(path), wholetext=whole).filter(wanted).select("value", "_metadata")
+    text = read(False, lines).unionByName(read(True, ~lines))
     docs = text.select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("text"))
     return adapt(docs, fmt, tool_names)
 

@@ -193,3 +193,33 @@ def test_steps_are_exchanged_once(spark):
     v = rules.Views(loader.from_docs(spark, [T(C("a", "t"))], "native"), Registry())
     plan = v.calls._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan, plan
+
+
+def test_lint_exchanges_steps_once(spark):
+    t = loader.from_docs(spark, [T(U("x"), C("a", "t"), R("a", 1))], "native")
+    v = rules.Views(t, Registry())
+    found = L.lint_views(v)
+    plan = v.pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("ArrowEvalPython [") == 1, plan
+    whole = found._jdf.queryExecution().optimizedPlan().toString()
+    assert whole.count("InMemoryRelation") >= 8
+    spark.catalog.clearCache()
+
+
+def test_undeclared_tools_between_repeats(spark):
+    again = lambda n: [C(n, "a", {"q": 1}), R(n, "same")]
+    docs = [T(*again("1"), C("2", "y"), C("3", "x"), C("4", "y"), *again("5"), C("6", "b"), *again("7")), T(*again("1"), C("2", "b"), *again("3"))]
+    got = lint(spark, docs, {"a": {}, "b": {}}, ["R5"])
+    assert [f["evidence"]["undeclared_between"] for f in got[0]["findings"]] == [["x"], ["x", "y"], []]
+    assert "'x', 'y' ran between" in got[0]["findings"][1]["summary"] and got[1]["findings"][0]["evidence"]["undeclared_between"] == []
+
+
+def test_schemas_that_are_not_checked_say_so(spark):
+    schemas = {
+        "odd": {"bound": 3, "errors": 1}, "open": {"unevaluatedProperties": False}, "lost": {"$ref": "#/$defs/none"}, "away": {"properties": {"a": {"$ref": "http://x/y"}}},
+        "named": {"$ref": "#here", "$defs": {"h": {"$anchor": "here", "required": ["k"]}}}, "regex": {"properties": {"a": {"pattern": "("}}},
+    }
+    docs = [T(U("x"), C("a", name, {"a": 1})) for name in schemas]
+    got = lint(spark, docs, {n: {"schema": s} for n, s in schemas.items()}, ["R1"])
+    why = [[f.get("suppressed_reason", f["tier"]) for f in r["findings"]] for r in got]
+    assert why[0] == [] and "not supported" in why[1][0] and "resolved" in why[2][0] and "resolved" in why[3][0] and why[4] == ["hard_defect"] and "regular expression" in why[5][0]

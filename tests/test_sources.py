@@ -140,3 +140,14 @@ def test_sql_views(spark):
 
     sqlviews.register(loader.from_docs(spark, [T(C("1", "t", {"a": 1}), R("1", 5, "ok"))], "native"), None, "v_")
     assert spark.sql("SELECT s.tool, c.rclass FROM v_steps s JOIN v_calls c USING (trace_key, idx)").collect()[0][:] == ("t", "ok")
+
+
+def test_folders_hold_lines_and_whole_documents(spark, tmp_path):
+    import json
+
+    doc = lambda r: json.dumps({"run_id": r, "steps": []})
+    (tmp_path / "many.jsonl").write_text(doc("a") + "\n\n" + doc("b") + "\n")
+    (tmp_path / "one.json").write_text(json.dumps({"run_id": "c", "steps": []}, indent=1))
+    runs = lambda p: sorted(r["run_id"] for r in loader.load(spark, str(p)).collect())
+    assert runs(tmp_path) == runs(tmp_path / "*") == ["a", "b", "c"]
+    assert runs(tmp_path / "*.jsonl") == runs(tmp_path / "many.jsonl") == ["a", "b"] and runs(tmp_path / "one.json") == ["c"]
