@@ -90,13 +90,13 @@ def demo(a: argparse.Namespace) -> int:
         print(f"  [{('FAIL', 'PASS')[ok]}] {c.name} - {c.expectation}")
     cards = []
     for careless in (False, True):
-        sc = reliability.scorecard(spark, reliability.order_task(careless), ["timeout", "error", "rate_limit"], runs=max(1, a.runs))
+        sc = reliability.scorecard(spark, reliability.watering_task(careless), ["timeout", "error", "rate_limit"], runs=max(1, a.runs))
         cards.append((sc, sc.results.collect() if sc.results is not None else []))
         print("\n" + reliability.table(sc))
     if a.html_out:
-        trace = agents.demo_trace("ignored-error")
+        trace = agents.demo_trace("deaf")
         t = model.frame(spark, [trace])
-        seen = lint.collected(t, lint.lint(t, agents.order_tools().registry()))[0]
+        seen = lint.collected(t, lint.lint(t, agents.garden_tools().registry()))[0]
         report.write(a.html_out, report.html("trace checks: demonstration", validation=results, scorecards=cards, worked=[(trace, seen)]))
         print(f"wrote {a.html_out}")
     return lint.EXIT_OK if good == len(results) else lint.EXIT_GATE
@@ -107,7 +107,7 @@ def scorecard(a: argparse.Namespace) -> int:
         raise ValueError("only the demonstration task is built in; pass --demo")
     for f in a.faults:
         faults.known(f)
-    print(reliability.table(reliability.scorecard(session(), reliability.order_task(a.buggy), a.faults, runs=max(1, a.runs))))
+    print(reliability.table(reliability.scorecard(session(), reliability.watering_task(a.buggy), a.faults, runs=max(1, a.runs))))
     return lint.EXIT_OK
 
 

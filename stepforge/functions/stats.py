@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,9 +47,39 @@ def bootstrap_mean(values: list[float], seed: int = 0, resamples: int = 2000, al
     if n < 2:
         only = float(values[0]) if n else 0.0
         return only, only
-    draw = random.Random(seed).randrange
-    means = sorted(sum(values[draw(n)] for _ in range(n)) / n for _ in range(resamples))
-    return means[int(alpha / 2 * resamples)], means[min(int((1 - alpha / 2) * resamples), resamples - 1)]
+    x, means, each = np.array(values, float), [], max(1, (1 << 20) // n)
+    draws = Draws(seed)
+    for some in range(0, resamples, each):
+        many = min(each, resamples - some)
+        means.append(x[draws.below(n, many * n).reshape(many, n)].mean(axis=1))
+    means = np.sort(np.concatenate(means))
+    return float(means[int(alpha / 2 * resamples)]), float(means[min(int((1 - alpha / 2) * resamples), resamples - 1)])
+
+
+class Draws:
+    """The numbers that random.Random(seed).randrange gives, many at a time."""
+
+    def __init__(self, seed: int):
+        *key, pos = random.Random(seed).getstate()[1]
+        self.bits = np.random.MT19937()
+        self.bits.state = {"bit_generator": "MT19937", "state": {"key": np.array(key, np.uint32), "pos": pos}}
+        self.left = np.zeros(0, np.uint64)
+
+    def below(self, n: int, count: int) -> np.ndarray:
+        """The next ``count`` numbers under n, n below 2**32: top bits, drawn again where they are too large."""
+        shift = np.uint64(32 - n.bit_length())
+        got = [np.zeros(0, np.uint64)]
+        have = 0
+        while have < count:
+            raw = np.concatenate([self.left, self.bits.random_raw(count - have)]) if len(self.left) else self.bits.random_raw(count - have)
+            self.left = np.zeros(0, np.uint64)
+            ok = np.flatnonzero((raw >> shift) < n)
+            if len(ok) > count - have:
+                last = ok[count - have - 1]
+                self.left, ok = raw[last + 1 :], ok[: count - have]
+            got.append(raw[ok] >> shift)
+            have += len(ok)
+        return np.concatenate(got).astype(np.int64)
 
 
 def bootstrap_by(df: DataFrame, key: str, value: str, seed: int = 0, resamples: int = 2000, alpha: float = 0.05) -> DataFrame:

@@ -485,7 +485,7 @@ def scorecard_demo(spark, d):
     """Simulated recovery of a careful and a careless agent; reads no table."""
     out = None
     for name, careless in (("careful", False), ("careless", True)):
-        sc = reliability.scorecard(spark, reliability.order_task(careless), ["timeout", "error", "rate_limit"], runs=20)
+        sc = reliability.scorecard(spark, reliability.watering_task(careless), ["timeout", "error", "rate_limit"], runs=20)
         one = sc.results.select(F.lit(name).alias("agent"), "condition", F.col("recovered").cast("int").alias("recovered"), F.col("total").cast("int").alias("total"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -494,7 +494,7 @@ def scorecard_demo(spark, d):
 @query("""SELECT * FROM (VALUES ('baseline', 6, 6, 0, 0), ('error', 6, 0, 6, 6), ('denied', 6, 6, 0, 0)) AS t(condition, n, recovered, incorrect_continuation, flagged)""")
 def experiment_demo(spark, d):
     """Simulated experiment with the careless agent; reads no table."""
-    e = reliability.experiment(spark, reliability.order_task(True), ["error", "denied"], runs=6, target="get_order_status")
+    e = reliability.experiment(spark, reliability.watering_task(True), ["error", "denied"], runs=6, target="feel_soil")
     return e.conditions.select("condition", *[F.col(c).cast("int").alias(c) for c in ("n", "recovered", "incorrect_continuation", "flagged")])
 
 

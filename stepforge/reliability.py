@@ -68,16 +68,27 @@ def all_of(*oracles: Oracle) -> Oracle:
     return lambda trace, tools: all(o(trace, tools) for o in oracles)
 
 
-def _unverified_cancel(trace, tools) -> bool:
+def _never_blind(trace, tools) -> bool:
     steps = trace["steps"]
-    blind = any((r := agents.answer_to(steps, c)) is not None and r["status"] == "error" for c in agents.called(steps, "get_order_status"))
-    return not (blind and agents.called(steps, "cancel_order"))
+    blind = any((r := agents.answer_to(steps, c)) is not None and r["status"] == "error" for c in agents.called(steps, "feel_soil"))
+    return not (blind and agents.called(steps, "open_valve"))
 
 
-def order_task(careless: bool = False) -> Task:
-    """Cancel an order unless its status can't be read, with a careful or a careless agent."""
+def watering_task(careless: bool = False) -> Task:
+    """Water a bed unless its soil can't be told, with a careful or a careless agent."""
     policy = agents.careless if careless else agents.careful
-    return Task(f"cancel-if-not-shipped-{'careless' if careless else 'careful'}", "Cancel order 4521 if it hasn't shipped.", agents.order_tools, lambda: policy, _unverified_cancel, "order-support agent")
+    return Task(f"water-unless-wet-{'careless' if careless else 'careful'}", "Water bed F-12 for 120 seconds unless it is wet.", agents.garden_tools, lambda: policy, _never_blind, "You look after a garden.")
+
+
+def passed(e: Experiment, fault: str = "error") -> bool:
+    """Whether an experiment with the careless agent shows what it must: all well at baseline, none under ``fault``."""
+    rows = {r["condition"]: r for r in e.conditions.collect()} if e.baseline_ok else {}
+    return bool(rows) and rows["baseline"]["recovery_rate"] == 1 and rows[fault]["recovered"] == 0 and rows[fault]["incorrect_continuation"] == rows[fault]["n"]
+
+
+def self_test(spark: SparkSession, runs: int = 4) -> bool:
+    """A run of the whole machinery without a model: the grid, the faults, the checks and the roll-up."""
+    return passed(experiment(spark, watering_task(True), ["error"], runs=runs, target="feel_soil"))
 
 
 _RUN = f"condition string, target string, run long, ok boolean, claimed boolean, {model.TRACE}"

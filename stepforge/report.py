@@ -113,6 +113,11 @@ def _findings(r: Report) -> str:
     return _table(["rule", "tier", "where", "what"], rows) if rows else "<p>No findings.</p>"
 
 
+def first_asked(trace: Doc) -> str | None:
+    """What the first turn of a user says."""
+    return next((s["content"] for s in trace["steps"] if s["kind"] == "message" and s["role"] == "user"), None)
+
+
 def _steps(trace: Doc) -> str:
     rows = []
     for i, s in enumerate(trace["steps"]):
@@ -138,7 +143,8 @@ def html(title: str, reports: list[Report] = (), validation=(), scorecards=(), w
     parts.append("<h2>How to read this</h2>" + _table(["tier", "meaning"], [[_chip(t), escape(m)] for t, (_, m) in TIERS.items()]))
     parts.append(_table(["rule", "finds"], [[k, escape(v)] for k, v in RULES.items()]))
     for trace, r in worked:
-        parts.append(f"<h2>Worked example: {escape(r['run_id'])}</h2>{_steps(trace)}{_findings(r)}")
+        asked = first_asked(trace)
+        parts.append(f"<h2>Worked example: {escape(r['run_id'])}</h2>" + (f"<p>Asked: {escape(asked)}</p>" if asked else "") + f"{_steps(trace)}{_findings(r)}")
     if validation:
         rows = [[escape(c.name), escape(c.kind), escape(c.expectation), "yes" if ok else "<b>no</b>"] for c, _, ok in validation]
         parts.append("<h2>Validation</h2>" + _table(["case", "kind", "expected", "as expected"], rows))

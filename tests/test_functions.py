@@ -98,3 +98,16 @@ def test_bootstrap(spark):
     df = spark.createDataFrame([("a", 10.0), ("a", 12.0), ("a", 30.0), ("b", 7.0), ("c", None)], "k string, v double")
     got = {r["k"]: (r["low"], r["high"]) for r in stats.bootstrap_by(df, "k", "v", seed=3).collect()}
     assert got == {"a": stats.bootstrap_mean([10.0, 12.0, 30.0], 3), "b": (7, 7), "c": (0, 0)}
+
+
+def test_draws_of_pythons_generator():
+    import random
+
+    for seed, n in ((0, 5), (3, 64), (9, 1000)):
+        rng, draws = random.Random(seed), stats.Draws(seed)
+        want = [rng.randrange(n) for _ in range(3000)]
+        assert [*draws.below(n, 1000), *draws.below(n, 2000)] == want
+    values = [random.Random(4).uniform(0, 9) for _ in range(37)]
+    draw = random.Random(2).randrange
+    means = sorted(sum(values[draw(37)] for _ in range(37)) / 37 for _ in range(300))
+    assert stats.bootstrap_mean(values, 2, 300) == pytest.approx((means[7], means[292]))

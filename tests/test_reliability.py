@@ -45,34 +45,34 @@ def test_random_plan_draws_like_the_simulator(spark):
 
 
 def test_agents():
-    t = agents.demo_trace("clean")
-    assert json.loads(t["final_json"]).startswith("Order 4521") and [s["kind"] for s in t["steps"]][:4] == ["message", "message", "tool_call", "tool_result"]
-    assert agents.demo_trace("clean", "error")["steps"][3]["http_status"] == 500
-    tools = agents.order_tools()
-    assert tools.execute("c", "none", {})["error"] == "unknown_tool" and tools.execute("c", "cancel_order", {"order_id": "9001"})["http_status"] == 409
+    t = agents.demo_trace("plain")
+    assert json.loads(t["final_json"]).startswith("F-12 was dry") and [s["kind"] for s in t["steps"]][:4] == ["message", "message", "tool_call", "tool_result"]
+    assert agents.demo_trace("plain", "error")["steps"][3]["http_status"] == 500
+    tools = agents.garden_tools()
+    assert tools.execute("c", "none", {})["error"] == "unknown_tool" and tools.execute("c", "open_valve", {"bed": "K-03"})["http_status"] == 423 and tools.execute("c", "feel_soil", {"bed": "?"})["http_status"] == 410
     broken = agents.Toolset([agents.SimTool("t", "", {}, lambda a: 1 / 0)]).execute("c", "t", {})
     assert broken["error"].startswith("ZeroDivisionError")
-    endless = agents.run_agent(lambda steps: agents.use("get_order_status", {"order_id": "1"}), tools, "x", max_steps=3)
+    endless = agents.run_agent(lambda steps: agents.use("feel_soil", {"bed": "1"}), tools, "x", max_steps=3)
     assert endless["final_json"] is None and sum(s["kind"] == "tool_call" for s in endless["steps"]) == 3
     assert agents.Script([])([]) == agents.say("(script exhausted)")
-    assert tools.registry().get("cancel_order").flag("side_effecting") and tools.chat_tools()[0]["function"]["name"] == "get_order_status"
+    assert tools.registry().get("open_valve").flag("side_effecting") and tools.chat_tools()[0]["function"]["name"] == "feel_soil"
 
 
 def test_oracles():
-    t = agents.demo_trace("clean")
+    t = agents.demo_trace("plain")
     o = reliability
-    assert o.tool_called("cancel_order", {"order_id": " 4521 "})(t, None) and not o.tool_called("cancel_order", {"order_id": "1"})(t, None)
-    assert o.final_contains("PENDING")(t, None) and not o.final_not_claims("pending")(t, None)
-    assert o.all_of(o.state_check(lambda ts: ts is None), o.tool_called("get_order_status"))(t, None)
+    assert o.tool_called("open_valve", {"bed": " f-12 "})(t, None) and not o.tool_called("open_valve", {"bed": "1"})(t, None)
+    assert o.final_contains("WATER")(t, None) and not o.final_not_claims("water")(t, None)
+    assert o.all_of(o.state_check(lambda ts: ts is None), o.tool_called("feel_soil"))(t, None)
 
 
 def test_scorecards(spark):
-    good = reliability.scorecard(spark, reliability.order_task(), ["timeout", "error"], runs=3)
-    bad = reliability.scorecard(spark, reliability.order_task(True), ["timeout", "error"], targets=["get_order_status", "cancel_order"], runs=2)
+    good = reliability.scorecard(spark, reliability.watering_task(), ["timeout", "error"], runs=3)
+    bad = reliability.scorecard(spark, reliability.watering_task(True), ["timeout", "error"], targets=["feel_soil", "open_valve"], runs=2)
     assert {(r["condition"], r["recovered"], r["total"]) for r in good.results.collect()} == {("timeout", 3, 3), ("error", 3, 3)}
     assert {(r["condition"], r["recovered"], r["total"]) for r in bad.results.collect()} == {("timeout", 2, 4), ("error", 2, 4)}
     assert "rate=0.50" in reliability.table(bad)
-    free = reliability.order_task()
+    free = reliability.watering_task()
     free.oracle = None
     assert reliability.scorecard(spark, free, ["error"]).note.endswith("weaker than correctness")
     free.oracle = lambda t, ts: False
@@ -82,11 +82,11 @@ def test_scorecards(spark):
 
 
 def test_experiment_sees_a_denial_only_if_declared(spark):
-    task = reliability.order_task(True)
+    task = reliability.watering_task(True)
     reg = task.tools().registry()
-    plain = reliability.experiment(spark, task, ["denied"], runs=3, target="get_order_status")
-    reg.get("get_order_status").metadata = {"failure_when": {"pointer": "/status", "in": ["declined"]}}
-    told = reliability.experiment(spark, task, ["denied"], runs=3, target="get_order_status", registry=reg)
+    plain = reliability.experiment(spark, task, ["denied"], runs=3, target="feel_soil")
+    reg.get("feel_soil").metadata = {"failure_when": {"pointer": "/status", "in": ["declined"]}}
+    told = reliability.experiment(spark, task, ["denied"], runs=3, target="feel_soil", registry=reg)
     rate = lambda e: {r["condition"]: r["flagged_rate"] for r in e.conditions.collect()}["denied"]
     assert (rate(plain), rate(told)) == (0.0, 1.0) and "denied" in reliability.table(told)
 
@@ -120,7 +120,7 @@ def test_renderings():
 
 def test_cli(spark, tmp_path, capsys):
     good, bad = tmp_path / "good.json", tmp_path / "bad.jsonl"
-    good.write_text(json.dumps(T(U("order 4521"), C("1", "t", {"id": "4521"}), R("1", 1, "ok"))))
+    good.write_text(json.dumps(T(U("shelf 6170"), C("1", "t", {"id": "6170"}), R("1", 1, "ok"))))
     bad.write_text(json.dumps(T(C("1", "t", {}, raw_text="{"))) + "\n")
     assert main(["check", str(good), "--quiet", "--rules", "R1,R6"]) == 0
     out = tmp_path / "deep" / "o.json"
@@ -133,3 +133,14 @@ def test_cli(spark, tmp_path, capsys):
     assert main(["scorecard", "--demo", "--buggy", "--faults", "error"]) == 0 and "0/1" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         main(["check", str(good), "--format", "odd"])
+
+
+def test_the_experiment_tests_itself(spark):
+    assert reliability.self_test(spark, 2)
+    careful = reliability.experiment(spark, reliability.watering_task(), ["error"], runs=2, target="feel_soil")
+    assert careful.baseline_ok and not reliability.passed(careful)
+
+
+def test_first_user_turn_in_the_page():
+    page = report.html("t", worked=[(agents.demo_trace("plain"), {"run_id": "r", "findings": [], "exit_code": 0})])
+    assert "Water bed F-12 for 120 seconds unless it is wet." in page.split("Worked example")[1].split("<table>")[0]
