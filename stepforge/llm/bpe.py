@@ -339,7 +339,7 @@ def encode_decode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     encoded whole, in memory in proportion to it; a pre-token of a megabyte goes
     through the same matrices.  Of pairs with equal rank the leftmost is merged.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
+    shared = runtime.text_session(docs).sparkContext.broadcast(Vocabulary(vocabulary))
 
     @runtime.trimmed
     def run(batches):

@@ -219,6 +219,7 @@ def matches(found_in: list[Index], texts: pa.Array) -> tuple[np.ndarray, pa.Arra
 
 def _passes(benchmark: DataFrame, rate: float):
     """The indexes that each pass over the documents looks for."""
+    runtime.text_session(benchmark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     size = F.octet_length("text").cast("long")
     passes = int(items.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]) // PASS_BYTES + 1
@@ -245,7 +246,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE
     benchmark is sent to the executors in passes of at most PASS_BYTES; a larger
     one takes more passes over the documents.
     """
-    spark = docs.sparkSession
+    spark = runtime.text_session(docs)
     found = None
     for shared in _passes(benchmark, rate):
 

@@ -15,7 +15,7 @@ took, plus a margin.  Digits and signs tell nothing of a language there.
 
 Costs are doubles.  A worker caches the costs of the windows it has met in a
 direct-mapped table; windows missing there are resolved from the context trees,
-so the table affects only speed.  Bytes A to Z count as a to z.
+so the table affects only speed.  Letters count in lower case.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,12 +123,12 @@ class Scorer:
 
     def code_lengths(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(rows, languages) code lengths in bits; the bits of the rows' letters, each part in its best language; the bytes of these."""
-        data, off = tb.buffers(texts)
+        data, off = tb.buffers(pc.utf8_lower(texts))
         n = len(self.model.langs)
         out, parts, letters = np.zeros((len(texts), n)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         for i, j in tb.slices(off):
             o = off[i : j + 1] - off[i]
-            d = tb.LOWER[data[off[i] : off[j]]]
+            d = data[off[i] : off[j]]
             key, letter = windows(d, o), _LETTER[d]
             if not len(key) or not n:
                 continue
@@ -163,11 +164,11 @@ def _count_batches(langs: list[str]):
     @runtime.trimmed
     def run(batches):
         for b in batches:
-            data, off = tb.buffers(b.column(1))
+            data, off = tb.buffers(pc.utf8_lower(b.column(1)))
             lang = np.array([number[x] for x in b.column(0).to_pylist()], np.uint64)
             for i, j in tb.slices(off):
                 o = off[i : j + 1] - off[i]
-                key = windows(tb.LOWER[data[off[i] : off[j]]], o)
+                key = windows(data[off[i] : off[j]], o)
                 of = np.repeat(lang[i:j], np.diff(o))
                 for k in range(ORDER + 1):
                     u, c = np.unique((key & _MASK[k]) | (of << np.uint64(48)), return_counts=True)
@@ -189,7 +190,7 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
     null lang, doc_id or text teach nothing.  The model grows with the number of
     languages, not with the table.
     """
-    spark = docs.sparkSession
+    spark = runtime.text_session(docs)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL")
     rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = d.select("lang", "doc_id").withColumn("rn", F.dense_rank().over(rank)).filter(F.col("rn") <= per_lang).select("lang", "doc_id").distinct().collect()
@@ -232,7 +233,7 @@ def identify(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang
     order of name.  A text of any length is scored whole.  Repeated rows and
     null ids are rows like others; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    spark = runtime.text_session(docs)
     shared = spark.sparkContext.broadcast(model)
     token = uuid.uuid4().hex
     at = docs.columns.index("text")

@@ -260,7 +260,7 @@ def license_spans(docs: DataFrame, templates=TEMPLATES, min_match: int = MIN_MAT
     templates_in(); they are sent to every executor, for they don't grow with
     the data.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Automaton(templates))
+    shared = runtime.text_session(docs).sparkContext.broadcast(Automaton(templates))
 
     @runtime.trimmed
     def run(batches):

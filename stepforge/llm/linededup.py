@@ -53,7 +53,7 @@ VERSION_BITS = 32
 #: Occurrences of a word (of its bucket) from which lines meet by two words.
 HOT = 1 << 15
 #: Postings' words in one task, about; the number of tasks follows from the corpus.
-TASK_WORDS = 1 << 21
+TASK_WORDS = 1 << 20
 #: Ranges of hash by which the versions of one doc_id are numbered.
 _RANGE_BITS = 10
 _NUMBER = (1 << VERSION_BITS) - 1
@@ -409,7 +409,7 @@ def _marked(docs: DataFrame, versions: DataFrame | None, percent: int, partners:
 
 
 def _places(docs: DataFrame, versions: DataFrame | None, percent: int, partners: int, hot: int) -> DataFrame:
-    spark = docs.sparkSession
+    spark = runtime.text_session(docs)
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     d = _with_versions(d, versions, "version", "copies").select("doc_id", "text", "version")
     if versions is not None:

@@ -34,6 +34,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Rows and bytes of an Arrow batch on its way to Python, at most.
+BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
+
+
+def text_session(df: DataFrame) -> SparkSession:
+    """The session, with Arrow batches bounded for columns of text: a batch of Spark's default 10,000 rows takes tens of
+    megabytes in the JVM and again in Python, for every task."""
+    spark = df.sparkSession
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        have = int(spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("bB"))
+        if not 0 < have <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+    return spark
+
+
 _SCRATCH: list[tuple[list[str], list[str]]] = []
 
 

@@ -55,6 +55,7 @@ def _document_lines(docs: DataFrame) -> DataFrame:
 
 def shared_lines(docs: DataFrame) -> DataFrame:
     """(key, doc_id), each once: the lines with a word that more than one document has."""
+    runtime.text_session(docs)
     lines, path = runtime.written(_document_lines(docs))
     keys = lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("key")
     out, _ = runtime.written(lines.join(keys, "key").distinct())

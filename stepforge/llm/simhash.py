@@ -29,7 +29,7 @@ RADIUS = 20
 #: Distinct fingerprints up to which the masks have four parts, of 16 kept bits; beyond it three, of 21.
 FOUR_PARTS = 1 << 24
 #: Rows of a bucket from which it is cut, rows of a chunk, and rows of slots in one task, about.
-HOT_ROWS, CHUNK_ROWS, TASK_ROWS = 1 << 16, 1 << 14, 1 << 20
+HOT_ROWS, CHUNK_ROWS, TASK_ROWS = 1 << 16, 1 << 14, 1 << 19
 #: One in so many fingerprints is counted to find the buckets to cut; what is cut affects only speed.
 COUNTED = 64
 _FAR = 2**63 - 1
@@ -286,7 +286,7 @@ def _cut(slots: DataFrame, distinct: DataFrame, masks: np.ndarray, n: int) -> Da
 def _classes(docs: DataFrame, radius: int) -> DataFrame:
     """(doc_id, h, keep_id, keep_h, links): every row whose text has a word, the document that stays of its
     group, and how many other fingerprints are near."""
-    spark = docs.sparkSession
+    spark = runtime.text_session(docs)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fps, _ = runtime.written(d.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(_fingerprint_batches, "doc_id long, h long, fp binary"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")

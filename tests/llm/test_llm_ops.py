@@ -250,9 +250,9 @@ def test_language_id_of_mixed_and_short_texts(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     model = langid.fit(d)
     by = {r["lang"]: r["text"] for r in d.filter("length(text) > 2000").collect()}
-    mixed = [(1, by["en"][:900] + " " + by["de"][:900]), (2, "\n".join(by[x][:200] for x in sorted(by))), (3, 'token = "b64b244acde2e3b0aa8f051af1ec018ebaba3add" +1 (545) 555-9101'), (4, "A."), (5, "\u4f60\u597d\u4e16\u754c " * 100), (6, "12 34. " * 200), (7, " ".join(f"{w}%%%" for w in by["es"].split()))]
+    mixed = [(1, by["en"][:900] + " " + by["de"][:900]), (2, "\n".join(by[x][:200] for x in sorted(by))), (3, 'token = "b64b244acde2e3b0aa8f051af1ec018ebaba3add" +1 (545) 555-9101'), (4, "A."), (5, "\u4f60\u597d\u4e16\u754c " * 100), (6, "12 34. " * 200), (7, " ".join(f"{w}%%%" for w in by["es"].split())), (8, by["de"].upper())]
     got = {r["doc_id"]: r["accepted"] for r in langid.identify(spark.createDataFrame(mixed, "doc_id long, text string"), model).collect()}
-    assert got == {1: True, 2: True, 3: True, 4: True, 5: False, 6: True, 7: True}
+    assert got == {1: True, 2: True, 3: True, 4: True, 5: False, 6: True, 7: True, 8: True}
 
 
 def test_language_id_edges(spark):
