@@ -9,7 +9,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepforge.functions.values import Doc
@@ -75,6 +75,12 @@ def reports(traces: DataFrame, findings: DataFrame) -> DataFrame:
     return out.withColumn("exit_code", F.when(F.col("n_hard_defect") > 0, EXIT_HARD_DEFECT).otherwise(EXIT_OK))
 
 
+def numbered(findings: DataFrame) -> DataFrame:
+    """Findings with ``nth``: their place in the report of their trace, from 0, by rule as asked for and then by step."""
+    order = Window.partitionBy("trace_key").orderBy("rule_ord", "finding_ord")
+    return findings.withColumn("nth", F.row_number().over(order) - 1)
+
+
 def overall_exit(reported: DataFrame) -> DataFrame:
     """One row: the greatest exit code; 0 where there is no trace."""
     return reported.agg(F.coalesce(F.max("exit_code"), F.lit(EXIT_OK)).alias("overall_exit"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepforge.functions import stats
+from stepforge.operators import lint
+from stepforge.registry import Registry
 
 
 def reproduction(findings: DataFrame, runs: int | None = None, traces: DataFrame | None = None) -> DataFrame:
@@ -30,6 +32,11 @@ def reproduction(findings: DataFrame, runs: int | None = None, traces: DataFrame
     return g.select("rule", "finding_type", "x.tier", "x.summary", "count", "runs", "rate", "low", "high", "flaky", F.col("x.o").alias("first_seen"))
 
 
+def lint_runs(traces: DataFrame, registry: Registry | None = None, rules=None) -> DataFrame:
+    """reproduction() of traces that are runs of one scenario."""
+    return reproduction(lint.lint(traces, registry, rules), traces=traces)
+
+
 def ordered(reproduced: DataFrame) -> DataFrame:
     """Most frequent first, for reading."""
     return reproduced.orderBy(F.desc("count"), "rule", "finding_type", "first_seen").drop("first_seen")

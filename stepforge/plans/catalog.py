@@ -299,15 +299,19 @@ def r4_polls_excluded(spark, d):
     return _loops(rules.r4(views(s, DECLARED)))
 
 
-@query(f"""WITH RECURSIVE {EV}, m AS (SELECT *, (tool IN ('purchase', 'signup'))::INT AS own, sum((tool IN ('purchase', 'signup'))::INT) OVER (PARTITION BY user_id ORDER BY pos) AS acts FROM ev),
-c AS (SELECT *, k % 10 AS kk, row_number() OVER (PARTITION BY user_id, tool, k % 10 ORDER BY pos) AS seq FROM m),
-fold AS (SELECT user_id, tool, kk, seq, pos AS anchor, acts AS anchor_acts, CAST(NULL AS BIGINT) AS first, CAST(NULL AS BIGINT) AS again FROM c WHERE seq = 1
-  UNION ALL SELECT c.user_id, c.tool, c.kk, c.seq,
+#: Folds calls of one tool, ``key`` and ``body`` in order: the anchor, and each repeat with the anchor it repeats.
+_FOLD = """acting AS (SELECT *, (tool IN ('purchase', 'signup'))::INT AS own, sum((tool IN ('purchase', 'signup'))::INT) OVER (PARTITION BY user_id ORDER BY pos) AS acts FROM ev),
+c AS (SELECT *, {key} AS kk, {body} AS bb, row_number() OVER (PARTITION BY user_id, tool, {key}, {body} ORDER BY pos) AS seq FROM acting),
+fold AS (SELECT user_id, tool, kk, bb, seq, pos AS anchor, acts AS anchor_acts, CAST(NULL AS BIGINT) AS first, CAST(NULL AS BIGINT) AS again FROM c WHERE seq = 1
+  UNION ALL SELECT c.user_id, c.tool, c.kk, c.bb, c.seq,
     CASE WHEN c.pos - f.anchor > 1 AND c.acts - c.own <= f.anchor_acts THEN c.pos ELSE f.anchor END,
     CASE WHEN c.pos - f.anchor > 1 AND c.acts - c.own <= f.anchor_acts THEN c.acts ELSE f.anchor_acts END,
     CASE WHEN c.pos - f.anchor > 1 AND c.acts - c.own <= f.anchor_acts THEN f.anchor END,
     CASE WHEN c.pos - f.anchor > 1 AND c.acts - c.own <= f.anchor_acts THEN c.pos END
-  FROM fold f JOIN c ON c.user_id = f.user_id AND c.tool = f.tool AND c.kk = f.kk AND c.seq = f.seq + 1)
+  FROM fold f JOIN c ON c.user_id = f.user_id AND c.tool = f.tool AND c.kk = f.kk AND c.bb = f.bb AND c.seq = f.seq + 1)"""
+
+
+@query(f"""WITH RECURSIVE {EV}, {_FOLD.format(key="k % 10", body="1")}
 SELECT user_id, tool, 2 * first AS first_idx, 2 * again AS again_idx FROM fold WHERE again IS NOT NULL""")
 def r5_redundant(spark, d):
     """Calls that repeat an earlier one with the same result and no mutation in between."""
@@ -379,13 +383,6 @@ def findings_by_tier(spark, d):
     return f.groupBy("rule", "tier").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def lint_all_rules(spark, d):
-    """All eight checks in one pass; counts by rule, tier and whether they could run."""
-    f = lint.lint_steps(_mixed(spark, d), DECLARED)
-    return f.groupBy("rule", "tier", F.col("suppressed_reason").isNotNull().alias("suppressed")).agg(F.count(F.lit(1)).alias("n"))
-
-
 _WILSON = """greatest(0, (k / n + {z2} / (2 * n) - {z} * sqrt(k / n * (1 - k / n) / n + {z2} / (4 * n * n))) / (1 + {z2} / n)) AS low,
   least(1, (k / n + {z2} / (2 * n) + {z} * sqrt(k / n * (1 - k / n) / n + {z2} / (4 * n * n))) / (1 + {z2} / n)) AS high""".format(z=stats.Z_95, z2=stats.Z_95**2)
 
@@ -418,8 +415,8 @@ def wilson_interval(spark, d):
 
 @query()
 def bootstrap_interval(spark, d):
-    """Seeded bootstrap of the mean retail price of each brand's parts."""
-    return rounded(stats.bootstrap_by(table(spark, d, "part"), "p_brand", "p_retailprice", resamples=200), "low", "high")
+    """Seeded bootstrap of the mean retail price of each brand's parts, 2000 resamples."""
+    return rounded(stats.bootstrap_by(table(spark, d, "part"), "p_brand", "p_retailprice"), "low", "high")
 
 
 # Faults and reliability
@@ -449,14 +446,6 @@ def fault_render(spark, d):
     return s.select(F.col("call_id").cast("long").alias("event_id"), fault.alias("fault"), "status", *big("http_status"), F.when(fault == "truncated", F.col("content_json")).alias("truncated"))
 
 
-@query()
-def fault_random(spark, d):
-    """Faults on three calls in ten, from a generator seeded for each trace."""
-    s = plain(spark, d)
-    c = faults.random_plan(faults.with_ordinals(s), ["timeout", "error", "empty"], 0.3, 7)
-    return c.groupBy(F.coalesce("fault", F.lit("none")).alias("fault")).agg(F.count(F.lit(1)).alias("n"))
-
-
 _RUNS = "WITH a AS (SELECT event_type AS condition, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE {k}) AS DOUBLE) AS k FROM events GROUP BY ALL), w AS (SELECT *, {w} FROM a)"
 _K50 = "CAST(json_extract_string(props, '$.k') AS BIGINT) < 50"
 
@@ -562,3 +551,6 @@ def native_traces(spark, d):
     doc = F.concat(F.lit('{"run_id": "r", "steps": ['), F.array_join(F.transform("all", lambda x: x["t"]), ","), F.lit("]}"))
     t = model.steps_of(loader.adapt(_docs(g, "trace_key", doc), "native")).filter("kind = 'tool_result'")
     return t.select(_of().alias("user_id"), *big("idx"), F.col("content_json").alias("content"), "status")
+
+
+from stepforge.plans import formats  # noqa: E402, F401  (registers its queries here)

@@ -63,15 +63,31 @@ def adapt(docs: DataFrame, fmt: str | None = None, tool_names=()) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str, fmt: str | None = None, tool_names=()) -> DataFrame:
-    """Canonical traces of a file, folder or pattern; files named .jsonl are read by lines, others whole."""
+    """Canonical traces of a file, folder or pattern; files named .jsonl, and all in a folder of such a name, are read
+    by lines, others whole."""
     adapter(fmt)
-    lines = F.col("_metadata.file_name").endswith(".jsonl")  # a filter on names keeps other files from being read
+    named = str(path).rstrip("/").endswith(".jsonl")
+    lines = F.lit(True) if named else F.col("_metadata.file_name").endswith(".jsonl")  # a filter on names keeps other files from being read
     read = lambda whole, wanted: spark.read.text(str(path), wholetext=whole).filter(wanted).select("value", "_metadata")
     text = read(False, lines).unionByName(read(True, ~lines))
     docs = text.select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("text"))
     return adapt(docs, fmt, tool_names)
 
 
+def documents(traces: DataFrame, fmt: str = "native") -> DataFrame:
+    """(source, start, text): every trace as one JSON document, native or a message list ("openai"); adapt() reads them again."""
+    if fmt not in ("native", "openai"):
+        raise ValueError(f"traces can't be written as {fmt!r}")
+
+    def batches(it):
+        for b in it:
+            rows = b.to_pylist()
+            docs = [model.exported(t) if fmt == "native" else {"run_id": t["run_id"], "messages": model.chat_messages(t)} for t in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([t["trace_key"] for t in rows], pa.string()), pa.array([0] * len(rows), pa.int64()), pa.array([json.dumps(x, ensure_ascii=False) for x in docs], pa.string())], ["source", "start", "text"])
+
+    return traces.select("trace_key", "run_id", "final_json", "steps").mapInArrow(batches, "source string, start long, text string")
+
+
 def from_docs(spark: SparkSession, docs: list[Any], fmt: str | None = None, tool_names=()) -> DataFrame:
     """Canonical traces of documents in the driver's memory."""
     run = adapter(fmt)

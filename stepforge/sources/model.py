@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepforge.functions.values import Doc
@@ -109,6 +109,12 @@ def frame(spark: SparkSession, traces: list[Doc]) -> DataFrame:
     return spark.createDataFrame(rows, TRACE)
 
 
+def first_asked() -> Column:
+    """What the first turn of a user says, of a table of traces; null where there is none."""
+    turns = F.filter("steps", lambda s: (s["kind"] == MESSAGE) & (s["role"] == "user"))
+    return F.get(turns, F.lit(0))["content"]
+
+
 def steps_of(traces: DataFrame) -> DataFrame:
     """(trace_key, run_id, idx, step columns): positions count from 0."""
     s = traces.select("trace_key", "run_id", F.posexplode("steps").alias("idx", "s"))
