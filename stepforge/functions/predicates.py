@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from typing import Any
@@ -85,11 +86,16 @@ def shown(pred: Doc, content: Any) -> str:
     return f"{pred['pointer'] or '(result)'}={text if len(text) <= SHOWN else text[: SHOWN - 3] + '...'}"
 
 
+@functools.lru_cache(4096)
+def _parsed(pred_json: str) -> Doc:
+    return json.loads(pred_json)
+
+
 def failure_of(content_json: str | None, pred_json: str | None) -> str | None:
     """What matched, or None."""
     if content_json is None or pred_json is None:
         return None
-    content, pred = json.loads(content_json), json.loads(pred_json)
+    content, pred = json.loads(content_json), _parsed(pred_json)
     return shown(pred, content) if holds(pred, content) else None
 
 
