@@ -64,13 +64,17 @@ def check(a: argparse.Namespace) -> int:
         if "://" not in path and not (os.path.exists(path) or glob.glob(path)):
             raise FileNotFoundError(path)
     spark = session()
-    found = []
+    found, worst = [], lint.EXIT_OK
+    shown = a.json_out or a.html_out or not a.quiet
     for n, path in enumerate(a.traces):
         traces = loader.load(spark, path, a.fmt, a.tool_names).persist()
         findings = lint.lint(traces, registry, a.rules, keep=True)
         if a.table_out:
             findings.write.mode("overwrite" if n == 0 else "append").parquet(a.table_out)
-        found += lint.collected(traces, findings)
+        if shown:
+            found += lint.collected(traces, findings)
+        else:  # nothing but the exit code comes to the driver
+            worst = max(worst, lint.overall_exit(lint.reports(traces, findings)).first()[0])
         spark.catalog.clearCache()
     if a.json_out:
         report.write(a.json_out, report.as_object(found))
@@ -78,7 +82,7 @@ def check(a: argparse.Namespace) -> int:
         report.write(a.html_out, report.html("trace report", found))
     if not a.quiet:
         print("\n".join(report.text(r, a.include_candidates) for r in found))
-    return report.overall(found)
+    return max(worst, report.overall(found))
 
 
 def demo(a: argparse.Namespace) -> int:

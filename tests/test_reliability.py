@@ -125,6 +125,7 @@ def test_cli(spark, tmp_path, capsys):
     assert main(["check", str(good), "--quiet", "--rules", "R1,R6"]) == 0
     out = tmp_path / "deep" / "o.json"
     assert main(["check", str(good), str(bad), "--json", str(out), "--html", str(tmp_path / "o.html"), "--rules", "R6,R7"]) == 2
+    assert main(["check", str(bad), "--quiet", "--findings", str(tmp_path / "f"), "--rules", "R6"]) == 2
     assert report.read(out)["overall_exit"] == 2 and "not valid JSON" in capsys.readouterr().out
     assert main(["check", str(good), "--rules", "R9"]) == 3 and main(["check", str(tmp_path / "none.json")]) == 3
     (tmp_path / "odd.json").write_text("{")
