@@ -130,3 +130,58 @@ def license_spans(text, templates, min_match=3, min_cover=0.8, max_gap=12):
                 taken.append((x, y))
                 out.add((name, -c, whole, size(at[x][0]), size(at[y][1])))
     return out
+
+
+ORDER, SEGMENT = 4, 64
+
+
+def _grown(texts):
+    """Context tree of lower-cased texts: context -> following byte -> count."""
+    tree = {}
+    for t in texts:
+        b = b"\n" * ORDER + t.lower().encode()
+        for i in range(ORDER, len(b)):
+            for k in range(ORDER + 1):
+                follow = tree.setdefault(b[i - k : i], {})
+                follow[b[i]] = follow.get(b[i], 0) + 1
+    return tree
+
+
+def _costs(tree, text):
+    """Bits of each byte."""
+    b, out = b"\n" * ORDER + text.lower().encode(), []
+    for i in range(ORDER, len(b)):
+        bits = 0.0
+        for k in range(ORDER, -1, -1):
+            follow = tree.get(b[i - k : i])
+            if follow:
+                n, d = sum(follow.values()), len(follow)
+                if b[i] in follow:
+                    bits -= np.log2(follow[b[i]] / (n + d))
+                    break
+                bits -= np.log2(d / (n + d))
+        else:
+            bits += 8
+        out.append(bits)
+    return np.array(out)
+
+
+def languages(rows, held):
+    """{doc_id: (language, bits a byte, accepted)} of (doc_id, lang, text); ids in ``held`` set the limits."""
+    langs = sorted({lang for _, lang, _ in rows})
+    trees = [_grown([t for d, lang, t in rows if lang == x and d not in held]) for x in langs]
+    took, limits = {}, []
+    for d, _, t in rows:
+        b = np.frombuffer(t.lower().encode(), np.uint8)
+        letter = (b >= 128) | ((b >= 97) & (b <= 122))
+        costs = np.stack([_costs(tree, t) for tree in trees])
+        parts = sum((costs[:, i : i + SEGMENT] * letter[i : i + SEGMENT]).sum(axis=1).min() for i in range(0, len(b), SEGMENT))
+        took[d] = costs.sum(axis=1), parts, int(letter.sum()), len(b)
+    for x in langs:
+        own = [took[d][1] / took[d][2] for d, lang, _ in rows if lang == x and d in held and took[d][2]]
+        limits.append(np.quantile(own, 0.99) + 1.5 if len(own) >= 8 else 8.0)
+    out = {}
+    for d, (whole, parts, letters, size) in took.items():
+        best = int(whole.argmin())
+        out[d] = (langs[best], whole[best] / size, bool(parts <= limits[best] * letters + 256)) if size else (None, None, False)
+    return out

@@ -237,6 +237,16 @@ def test_code_lengths_against_a_plain_context_tree(spark, monkeypatch):
         assert parts[i] == pytest.approx(sum(best))
 
 
+def test_language_id_against_plain_context_trees(spark):
+    d = small(spark, "documents")
+    rows_, held = [tuple(r) for r in d.select("doc_id", "lang", "text").collect()], {r[0] for r in d.filter(langid._held(F.col("doc_id"))).select("doc_id").collect()}
+    want = brute.languages(rows_, held)
+    got = {r["doc_id"]: r for r in queries.op6_language_id(spark, SMALL).collect()}
+    assert got.keys() == want.keys()
+    for d, (language, bits, accepted) in want.items():
+        assert (got[d]["language"], got[d]["accepted"]) == (language, accepted) and got[d]["bits_per_byte"] == pytest.approx(bits)
+
+
 @pytest.mark.parametrize("out", ["de", "en", "es", "fr"])
 def test_a_language_without_labels_is_rejected(spark, out):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
