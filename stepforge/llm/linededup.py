@@ -321,7 +321,7 @@ def _candidates(percent: int, most: int | None):
 
 @runtime.trimmed
 def _fetch(batches):
-    """Words of the wanted lines: (doc_id, text, version, lines) -> (doc_id, line_no, words)."""
+    """Words of the wanted lines, each with a space after it: (doc_id, text, version, lines) -> (doc_id, line_no, words)."""
     for b in batches:
         ids = b.column(0).to_numpy(zero_copy_only=False)
         data, off = tb.buffers(b.column(1))
@@ -343,10 +343,12 @@ def _fetch(batches):
             ws, we = tb.spans(text, at, tb.WORD)
             n = np.bincount(tb.owner(ws, at), minlength=len(s))
             size = we - ws
-            word_at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            words = pa.StringArray.from_buffers(len(ws), pa.py_buffer(word_at), pa.py_buffer(text[np.repeat(ws, size) + tb.ragged(size)]))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), words)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i + row]), pa.array((version[i + row] << VERSION_BITS) | number), lists], ["doc_id", "line_no", "words"])
+            word_at = np.concatenate([[0], np.cumsum(size + 1)])
+            joined = np.full(word_at[-1], 32, np.uint8)
+            joined[np.repeat(word_at[:-1], size) + tb.ragged(size)] = text[np.repeat(ws, size) + tb.ragged(size)]
+            line_at = word_at[np.concatenate([[0], np.cumsum(n)])]
+            words = pa.LargeStringArray.from_buffers(len(s), pa.py_buffer(line_at.astype(np.int64)), pa.py_buffer(joined)).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i + row]), pa.array((version[i + row] << VERSION_BITS) | number), words], ["doc_id", "line_no", "words"])
 
 
 def _verified(d: DataFrame, pairs: DataFrame, percent: int, once: bool) -> DataFrame:
@@ -355,12 +357,13 @@ def _verified(d: DataFrame, pairs: DataFrame, percent: int, once: bool) -> DataF
     needed, _ = runtime.written(places.groupBy("doc_id", F.shiftright("line_no", VERSION_BITS).alias("version")).agg(F.collect_list("line_no").alias("lines")))
     stats = needed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()
     with_lines = d.join(runtime.small(needed, int(stats[0]) * 6 + int(stats[1]), 8), ["doc_id", "version"])
-    words = with_lines.select("doc_id", "text", "version", "lines").mapInArrow(_fetch, "doc_id long, line_no long, words array<string>")
-    words = words.select("doc_id", "line_no", F.array_distinct("words").alias("words"))
+    words = with_lines.select("doc_id", "text", "version", "lines").mapInArrow(_fetch, "doc_id long, line_no long, words string")
     words, _ = runtime.written(words if once else words.dropDuplicates(["doc_id", "line_no"]))
     of = lambda s: words.select(F.col("doc_id").alias(f"{s}d"), F.col("line_no").alias(f"{s}l"), F.col("words").alias(f"{s}w"))
-    shared = F.size(F.array_intersect("xw", "yw"))
-    both = pairs.select("xd", "xl", "yd", "yl").distinct().join(of("x"), ["xd", "xl"]).join(of("y"), ["yd", "yl"]).select("yd", "yl", shared.alias("o"), (F.size("xw") + F.size("yw")).alias("n"))
+    both = pairs.select("xd", "xl", "yd", "yl").distinct().join(of("x"), ["xd", "xl"]).join(of("y"), ["yd", "yl"])
+    both = both.select("yd", "yl", *[F.array_distinct(F.split(c, " ")).alias(c) for c in ("xw", "yw")])
+    # every set has one empty word, after the last space
+    both = both.select("yd", "yl", (F.size(F.array_intersect("xw", "yw")) - 1).alias("o"), (F.size("xw") + F.size("yw") - 2).alias("n"))
     return both.filter((100 + percent) * F.col("o") >= percent * F.col("n")).select("yd", "yl").distinct()
 
 
