@@ -7,15 +7,19 @@ masks are a covering code: the bits are cut into parts, of which one must differ
 in few bits if the whole is within the radius, and for any few bits of a part
 some mask of it leaves them all out.  So every pair within the radius meets, and
 nothing is missed.  A table's bucket of very many rows is cut into chunks, and
-every pair of chunks is a task's work of its own.  Within a task the fingerprints lie vertically, one bit plane for each
+every pair of chunks is a task's work of its own.  Within a task buckets of like
+length lie together, and the fingerprints vertically, one bit plane for each
 of the 128 bits, 64 rows to a machine word.  One shifted copy of the planes
 compares all neighbours of a distance at once; a Harley-Seal tree of carry-save
 adders keeps 64 distances in five words, and after every 16 planes the words in
-which all lanes exceed the radius are abandoned.
+which all lanes exceed the radius are abandoned.  Of the pairs that are found
+only some are held at a time: they are counted and joined to a forest as they come.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +34,8 @@ RADIUS = 20
 FOUR_PARTS = 1 << 24
 #: Rows of a bucket from which it is cut, rows of a chunk, and rows of slots in one task, about.
 HOT_ROWS, CHUNK_ROWS, TASK_ROWS = 1 << 16, 1 << 14, 1 << 19
+#: Rows of buckets that are compared at once, and near pairs held at a time: a bucket of m near copies has m * m / 2.
+BLOCK_ROWS, PIECE_PAIRS = 1 << 15, 1 << 18
 #: One in so many fingerprints is counted to find the buckets to cut; what is cut affects only speed.
 COUNTED = 64
 _FAR = 2**63 - 1
@@ -156,18 +162,18 @@ def within(planes: np.ndarray, valid: np.ndarray, shift: int, radius: int) -> np
     return idx[word] * 64 + lane
 
 
-def near_in_buckets(slot: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one slot within the radius; rows are sorted by slot."""
+def near_pieces(slot: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one slot within the radius, PIECE_PAIRS or one shift's more at a time; rows of a slot lie together."""
     n = len(slot)
     longest = int(np.diff(np.r_[np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]), n]).max()) if n else 0
     if longest < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return
     words = -(-n // 64)
     bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(n, -1), axis=1)
     room = words + longest // 64 + 2
     planes = np.zeros((BITS, room), np.uint64)
     planes.view(np.uint8).reshape(BITS, -1)[:, : -(-n // 8)] = np.packbits(bits.T, axis=1, bitorder="little")
-    left, right = [], []
+    left, right, held = [], [], 0
     for shift in range(1, longest):
         same = slot[shift:] == slot[:-shift]
         if not same.any():
@@ -176,9 +182,22 @@ def near_in_buckets(slot: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> t
         packed = np.packbits(same, bitorder="little")
         valid[: len(packed)] = packed
         i = within(planes, valid.view(np.uint64), shift, radius)
+        if not len(i):
+            continue
         left.append(i)
         right.append(i + shift)
-    return np.concatenate(left), np.concatenate(right)
+        held += len(i)
+        if held >= PIECE_PAIRS:
+            yield np.concatenate(left), np.concatenate(right)
+            left, right, held = [], [], 0
+    if held:
+        yield np.concatenate(left), np.concatenate(right)
+
+
+def near_in_buckets(slot: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of near_pieces() at once."""
+    pieces = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *near_pieces(slot, fp, radius)]
+    return np.concatenate([a for a, _ in pieces]), np.concatenate([b for _, b in pieces])
 
 
 def _binary(fp: np.ndarray) -> pa.Array:
@@ -225,6 +244,49 @@ def _first_met(x: np.ndarray, table: np.ndarray, masks: np.ndarray) -> np.ndarra
     return out
 
 
+def _by_length(slot: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the rows by length of their bucket, without buckets of one row; numbers of the buckets, and where each ends.
+
+    A block of buckets is shifted as often as its longest has rows: among their like, short ones cost few shifts."""
+    order = np.lexsort((part, slot))
+    s, p = slot[order], part[order]
+    start = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (p[1:] != p[:-1])])
+    length = np.diff(np.r_[start, len(s)])
+    by = np.argsort(length, kind="stable")
+    by = by[length[by] > 1]
+    start, length = start[by], length[by]
+    ends = np.cumsum(length)
+    bucket = np.repeat(np.arange(len(by)), length)
+    return order[np.arange(len(bucket)) + (start - ends + length)[bucket]], bucket, ends
+
+
+def _block_edges(slot, part, chunk, f, bucket, masks: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
+    """What _edge_batches() says, for some whole buckets."""
+    u = None
+    for a, b in near_pieces(bucket, f, radius):
+        # chunks of one bucket meet in several tasks: rows of one chunk are compared where it meets itself
+        ok = (chunk[a] != chunk[b]) | (part[a] == 0) | (part[a] == -1 - chunk[a])
+        a, b = a[ok], b[ok]
+        if not len(a):
+            continue
+        if u is None:
+            u, inv = np.unique(f, axis=0, return_inverse=True)
+            inv, root, links = inv.ravel(), np.arange(len(u)), np.zeros(len(u), np.int64)
+        first = _first_met(f[a] ^ f[b], slot[a] & _TABLE, masks)
+        a, b = inv[a], inv[b]
+        links += np.bincount(np.concatenate([a[first], b[first]]), minlength=len(u))
+        a, b = root[a], root[b]
+        apart = a != b
+        if apart.any():  # trees of the pieces before are joined by their roots
+            node, low = components.forest(a[apart], b[apart])
+            root[node] = low
+            root = root[root]
+    if u is not None:
+        node, has = np.flatnonzero(root != np.arange(len(u))), np.flatnonzero(links)
+        yield pa.RecordBatch.from_arrays([_binary(u[node]), _binary(u[root[node]]), pa.nulls(len(node), pa.int64())], ["a", "b", "n"])
+        yield pa.RecordBatch.from_arrays([_binary(u[has]), pa.nulls(len(has), pa.binary()), pa.array(links[has])], ["a", "b", "n"])
+
+
 def _edge_batches(masks: np.ndarray, radius: int):
     """Edges (a, b) of a forest over the fingerprints of a task, and (a, null, n): n near fingerprints of a, each pair counted once in all tasks."""
 
@@ -237,50 +299,36 @@ def _edge_batches(masks: np.ndarray, radius: int):
         slot, part, chunk = (t.column(q).to_numpy() for q in ("slot", "part", "chunk"))
         fp = np.stack([t.column(q).to_numpy() for q in ("f0", "f1")], 1).view(np.uint64)
         del t, got
-        order = np.lexsort((part, slot))
+        order, bucket, ends = _by_length(slot, part)
         slot, part, chunk, fp = (v[order] for v in (slot, part, chunk, fp))
-        new = np.flatnonzero(np.r_[True, (slot[1:] != slot[:-1]) | (part[1:] != part[:-1])])
-        i, n = 0, len(slot)
-        while i < n:  # whole buckets, some 2**15 rows at a time
-            at = int(np.searchsorted(new, i + (1 << 15), side="right")) - 1
-            j = int(new[at]) if new[at] > i else (int(new[at + 1]) if at + 1 < len(new) else n)
-            if i + (1 << 15) >= n:
-                j = n
-            key, f = np.cumsum(np.r_[0, (slot[i + 1 : j] != slot[i : j - 1]) | (part[i + 1 : j] != part[i : j - 1])]), fp[i:j]
-            a, b = near_in_buckets(key, f, radius)
-            # chunks of one bucket meet in several tasks: rows of one chunk are compared where it meets itself
-            ok = (chunk[i:j][a] != chunk[i:j][b]) | (part[i:j][a] == 0) | (part[i:j][a] == -1 - chunk[i:j][a])
-            a, b = a[ok], b[ok]
-            if len(a):
-                u, inv = np.unique(f, axis=0, return_inverse=True)
-                inv = inv.ravel()
-                first = _first_met(f[a] ^ f[b], slot[i:j][a] & _TABLE, masks)
-                links = np.bincount(np.concatenate([inv[a[first]], inv[b[first]]]), minlength=len(u))
-                has = np.flatnonzero(links)
-                node, root = components.forest(inv[a], inv[b])
-                yield pa.RecordBatch.from_arrays([_binary(u[node]), _binary(u[root]), pa.nulls(len(node), pa.int64())], ["a", "b", "n"])
-                yield pa.RecordBatch.from_arrays([_binary(u[has]), pa.nulls(len(has), pa.binary()), pa.array(links[has])], ["a", "b", "n"])
-            i = j
+        del order
+        lo = 0
+        while lo < len(ends):  # whole buckets, some BLOCK_ROWS at a time
+            i = int(ends[lo - 1]) if lo else 0
+            lo = max(lo + 1, int(np.searchsorted(ends, i + BLOCK_ROWS, side="right")))
+            j = int(ends[lo - 1])
+            yield from _block_edges(slot[i:j], part[i:j], chunk[i:j], fp[i:j], bucket[i:j], masks, radius)
 
     return run
 
 
-def _cut(slots: DataFrame, distinct: DataFrame, masks: np.ndarray, n: int) -> DataFrame:
+def _cut(slots: DataFrame, distinct: DataFrame, masks: np.ndarray, n: int) -> tuple[DataFrame, int]:
     """``slots`` with ``part`` and ``chunk``: 0 but in buckets of very many rows, whose rows come once for every
-    pair of their chunk with another (part > 0) and with itself (part = -1 - chunk)."""
+    pair of their chunk with another (part > 0) and with itself (part = -1 - chunk); and how many rows that makes, about."""
+    rows = n * len(masks)
     plain = slots.withColumns({"part": F.lit(0).cast("long"), "chunk": F.lit(0)})
     if n < HOT_ROWS:
-        return plain
+        return plain, rows
     some = distinct.filter(F.pmod(F.xxhash64("fp"), F.lit(COUNTED)) == 0).select("fp").mapInArrow(_slot_batches(masks), "slot long, f0 long, f1 long")
-    hot, _ = runtime.written(some.groupBy(F.col("slot").alias("hot")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(1, HOT_ROWS // COUNTED)).select("hot", F.ceil(F.col("n") * COUNTED / CHUNK_ROWS).cast("int").alias("chunks")))
-    many = hot.count()
+    hot, _ = runtime.written(some.groupBy(F.col("slot").alias("hot")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(1, HOT_ROWS // COUNTED)).select("hot", "n", F.ceil(F.col("n") * COUNTED / CHUNK_ROWS).cast("int").alias("chunks")))
+    many, more = hot.agg(F.count(F.lit(1)), F.sum(F.col("n") * COUNTED * (F.col("chunks") - 1))).first()
     if not many:
-        return plain
+        return plain, rows
     c = F.pmod(F.xxhash64("f0", "f1"), F.col("chunks")).cast("int")
     pair = lambda i: F.when(i == F.col("chunk"), (-1 - i).cast("long")).otherwise(F.least(i, F.col("chunk")).cast("long") * F.col("chunks") + F.greatest(i, F.col("chunk")))
     parts = F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), pair))
-    j = slots.join(runtime.small(hot, many, 32), F.col("slot") == F.col("hot"), "left").withColumn("chunk", F.coalesce(c, F.lit(0)))
-    return j.select("slot", "f0", "f1", F.explode(parts).alias("part"), "chunk")
+    j = slots.join(runtime.small(hot.select("hot", "chunks"), many, 32), F.col("slot") == F.col("hot"), "left").withColumn("chunk", F.coalesce(c, F.lit(0)))
+    return j.select("slot", "f0", "f1", F.explode(parts).alias("part"), "chunk"), rows + more
 
 
 def _classes(docs: DataFrame, radius: int) -> DataFrame:
@@ -294,8 +342,9 @@ def _classes(docs: DataFrame, radius: int) -> DataFrame:
     n = distinct.count()
     masks = cover(n, radius)
     slots = distinct.select("fp").mapInArrow(_slot_batches(masks), "slot long, f0 long, f1 long")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * len(masks) // TASK_ROWS)
-    met = _cut(slots, distinct, masks, n).repartition(tasks, "slot", "part").mapInArrow(_edge_batches(masks, radius), _EDGE)
+    slots, rows = _cut(slots, distinct, masks, n)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // TASK_ROWS)
+    met = slots.repartition(tasks, "slot", "part").mapInArrow(_edge_batches(masks, radius), _EDGE)
     met, _ = runtime.written(met)
     roots = components.components(met.filter("b IS NOT NULL").select("a", "b"))
     links = met.filter("b IS NULL").groupBy("a").agg(F.sum("n").alias("links"))

@@ -1,6 +1,7 @@
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -628,6 +629,71 @@ def test_bit_sliced_distances_against_counting():
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == want
 
 
+def edges_of(masks, slot, fp):
+    """(edges, links by fingerprint) of one task over rows of whole buckets."""
+    n, f = len(slot), fp.view(np.int64)
+    order = np.random.default_rng(n).permutation(n)
+    columns = [slot[order], *(np.ascontiguousarray(f[order, q]) for q in (0, 1)), np.zeros(n, np.int64), np.zeros(n, np.int32)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["slot", "f0", "f1", "part", "chunk"])
+    edges, links = [], {}
+    for b in simhash._edge_batches(masks, simhash.RADIUS)(iter([batch])):
+        for x, y, k in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if y is None:
+                links[x] = links.get(x, 0) + k
+            else:
+                edges.append((x, y))
+    return edges, links
+
+
+def test_a_dense_bucket_does_not_hold_all_its_pairs():
+    masks, rng, n = simhash.cover(100), np.random.default_rng(3), 3000
+    hidden = np.flatnonzero(np.unpackbits(masks[0].view(np.uint8)) == 0)
+    flips = np.zeros((n, simhash.BITS), np.uint8)
+    for row in flips:
+        row[rng.choice(hidden, simhash.RADIUS // 2, replace=False)] = 1
+    fp = np.unique(np.packbits(flips, axis=1).view(np.uint64), axis=0)
+    tracemalloc.start()
+    try:
+        edges, links = edges_of(masks, np.zeros(len(fp), np.int64), fp)  # all pairs are near and meet first in table 0
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert set(links.values()) == {len(fp) - 1} and len(links) == len(fp)
+    assert len(edges) == len(fp) - 1 == len({x for x, _ in edges}) and len({y for _, y in edges}) == 1
+    assert peak < 64 << 20
+
+
+def test_pieces_and_blocks_of_a_task_against_counting(monkeypatch):
+    for name, value in (("PIECE_PAIRS", 7), ("BLOCK_ROWS", 50)):
+        monkeypatch.setattr(simhash, name, value)
+    masks, rng = simhash.cover(100), np.random.default_rng(4)
+    base = rng.integers(0, 2**63, (12, 2)).astype(np.uint64)
+    fp = base[rng.integers(0, 12, 600)]
+    for _ in range(11):
+        fp[:, rng.integers(0, 2)] ^= np.uint64(1) << rng.integers(0, 64, 600).astype(np.uint64)
+    fp = np.unique(fp, axis=0)
+    slot = np.concatenate([((tb.mix(tb.mix((fp[:, 0] & m[0]) + np.uint64(t)) ^ (fp[:, 1] & m[1])) & ~np.uint64(simhash._TABLE)) | np.uint64(t)).view(np.int64) for t, m in enumerate(masks)])
+    edges, links = edges_of(masks, slot, np.tile(fp, (len(masks), 1)))
+    near = np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2) <= simhash.RADIUS
+    names = [f.tobytes() for f in fp]
+    assert links == {x: int(k) - 1 for x, k in zip(names, near.sum(axis=1), strict=True) if k > 1} and len(links) > 300
+    number = {x: i for i, x in enumerate(names)}
+    got = components.forest(np.array([number[x] for x, _ in edges]), np.array([number[y] for _, y in edges]))
+    want = components.forest(*np.nonzero(near))
+    assert dict(zip(*got, strict=True)) == dict(zip(*want, strict=True))
+
+
+def test_tasks_grow_with_the_copies_of_chunks(spark, monkeypatch):
+    for name, value in (("HOT_ROWS", 2), ("CHUNK_ROWS", 1), ("COUNTED", 1)):
+        monkeypatch.setattr(simhash, name, value)
+    fp = np.random.default_rng(5).integers(0, 2**63, (40, 2)).astype(np.uint64)
+    fp[1::2] = fp[::2] ^ np.uint64(1)
+    distinct, masks = spark.createDataFrame([(f.tobytes(),) for f in fp], "fp binary"), simhash.cover(40)
+    slots = distinct.mapInArrow(simhash._slot_batches(masks), "slot long, f0 long, f1 long")
+    cut, rows = simhash._cut(slots, distinct, masks, 40)
+    assert cut.count() == rows > 40 * len(masks) and "n" not in cut.columns
+
+
 def test_simhash_edges(spark):
     assert rows(simhash.near_duplicates(frame(spark))) == sorted([(5, 4, 0), (7, 1, 0), (None, 1, 0)], key=str)
     kept = simhash.drop_near_duplicates(frame(spark))
