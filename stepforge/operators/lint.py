@@ -40,14 +40,14 @@ def lint_steps(steps: DataFrame, registry: Registry | None = None, rules: Iterab
 def lint_views(v: R.Views, rules: Iterable[str | R.Rule] | None = None, keep: bool = True) -> DataFrame:
     reg = v.registry
     chosen = [r if isinstance(r, R.Rule) else R.selected([r])[0] for r in rules or ()] or R.selected()
+    if v.need is None and "pairs" not in vars(v):  # what others read of these views stays whole
+        v = R.Views(v.traces, reg, None if v.nested else v.steps, R.needed(chosen))
     if keep and len(chosen) > 1:
         v.pairs.persist(StorageLevel.MEMORY_AND_DISK)
-    parts = []
-    for n, rule in enumerate(chosen):
-        found = rule.run(v)
-        if rule.reason is not None:
-            found = found.unionByName(R.suppressed(v.counts, rule, reg))
-        parts.append(found.withColumn("rule_ord", F.lit(n)))
+    parts = [rule.run(v).withColumn("rule_ord", F.lit(n)) for n, rule in enumerate(chosen)]
+    reasoned = [(n, rule) for n, rule in enumerate(chosen) if rule.reason is not None]
+    if reasoned:
+        parts.append(R.suppressed(v.counts, reasoned, reg))
     return reduce(DataFrame.unionByName, parts)
 
 

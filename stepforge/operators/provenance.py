@@ -13,15 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepforge.functions.values import text_info
-
 SEPARATORS = ("", *"/_- ")
 
 
 def sources(pairs: DataFrame) -> DataFrame:
     """(trace_key, texts, seen): texts with position, normal form, digits and speaker; scalars of results likewise."""
-    m = pairs.filter("kind = 'message' AND role IN ('user', 'system')").select("trace_key", "idx", F.col("role").alias("by"), text_info(F.col("content")).alias("t"))
-    texts = m.select("trace_key", F.struct("idx", "t.norm", "t.digits", "by").alias("text"))
+    m = pairs.filter("m IS NOT NULL").select("trace_key", "idx", F.col("role").alias("by"), "m")
+    texts = m.select("trace_key", F.struct("idx", "m.norm", "m.digits", "by").alias("text"))
     r = pairs.filter("kind = 'tool_result'").select("trace_key", "idx", "c")
     entry = lambda t: F.struct(F.col("idx"), t["norm"], t["digits"], F.lit("tool").alias("by"))
     both = r.select("trace_key", F.transform("c.texts", entry).alias("texts"), F.transform("c.scalars", entry).alias("values"))

@@ -7,7 +7,7 @@ at one trace at a time.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -42,6 +42,8 @@ class Views:
     registry: Registry
     #: Given instead of ``traces`` where steps are rows of a table already.
     steps: DataFrame | None = field(default=None)
+    #: What the checks read of pairing.parts(), with "got" and "failure"; all if null.
+    need: frozenset[str] | None = field(default=None)
 
     def __post_init__(self) -> None:
         self.nested = self.steps is None
@@ -55,8 +57,16 @@ class Views:
     @cached_property
     def pairs(self) -> DataFrame:
         # Python columns don't pass on how their input is partitioned: they come first, and one exchange by trace
-        # then serves every window below
-        return pairing.paired(pairing.derived(self.steps).repartition("trace_key"))
+        # then serves every window below.  A result's declared failure is one of them, and needs the call first.
+        wants = lambda part: self.need is None or part in self.need
+        s, failure = self.steps, F.lit(None).cast("string")
+        if wants("failure") and any(t.failure for t in self.registry.tools.values()):
+            d = self.declared.select(F.col("tool").alias("d_tool"), "failure_json").filter("failure_json IS NOT NULL")
+            s = pairing.answering(s)
+            s = s.join(d, F.col("for_call.tool") == F.col("d_tool"), "left").drop("d_tool")
+            failure = predicates.declared_failure(F.when(F.col("failure_json").isNotNull(), F.col("content_json")), F.col("failure_json"))
+        s = pairing.parts(s, self.need, declared_failure=failure).drop("failure_json")
+        return pairing.paired(s.repartition("trace_key"), wants("got"))
 
     @cached_property
     def calls(self) -> DataFrame:
@@ -64,10 +74,7 @@ class Views:
 
     @cached_property
     def results(self) -> DataFrame:
-        r = pairing.results(self.pairs, self.declared)
-        any_predicate = any(t.failure for t in self.registry.tools.values())
-        match = predicates.declared_failure(F.col("content_json"), F.col("failure_json")) if any_predicate else F.lit(None).cast("string")
-        return r.withColumn("declared_failure", match)
+        return pairing.results(self.pairs, self.declared)
 
     @cached_property
     def counts(self) -> DataFrame:
@@ -94,6 +101,8 @@ class Rule:
     finding_type: str
     run: Check
     reason: Callable[[Registry], Column] | None = None
+    #: What ``run`` reads of the paired steps (see Views.need); all if null.
+    needs: tuple[str, ...] | None = None
 
 
 def finding(df: DataFrame, rule: str, kind: str, tier, summary: Column, evidence: dict[str, Column], steps: Column, doubtful=False, order: Column | None = None, reason: Column | None = None) -> DataFrame:
@@ -111,14 +120,15 @@ def finding(df: DataFrame, rule: str, kind: str, tier, summary: Column, evidence
     )
 
 
-def suppressed(counts: DataFrame, rule: Rule, registry: Registry) -> DataFrame:
-    """One row for every trace that ``rule`` has a reason to leave out."""
-    why = rule.reason(registry)
-    return counts.withColumn("why", why).filter("why IS NOT NULL").select(
-        "trace_key", "run_id", F.lit(0).alias("rule_ord"), F.array(F.lit(-1)).alias("finding_ord"), F.lit(rule.id).alias("rule"),
-        F.lit(rule.finding_type).alias("finding_type"), F.lit(CANDIDATE).alias("tier"),
-        F.concat(F.lit(f"rule {rule.id} suppressed: "), "why").alias("summary"), F.lit("{}").alias("evidence_json"), F.lit("{}").alias("key_json"),
-        F.lit(None).cast("array<int>").alias("step_indices"), F.lit(False).alias("possible_false_positive"), F.col("why").alias("suppressed_reason"),
+def suppressed(counts: DataFrame, chosen: list[tuple[int, Rule]], registry: Registry) -> DataFrame:
+    """One row for every trace and rule that has a reason to leave it out; the traces are counted once for all rules."""
+    each = [F.struct(F.lit(n).alias("rule_ord"), F.lit(r.id).alias("rule"), F.lit(r.finding_type).alias("kind"), r.reason(registry).cast("string").alias("why")) for n, r in chosen]
+    w = counts.select("trace_key", "run_id", F.explode(F.filter(F.array(*each), lambda x: x["why"].isNotNull())).alias("w"))
+    return w.select(
+        "trace_key", "run_id", F.col("w.rule_ord").alias("rule_ord"), F.array(F.lit(-1)).alias("finding_ord"), F.col("w.rule").alias("rule"),
+        F.col("w.kind").alias("finding_type"), F.lit(CANDIDATE).alias("tier"),
+        F.concat(F.lit("rule "), "w.rule", F.lit(" suppressed: "), "w.why").alias("summary"), F.lit("{}").alias("evidence_json"), F.lit("{}").alias("key_json"),
+        F.lit(None).cast("array<int>").alias("step_indices"), F.lit(False).alias("possible_false_positive"), F.col("w.why").alias("suppressed_reason"),
     )
 
 
@@ -130,26 +140,23 @@ def _at(*names: str) -> Column:
 
 
 def r1(v: Views) -> DataFrame:
-    c = v.calls.join(v.counts.filter("n_schemas > 0").select("trace_key"), "trace_key", "left_semi")
+    with_schema = F.max(F.col("schema_json").isNotNull()).over(Window.partitionBy("trace_key"))
+    c = v.calls.withColumn("with_schema", with_schema).filter("with_schema") if any(t.schema is not None for t in v.registry.tools.values()) else v.calls.limit(0)
     name = quoted(F.col("tool"))
-    who = {"tool": json_value(F.col("tool")), "call_id": json_value(F.col("call_id"))}
     why = F.when(F.col("schema_json").isNull(), F.concat(F.lit("no schema for tool "), name)).when(
         F.col("schema_problem").isNotNull(), F.concat(F.lit("tool "), name, F.lit(" has an invalid JSON Schema: "), "schema_problem")
     )
-    unchecked = finding(
-        c.withColumn("why", why).filter("why IS NOT NULL"), "R1", "schema_violation", CANDIDATE,
-        F.concat(F.lit("rule R1 suppressed for call "), "call_id", F.lit(": "), "why"), who, _at("idx"), reason=F.col("why"),
-    )
-    errors = jsonschema.schema_errors(F.col("args_json"), F.col("schema_json"))
-    bad = c.filter("schema_json IS NOT NULL AND schema_problem IS NULL").withColumn("errors", errors).filter("size(errors) > 0")
+    errors = jsonschema.schema_errors(F.col("args_json"), F.when(F.col("schema_problem").isNull(), F.col("schema_json")))
+    c = c.withColumn("why", why).withColumn("errors", errors).filter("why IS NOT NULL OR size(errors) > 0")
+    out = F.col("why").isNotNull()
     n = F.size("errors")
     words = F.array_join(F.array_sort(F.array_distinct(F.transform("errors", lambda e: e["keyword"]))), ", ")
-    broken = finding(
-        bad, "R1", "schema_violation", HARD_DEFECT,
-        F.concat(name, F.lit(" call violates its schema ("), n.cast("string"), F.when(n == 1, " error: ").otherwise(" errors: "), words, F.lit(")")),
-        who | {"errors": F.to_json("errors")}, _at("idx"),
+    broken = F.concat(name, F.lit(" call violates its schema ("), n.cast("string"), F.when(n == 1, " error: ").otherwise(" errors: "), words, F.lit(")"))
+    evidence = {"tool": json_value(F.col("tool")), "call_id": json_value(F.col("call_id")), "errors": F.when(~out, F.to_json("errors"))}  # a null part is left out
+    return finding(
+        c, "R1", "schema_violation", F.when(out, CANDIDATE).otherwise(HARD_DEFECT),
+        F.when(out, F.concat(F.lit("rule R1 suppressed for call "), "call_id", F.lit(": "), "why")).otherwise(broken), evidence, _at("idx"), reason=F.col("why"),
     )
-    return unchecked.unionByName(broken)
 
 
 # R2a
@@ -197,50 +204,52 @@ def r2a(v: Views) -> DataFrame:
 
 
 def consumption(v: Views) -> DataFrame:
-    """Failed results (trace_key, idx, ...) with the first later call that uses a value of theirs (``consumer``,
-    null if none), the values, and whether their tool was called again.
-
-    Values of failures and of calls are laid into one relation and each failure
-    looks ahead within its value's partition, so no pair of them is ever built.
+    """Failed results (trace_key, run_id, idx, called) with the first later call that uses a value of theirs
+    (``consumer``, null if none, with its tool and whether it ``acts``), the values (``consumed``), and whether their
+    tool was called again (``retried``).
+
+    Values of failures and of calls are one relation and each failure looks
+    ahead within its value's partition, so no pair of them is ever built.  A
+    failure has one row more, of a null value, that keeps it without any use.
+    All is told by windows and one grouping within a trace: nothing is joined.
     """
-    failures = v.results.filter("failed OR declared_failure IS NOT NULL").select("trace_key", "run_id", "idx", "called", F.col("c.identifying").alias("vals"))
-    uses = v.calls.select("trace_key", "idx", F.explode("a.identifying").alias("value"), F.lit(True).alias("use"))
-    marks = failures.select("trace_key", "idx", F.explode("vals").alias("value"), F.lit(False).alias("use")).unionByName(uses)
+    d = v.declared.select(F.col("tool").alias("d_tool"), F.col("side_effecting").alias("acts"))
+    use = pairing.is_call()
+    p = v.pairs.filter(use | (pairing.is_result() & (F.col("failed") | F.col("declared_failure").isNotNull())))
+    values = F.when(use, F.col("a.identifying")).otherwise(F.array_append(F.coalesce("c.identifying", F.expr("CAST(array() AS array<string>)")), F.lit(None).cast("string")))
+    p = p.select("trace_key", "run_id", "idx", use.alias("use"), F.when(use, F.col("tool")).otherwise(F.col("for_call.tool")).alias("of"), values.alias("vals"))
+    again = F.max(F.when(F.col("use"), F.col("idx"))).over(Window.partitionBy("trace_key", "of")) > F.col("idx")
+    p = p.withColumn("retried", F.coalesce(again & F.col("of").isNotNull(), F.lit(False)))
+    p = p.join(d, F.when(F.col("use"), F.col("of")) == F.col("d_tool"), "left")
+    marks = p.select("trace_key", "run_id", "idx", "use", "of", "retried", F.coalesce("acts", F.lit(False)).alias("acts"), F.explode("vals").alias("value"))
     ahead = Window.partitionBy("trace_key", "value").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
-    nexts = marks.withColumn("next", F.last(F.when(F.col("use"), F.col("idx")), ignorenulls=True).over(ahead)).filter("NOT use AND next IS NOT NULL")
-    first = nexts.groupBy("trace_key", "idx").agg(F.min("next").alias("consumer"), F.collect_list(F.struct("next", "value")).alias("all"))
-    first = first.withColumn("consumed", F.array_sort(F.transform(F.filter("all", lambda x: x["next"] == F.col("consumer")), lambda x: x["value"]))).drop("all")
-    last = v.calls.groupBy("trace_key", "tool").agg(F.max("idx").alias("last_call"))
-    user = v.calls.select("trace_key", F.col("idx").alias("consumer"), F.col("tool").alias("consumer_tool"), F.col("side_effecting").alias("acts"))
-    return (
-        failures.join(first, ["trace_key", "idx"], "left")
-        .join(user, ["trace_key", "consumer"], "left")
-        .join(last.withColumnRenamed("tool", "called"), ["trace_key", "called"], "left")
-        .withColumn("retried", F.coalesce(F.col("last_call") > F.col("idx"), F.lit(False)))
-    )
+    user = F.when(F.col("use"), F.struct("idx", F.col("of").alias("tool"), "acts"))
+    marks = marks.withColumn("next", F.last(user, ignorenulls=True).over(ahead)).filter("NOT use")
+    g = marks.groupBy("trace_key", "idx").agg(
+        F.first("run_id").alias("run_id"), F.first("of").alias("called"), F.first("retried").alias("retried"), F.min("next").alias("first"),
+        F.collect_list(F.when(F.col("next").isNotNull(), F.struct(F.col("next.idx").alias("at"), "value"))).alias("all"),
+    )
+    consumed = F.array_sort(F.transform(F.filter("all", lambda x: x["at"] == F.col("first.idx")), lambda x: x["value"]))
+    return g.select("trace_key", "run_id", "idx", "called", "retried", F.col("first.idx").alias("consumer"), F.col("first.tool").alias("consumer_tool"), F.col("first.acts").alias("acts"), F.when(F.col("first").isNotNull(), consumed).alias("consumed"))
 
 
 def r2b(v: Views) -> DataFrame:
-    c = consumption(v)
-    tool = F.coalesce("called", F.lit("?"))
-    used = c.filter("consumer IS NOT NULL")
-    joined = F.array_join("consumed", ", ")
-    eaten = finding(
-        used, "R2b", "error_mishandled", F.when(F.col("acts"), HARD_DEFECT).otherwise(CANDIDATE),
-        F.concat(
-            F.lit("value(s) from the errored "), quoted(tool), F.lit(" result ("), joined, F.lit(") reused as arguments to "), quoted(F.col("consumer_tool")),
-            F.when(F.col("acts"), " (a side-effecting action, no fallback)").otherwise(""),
-        ),
-        {"errored_tool": json_value(tool), "consumer": json_value(F.col("consumer_tool")), "consumed_values": json_value(F.col("consumed")), "side_effecting": json_value(F.col("acts"))},
-        _at("idx", "consumer"), ~F.col("acts"),
+    c = consumption(v).filter("consumer IS NOT NULL OR NOT retried")
+    tool, used = F.coalesce("called", F.lit("?")), F.col("consumer").isNotNull()
+    eaten = F.concat(
+        F.lit("value(s) from the errored "), quoted(tool), F.lit(" result ("), F.array_join("consumed", ", "), F.lit(") reused as arguments to "), quoted(F.col("consumer_tool")),
+        F.when(F.col("acts"), " (a side-effecting action, no fallback)").otherwise(""),
     )
-    left = c.filter("consumer IS NULL AND NOT retried")
-    ignored = finding(
-        left, "R2b", "error_mishandled", CANDIDATE,
-        F.concat(F.coalesce(quoted(F.col("called")), F.lit("None")), F.lit(" failed and was not called again before the agent went on (whether the failure was acknowledged can't be told)")),
-        {"tool": json_value(F.col("called")), "signal": F.lit('"not_retried"')}, _at("idx"), True,
+    ignored = F.concat(F.coalesce(quoted(F.col("called")), F.lit("None")), F.lit(" failed and was not called again before the agent went on (whether the failure was acknowledged can't be told)"))
+    evidence = {  # a null part is left out
+        "errored_tool": F.when(used, json_value(tool)), "consumer": F.when(used, json_value(F.col("consumer_tool"))),
+        "consumed_values": F.when(used, json_value(F.col("consumed"))), "side_effecting": F.when(used, json_value(F.col("acts"))),
+        "tool": F.when(~used, json_value(F.col("called"))), "signal": F.when(~used, F.lit('"not_retried"')),
+    }
+    return finding(
+        c, "R2b", "error_mishandled", F.when(used & F.col("acts"), HARD_DEFECT).otherwise(CANDIDATE), F.when(used, eaten).otherwise(ignored), evidence,
+        F.when(used, _at("idx", "consumer")).otherwise(_at("idx")), F.when(used, ~F.col("acts")).otherwise(True),
     )
-    return eaten.unionByName(ignored)
 
 
 # R3
@@ -305,38 +314,50 @@ def repeats(calls: DataFrame) -> DataFrame:
     and all is told by windows.  ``acts`` counts side-effecting calls up to and
     with a call, so that "strictly between" is a difference of two counts.
     """
+    return _folded(calls).filter("repeat").select("trace_key", "run_id", "tool", "first", "again")
+
+
+def _folded(calls: DataFrame) -> DataFrame:
+    """All calls, with ``repeat`` for those that repeats() gives, their ``first`` and ``again``, and ``known``."""
     w = Window.partitionBy("trace_key").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     c = calls.withColumn("acts", F.sum(F.col("side_effecting").cast("int")).over(w))
-    of = Window.partitionBy("trace_key", "tool", "args_key", "outcome").orderBy("idx")
-    upto = of.rowsBetween(Window.unboundedPreceding, 0)
+    same = ("trace_key", "tool", "args_key", "outcome")
+    of = Window.partitionBy(*same).orderBy("idx")
     new = F.coalesce(F.col("pos") - F.lag("pos").over(of) > 1, F.lit(True))
-    c = c.select("trace_key", "run_id", "tool", "args_key", "outcome", "idx", "pos", "acts", F.col("side_effecting").cast("int").alias("own"), new.alias("new"), F.row_number().over(of).alias("nth"))
-    c = c.withColumn("since", F.max(F.when(F.col("new"), F.col("nth"))).over(upto)).filter((F.col("nth") - F.col("since")) % 2 == 0)
+    c = c.select(*same, "run_id", "known", "idx", "pos", "acts", F.col("side_effecting").cast("int").alias("own"), new.alias("new"), F.row_number().over(of).alias("nth"))
+    since = F.max(F.when(F.col("new"), F.col("nth"))).over(of.rowsBetween(Window.unboundedPreceding, 0))
+    c = c.withColumn("anchor", (F.col("nth") - since) % 2 == 0)
     at = F.struct(F.col("pos").cast("int").alias("pos"), "idx", F.col("acts").cast("int").alias("acts"), F.col("own").alias("own"))
-    c = c.withColumn("again", at).withColumn("first", F.lag("again").over(of))
-    stopped = F.max(F.coalesce(F.col("acts") - F.col("own") > F.col("first.acts"), F.lit(False))).over(upto)
-    return c.withColumn("stopped", stopped).filter("first IS NOT NULL AND NOT stopped").select("trace_key", "run_id", "tool", "first", "again")
+    anchors = Window.partitionBy(*same, "anchor").orderBy("idx")
+    c = c.withColumn("again", at).withColumn("first", F.lag("again").over(anchors))
+    stopped = F.max(F.coalesce(F.col("acts") - F.col("own") > F.col("first.acts"), F.lit(False))).over(anchors.rowsBetween(Window.unboundedPreceding, 0))
+    return c.withColumn("repeat", F.col("anchor") & F.col("first").isNotNull() & ~stopped)
 
 
-def undeclared_between(found: DataFrame, calls: DataFrame) -> DataFrame:
-    """``found`` with ``between``: the tools without declaration that were called strictly between, in order of name.
+def undeclared_between(calls: DataFrame) -> DataFrame:
+    """repeats() with ``between``: the tools without declaration that were called strictly between, in order of name.
 
     Each repeat asks each such tool of its trace for its last call before the
-    repeat, in a window by trace and tool.
+    repeat, in a window by trace and tool; one row more, of no tool, keeps a
+    repeat that has none.
     """
-    unknown = calls.filter("NOT known").select("trace_key", F.col("tool").alias("other"), F.col("pos").cast("int").alias("at"))
-    asked = found.select("trace_key", F.col("again.pos").alias("at"), F.col("first.pos").alias("since")).join(unknown.select("trace_key", "other").distinct(), "trace_key")
-    marks = asked.select("trace_key", "other", "at", "since").unionByName(unknown.withColumn("since", F.lit(None).cast("int")))
-    before = Window.partitionBy("trace_key", "other").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("since").isNull(), F.col("at")), ignorenulls=True).over(before)
-    hits = marks.withColumn("last", last).filter("since IS NOT NULL AND last > since")
-    names = hits.groupBy("trace_key", F.col("at").alias("again_pos")).agg(F.array_sort(F.collect_set("other")).alias("between"))
-    none = F.expr("CAST(array() AS array<string>)")
-    return found.withColumn("again_pos", F.col("again.pos")).join(names, ["trace_key", "again_pos"], "left").withColumn("between", F.coalesce("between", none))
+    c = _folded(calls)
+    every = F.collect_set(F.when(~F.col("known"), F.col("tool"))).over(Window.partitionBy("trace_key"))
+    none = F.lit(None).cast("string")
+    asks = F.when(F.col("repeat"), F.transform(F.array_append("every", none), lambda t: F.struct(t.alias("other"), F.lit(True).alias("asks"))))
+    own = F.when(~F.col("known"), F.array(F.struct(F.col("tool").alias("other"), F.lit(False).alias("asks"))))
+    empty = F.expr("CAST(array() AS array<struct<other: string, asks: boolean>>)")
+    marks = c.withColumn("every", every).filter("repeat OR NOT known").select("trace_key", "run_id", "tool", "first", "again", F.explode(F.concat(F.coalesce(asks, empty), F.coalesce(own, empty))).alias("x"))
+    marks = marks.select("trace_key", "run_id", "tool", "first", "again", "x.*", F.col("again.pos").alias("at"))
+    before = Window.partitionBy("trace_key", "other").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(~F.col("asks"), F.col("at"))).over(before)
+    hits = marks.withColumn("last", last).filter("asks")
+    g = hits.groupBy("trace_key", "at").agg(*[F.first(k).alias(k) for k in ("run_id", "tool", "first", "again")], F.collect_set(F.when(F.col("last") > F.col("first.pos"), F.col("other"))).alias("between"))
+    return g.select("trace_key", "run_id", "tool", "first", "again", F.array_sort("between").alias("between"))
 
 
 def r5(v: Views) -> DataFrame:
-    found = undeclared_between(repeats(v.calls), v.calls).withColumn("idx", F.col("again.idx"))
+    found = undeclared_between(v.calls).withColumn("idx", F.col("again.idx"))
     note = F.when(F.size("between") == 0, "").otherwise(
         F.concat(F.lit(" (unverified: undeclared tool(s) "), F.array_join(F.transform("between", quoted), ", "), F.lit(" ran between — declare whether they have side effects)"))
     )
@@ -371,6 +392,12 @@ def r7(v: Views) -> DataFrame:
     )
 
 
+def needed(chosen: Iterable[Rule]) -> frozenset[str] | None:
+    """What several rules read of the paired steps together."""
+    each = [r.needs for r in chosen]
+    return None if None in each else frozenset(p for needs in each for p in needs)
+
+
 def _no(count: str, text: str, less_than: int = 1) -> Column:
     return F.when(F.col(count) < less_than, text)
 
@@ -389,14 +416,14 @@ _NO_CALLS = lambda reg: _no("n_calls", "trace has no tool calls to check")  # no
 RULES: dict[str, Rule] = {
     r.id: r
     for r in (
-        Rule("R1", "schema_violation", r1, _r1_reason),
-        Rule("R2a", "tool_error_event", r2a, _NO_RESULTS),
-        Rule("R2b", "error_mishandled", r2b, _NO_RESULTS),
-        Rule("R3", "hallucinated_arg", r3, _NO_CALLS),
-        Rule("R4", "loop", r4, lambda reg: _no("n_calls", f"fewer than {LOOP} tool calls; no loop possible", LOOP)),
-        Rule("R5", "redundant_call", r5, lambda reg: _no("n_calls", "fewer than 2 tool calls; no repetition possible", 2)),
-        Rule("R6", "malformed_arguments", r6, _NO_CALLS),
-        Rule("R7", "unknown_tool", r7, _r7_reason),
+        Rule("R1", "schema_violation", r1, _r1_reason, ()),
+        Rule("R2a", "tool_error_event", r2a, _NO_RESULTS, ("failure", "c.kind", "c.nothing")),
+        Rule("R2b", "error_mishandled", r2b, _NO_RESULTS, ("failure", "a.identifying", "c.identifying")),
+        Rule("R3", "hallucinated_arg", r3, _NO_CALLS, ("a.fields", "c.texts", "c.scalars", "m")),
+        Rule("R4", "loop", r4, lambda reg: _no("n_calls", f"fewer than {LOOP} tool calls; no loop possible", LOOP), ("got", "a.key", "c.nothing", "c.state")),
+        Rule("R5", "redundant_call", r5, lambda reg: _no("n_calls", "fewer than 2 tool calls; no repetition possible", 2), ("got", "a.key", "c.canonical")),
+        Rule("R6", "malformed_arguments", r6, _NO_CALLS, ("a.empty",)),
+        Rule("R7", "unknown_tool", r7, _r7_reason, ()),
     )
 }
 

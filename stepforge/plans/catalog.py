@@ -56,8 +56,9 @@ def query(sql: str | None = None):
     return put
 
 
-def views(s: DataFrame, registry: Registry | None = None) -> rules.Views:
-    return rules.Views(None, registry or Registry(), s)
+def views(s: DataFrame, registry: Registry | None = None, *ids: str) -> rules.Views:
+    """The views of a table of steps, for the rules named or for all."""
+    return rules.Views(None, registry or Registry(), s, rules.needed(rules.selected(list(ids))))
 
 
 def plain(spark: SparkSession, sf_dir: str, **columns: Column) -> DataFrame:
@@ -196,7 +197,7 @@ def _mixed(spark, d) -> DataFrame:
 
 
 def _ladder(spark, d) -> DataFrame:
-    f = rules.r2a(views(_mixed(spark, d), DECLARED))
+    f = rules.r2a(views(_mixed(spark, d), DECLARED, "R2a"))
     signal = F.when(F.col("suppressed_reason").isNotNull(), "unverified").otherwise(F.get_json_object("evidence_json", "$.signal"))
     return f.groupBy(F.get_json_object("evidence_json", "$.tool").alias("tool"), signal.alias("signal"), "tier").agg(F.count(F.lit(1)).alias("n"))
 
@@ -224,14 +225,14 @@ def _reuse(spark, d) -> DataFrame:
 CAST(v AS VARCHAR) AS consumed FROM b WHERE consumer IS NOT NULL""")
 def r2b_consumption(spark, d):
     """Failed results whose values a later call uses."""
-    c = rules.consumption(views(_reuse(spark, d), DECLARED)).filter("consumer IS NOT NULL")
+    c = rules.consumption(views(_reuse(spark, d), DECLARED, "R2b")).filter("consumer IS NOT NULL")
     return c.select(user(), *big("idx"), F.col("consumer").cast("long").alias("consumer_idx"), "consumer_tool", "acts", F.array_join("consumed", ",").alias("consumed"))
 
 
 @query(f"""WITH {_R2B} SELECT user_id, 2 * pos + 1 AS idx, tool FROM b WHERE consumer IS NULL AND NOT retried""")
 def r2b_not_retried(spark, d):
     """Failed results that nothing used and whose tool was not called again."""
-    f = rules.r2b(views(_reuse(spark, d), DECLARED)).filter("evidence_json LIKE '%not_retried%'")
+    f = rules.r2b(views(_reuse(spark, d), DECLARED, "R2b")).filter("evidence_json LIKE '%not_retried%'")
     return f.select(user(), F.col("step_indices")[0].cast("long").alias("idx"), F.get_json_object("evidence_json", "$.tool").alias("tool"))
 
 
@@ -245,7 +246,7 @@ FROM ev e LEFT JOIN s x ON x.user_id = e.user_id AND x.v = e.k LEFT JOIN s a ON
 LEFT JOIN s b ON b.user_id = e.user_id AND b.v = e.k % 10""")
 def r3_ladder(spark, d):
     """How each argument follows from earlier results: itself, or glued from two of them."""
-    return provenance.derivations(views(plain(spark, d))).select(user(), *big("idx"), "operation")
+    return provenance.derivations(views(plain(spark, d), None, "R3")).select(user(), *big("idx"), "operation")
 
 
 @query(r"""WITH c AS (SELECT conv_id, turn, role, text, regexp_extract(text, '[A-Za-z]{4,}', 0) AS word FROM conversations)
@@ -254,7 +255,7 @@ SELECT conv_id, turn, CASE WHEN length(word) < 2 THEN 'trivial' WHEN EXISTS (SEL
 FROM c WHERE role = 'assistant'""")
 def r3_substring(spark, d):
     """Whether what an assistant quotes stands in an earlier message of user or system."""
-    x = provenance.derivations(views(conversation_steps(spark, d)))
+    x = provenance.derivations(views(conversation_steps(spark, d), None, "R3"))
     return x.select(F.col("trace_key").cast("long").alias("conv_id"), (F.col("idx") / 2).cast("long").alias("turn"), "operation")
 
 
@@ -265,7 +266,7 @@ def r3_digits(spark, d):
     """Arguments written in another format than the value they come from."""
     args = F.concat(F.lit('{"ref": "no-'), F.col("k").cast("string"), F.lit('."}'))
     s = plain(spark, d, args_json=F.when(F.col("k") >= 10, args).otherwise("{}"))
-    x = provenance.derivations(views(s))
+    x = provenance.derivations(views(s, None, "R3"))
     return x.select(user(), *big("idx"), "operation")
 
 
@@ -286,7 +287,7 @@ def _loops(f: DataFrame) -> DataFrame:
 SELECT user_id, tool, class AS result_class, 2 * first AS first_idx, repeats FROM i""")
 def r4_loops(spark, d):
     """Runs of three and more equal calls with one class of result."""
-    return _loops(rules.r4(views(plain(spark, d, args_json=F.lit("{}")))))
+    return _loops(rules.r4(views(plain(spark, d, args_json=F.lit("{}")), None, "R4")))
 
 
 @query(f"""WITH {EV}, x AS (SELECT *, CASE WHEN tool = 'error' THEN 'error' WHEN tool <> 'view' THEN 'ok' WHEN k % 10 < 8 THEN 'status:pending' ELSE 'status:done' END AS class FROM ev), {_ISLANDS}
@@ -296,7 +297,7 @@ def r4_polls_excluded(spark, d):
     """Loops without declared polls and without runs that waited and then went on."""
     state = F.when(F.col("k") % 10 < 8, '{"status": "Pending"}').otherwise('{"status": "done"}')
     s = plain(spark, d, args_json=F.lit("{}"), content_json=F.when(F.col("tool") == "view", state).otherwise("1"))
-    return _loops(rules.r4(views(s, DECLARED)))
+    return _loops(rules.r4(views(s, DECLARED, "R4")))
 
 
 #: Folds calls of one tool, ``key`` and ``body`` in order: the anchor, and each repeat with the anchor it repeats.
@@ -316,7 +317,7 @@ SELECT user_id, tool, 2 * first AS first_idx, 2 * again AS again_idx FROM fold W
 def r5_redundant(spark, d):
     """Calls that repeat an earlier one with the same result and no mutation in between."""
     s = plain(spark, d, args_json=F.concat(F.lit('{"k": '), (F.col("k") % 10).cast("string"), F.lit("}")), content_json=F.lit("1"))
-    f = rules.repeats(views(s, DECLARED).calls)
+    f = rules.repeats(views(s, DECLARED, "R5").calls)
     return f.select(user(), "tool", F.col("first.idx").cast("long").alias("first_idx"), F.col("again.idx").cast("long").alias("again_idx"))
 
 
@@ -327,14 +328,14 @@ def r5_redundant(spark, d):
 def r6_malformed(spark, d):
     """Calls whose emitted arguments are no JSON object."""
     raw = F.when(F.col("k") % 4 == 1, F.expr("left(props, length(props) - 1)")).when(F.col("k") % 4 == 2, F.lit("[1]")).when(F.col("k") % 4 == 3, F.lit("")).otherwise(F.lit("{}"))
-    f = rules.r6(views(plain(spark, d, args_json=F.lit("{}"), raw_text=raw)))
+    f = rules.r6(views(plain(spark, d, args_json=F.lit("{}"), raw_text=raw), None, "R6"))
     return f.select(F.get_json_object("evidence_json", "$.call_id").cast("long").alias("event_id"), F.get_json_object("evidence_json", "$.tool").alias("tool"))
 
 
 @query("SELECT event_id, event_type AS tool FROM events WHERE event_type NOT IN ('purchase', 'signup', 'click', 'view')")
 def r7_unknown_tool(spark, d):
     """Calls of tools that nothing declares."""
-    f = rules.r7(views(plain(spark, d), DECLARED))
+    f = rules.r7(views(plain(spark, d), DECLARED, "R7"))
     return f.select(F.get_json_object("evidence_json", "$.call_id").cast("long").alias("event_id"), F.get_json_object("evidence_json", "$.tool").alias("tool"))
 
 
@@ -398,7 +399,7 @@ def reproduction_rates(spark, d):
     """How many users show the same loop."""
     s = plain(spark, d, args_json=F.lit("{}"))
     keys = s.select("trace_key").distinct()
-    r = reproduction.reproduction(rules.r4(views(s)).withColumn("rule_ord", F.lit(0)), traces=keys)
+    r = reproduction.reproduction(rules.r4(views(s, None, "R4")).withColumn("rule_ord", F.lit(0)), traces=keys)
     # the key of a loop is its tool, length and class: read back from the text that shows it
     tool = F.regexp_extract("summary", "^'([^']*)'", 1)
     r = r.select(tool.alias("tool"), F.regexp_extract("summary", r"called (\d+) times", 1).cast("long").alias("repeats"), *big("count", "runs"), "rate", "low", "high", "flaky")

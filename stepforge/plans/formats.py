@@ -252,7 +252,7 @@ UNION ALL SELECT event_id, tool, 'candidate', 'rule R1 suppressed for call ' ||
 FROM c WHERE tool <> 'purchase'""")
 def r1_findings(spark, d):
     """Rule R1 with declared, missing and unusable schemas."""
-    f = rules.r1(views(plain(spark, d), _CHECKED))
+    f = rules.r1(views(plain(spark, d), _CHECKED, "R1"))
     return f.select(F.get_json_object("evidence_json", "$.call_id").cast("long").alias("event_id"), F.get_json_object("evidence_json", "$.tool").alias("tool"), "tier", "summary")
 
 
@@ -266,7 +266,7 @@ _SOURCED = """s AS (SELECT user_id, v, min(pos) AS since FROM ev {where} GROUP B
 def r3_findings(spark, d):
     """Rule R3: arguments that follow from nothing the agent saw."""
     s = plain(spark, d)
-    f = rules.r3(views(s)).select("trace_key", F.col("step_indices")[0].alias("idx"), "tier", "summary", F.get_json_object("evidence_json", "$.field").alias("field"), F.get_json_object("evidence_json", "$.value").alias("value"))
+    f = rules.r3(views(s, None, "R3")).select("trace_key", F.col("step_indices")[0].alias("idx"), "tier", "summary", F.get_json_object("evidence_json", "$.field").alias("field"), F.get_json_object("evidence_json", "$.value").alias("value"))
     return f.join(s.select("trace_key", "idx", F.col("call_id").cast("long").alias("event_id")), ["trace_key", "idx"]).select("event_id", *big("idx"), "tier", "summary", "field", "value")
 
 
@@ -276,7 +276,7 @@ FROM fold f WHERE again IS NOT NULL""")
 def r5_findings(spark, d):
     """Rule R5, with the tools between that nothing declares."""
     s = plain(spark, d, args_json=F.concat(F.lit('{"k": '), (F.col("k") % 10).cast("string"), F.lit("}")), content_json=F.lit("1"))
-    return rules.r5(views(s, DECLARED)).select(user(), F.col("step_indices")[0].cast("long").alias("first_idx"), F.col("step_indices")[1].cast("long").alias("again_idx"), "summary")
+    return rules.r5(views(s, DECLARED, "R5")).select(user(), F.col("step_indices")[0].cast("long").alias("first_idx"), F.col("step_indices")[1].cast("long").alias("again_idx"), "summary")
 
 
 _LINTED = f"""WITH RECURSIVE {EV}, m AS (SELECT *, CASE WHEN tool = 'error' THEN 'error' WHEN k % 2 = 1 THEN 'ok' ELSE 'unknown' END AS status,
